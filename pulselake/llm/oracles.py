@@ -60,3 +60,20 @@ SELECT doc_id, size, source_size, target,
           + greatest(0, least(pos + words + size, run) - greatest(pos + words, 0)) AS BIGINT) AS taken
 FROM stood
 """
+
+_TERMS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), " + r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP8 = f"""
+WITH items AS (SELECT item_id, w, len(w) AS n, least(len(w), 13) AS k FROM (SELECT item_id, {_TERMS} AS w FROM benchmark) WHERE len(w) > 0),
+wins AS (SELECT DISTINCT item_id, k, array_to_string(w[o + 1 : o + k], ' ') AS win FROM (SELECT *, unnest(range(n - k + 1)) AS o FROM items)),
+docs AS (SELECT doc_id, {_TERMS} AS w FROM documents),
+sizes AS (SELECT DISTINCT k FROM wins),
+at AS (SELECT doc_id, k, p, array_to_string(w[p + 1 : p + k], ' ') AS win
+       FROM (SELECT doc_id, k, w, unnest(range(len(w) - k + 1)) AS p FROM docs, sizes WHERE len(w) >= k)),
+met AS (SELECT DISTINCT doc_id, k, p, item_id FROM at JOIN wins USING (k, win)),
+hit AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + k)) AS x FROM met) GROUP BY doc_id),
+found AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM met) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
