@@ -68,12 +68,24 @@ WITH items AS (SELECT item_id, w, len(w) AS n, least(len(w), 13) AS k FROM (SELE
 wins AS (SELECT DISTINCT item_id, k, array_to_string(w[o + 1 : o + k], ' ') AS win FROM (SELECT *, unnest(range(n - k + 1)) AS o FROM items)),
 docs AS (SELECT doc_id, {_TERMS} AS w FROM documents),
 sizes AS (SELECT DISTINCT k FROM wins),
-at AS (SELECT doc_id, k, p, array_to_string(w[p + 1 : p + k], ' ') AS win
+places AS (SELECT doc_id, k, p, array_to_string(w[p + 1 : p + k], ' ') AS win
        FROM (SELECT doc_id, k, w, unnest(range(len(w) - k + 1)) AS p FROM docs, sizes WHERE len(w) >= k)),
-met AS (SELECT DISTINCT doc_id, k, p, item_id FROM at JOIN wins USING (k, win)),
+met AS (SELECT DISTINCT doc_id, k, p, item_id FROM places JOIN wins USING (k, win)),
 hit AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + k)) AS x FROM met) GROUP BY doc_id),
 found AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM met) GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN found USING (doc_id)
 """
+
+OP1 = f"""
+WITH docs AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+wins AS (SELECT doc_id, p, md5(array_to_string(w[p + 1 : p + 13], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(len(w) - 12)) AS p FROM docs WHERE len(w) >= 13)),
+firsts AS (SELECT h, min(doc_id) AS first_id FROM wins GROUP BY h),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 13)) + 1 AS i FROM wins JOIN firsts USING (h) WHERE doc_id > first_id),
+words AS (SELECT doc_id, generate_subscripts(w, 1) AS i, unnest(w) AS word FROM docs),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM (SELECT * FROM words ANTI JOIN gone USING (doc_id, i)) GROUP BY doc_id),
+lost AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (doc_id) LEFT JOIN lost USING (doc_id)
+"""

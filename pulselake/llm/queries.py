@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from pulselake.llm.common import table
 
 
+def op1_rlz_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pulselake.llm.rlz import duplicate_spans
+
+    found = duplicate_spans(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
 def op4_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pulselake.llm.line_runs import dedup_lines
 

@@ -6,6 +6,7 @@ from pulselake.llm import oracles, queries
 
 QUERIES = {name: getattr(queries, name) for name in dir(queries) if name.startswith("op")}
 ORACLES = {name: sql for name, sql in {
+    "op1_rlz_substring_dedup": oracles.OP1,
     "op4_line_runs": oracles.OP4,
     "op8_decontaminate": oracles.OP8,
     "op9_mixture": oracles.OP9,
