@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulselake.llm.common import table
+from pulselake.llm.common import shared_path, table
 
 
 def op1_rlz_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,26 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pulselake.llm.warc import page_of, read_warc, write_warc
+
+    path = shared_path(spark, "warc")
+    write_warc(table(spark, sf_dir, "pages"), path)
+    full = read_warc(spark, path).where("record_type = 'response'")
+    full = full.select("record_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"), "record_type", "refers_to")
+    again = read_warc(spark, path, payload=False).where("record_type = 'revisit'")
+    again = again.select("record_id", F.col("payload_length").alias("payload_bytes"), F.regexp_replace("payload_digest", "^sha1:", "").alias("payload_digest"), "record_type", "refers_to")
+    found = full.unionByName(again)
+    return found.select(page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_of(F.col("refers_to")).alias("refers_to"))
+
+
+def op7_balltree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pulselake.llm.balltree import top_k
+
+    found = top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pulselake.llm.decontaminate import decontaminate, verdict
 

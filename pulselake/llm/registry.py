@@ -8,6 +8,8 @@ QUERIES = {name: getattr(queries, name) for name in dir(queries) if name.startsw
 ORACLES = {name: sql for name, sql in {
     "op1_rlz_substring_dedup": oracles.OP1,
     "op4_line_runs": oracles.OP4,
+    "op6_warc": oracles.OP6,
+    "op7_balltree_topk": oracles.OP7,
     "op8_decontaminate": oracles.OP8,
     "op9_mixture": oracles.OP9,
 }.items()}
