@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulselake.llm.common import shared_path, table
@@ -15,6 +15,19 @@ def op1_rlz_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 
+def held_out() -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pulselake.llm.toxicity import score, train_from
+
+    docs = table(spark, sf_dir, "documents")
+    model = train_from(docs, table(spark, sf_dir, "labels"), ~held_out())
+    scored = score(docs, model).withColumnRenamed("id", "doc_id")
+    return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op4_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pulselake.llm.line_runs import dedup_lines
 

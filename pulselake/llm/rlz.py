@@ -85,7 +85,7 @@ def _unpack(x: bytes, kind: type) -> np.ndarray:
 def packed(frm: int, to: np.ndarray, hashes: np.ndarray, more: np.ndarray) -> pa.Table:
     """A row for each receiver in `to`, which must be sorted."""
     at = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(to) else np.zeros(0, int)
-    ends = np.append(at[1:], len(to))
+    ends = np.append(at, len(to))[1:]
     cut = lambda x: pa.array([_pack(x[a:b]) for a, b in zip(at, ends, strict=True)], pa.binary())
     return pa.table({"to": pa.array(to[at].astype(np.int32)), "frm": pa.array(np.full(len(at), frm, np.int32)), "hash": cut(hashes), "more": cut(more)})
 
