@@ -1,10 +1,79 @@
-"""A training corpus from the raw documents, in stages that each call one corpus operator."""
+"""A training corpus from the raw documents, in stages that each call one corpus operator.
+
+Each stage takes (spark, docs, sf_dir), works on all that the stage before kept, and returns what it keeps; all but the
+last return the columns of `documents`. Between stages the rows are written to the shared folder and read back.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pulselake.llm.common import stored, table
+
+#: Toxicity from which a document is rejected.
+REJECTED = 0.3
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that score REJECTED or more; the machine learns from all labelled documents of the table."""
+    from pulselake.llm.toxicity import scored, train_from
+
+    model = train_from(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored(docs, model).where(F.col("score_") < REJECTED).select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops lines that an earlier document holds; every document stays, with what is left of its text."""
+    from pulselake.llm.line_runs import dedup_lines
+
+    kept = dedup_lines(docs)
+    changed = F.col("n_dropped_") > 0
+    kept = kept.withColumn("text", F.when(changed, F.col("kept_")).otherwise(F.col("text")))
+    return kept.withColumn("n_chars", F.when(changed, F.length("kept_").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest doc_id of each SimHash component."""
+    from pulselake.llm.simhash import near_duplicates
+
+    kept = near_duplicates(docs).where(F.col("id") == F.col("component_id")).select(F.col("id").alias("kept_id")).distinct()
+    return docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that benchmark passages make up 5% of or more."""
+    from pulselake.llm.decontaminate import decontaminate, verdict
+
+    dirty = verdict(decontaminate(docs, table(spark, sf_dir, "benchmark"))).where("contaminated").select(F.col("id").alias("dirty_id"))
+    return docs.join(dirty, F.col("doc_id").eqNullSafe(F.col("dirty_id")), "left_anti")
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes words of, with how many."""
+    from pulselake.llm.mixture import mix
+
+    mixed = mix(docs)
+    return mixed.select(F.col("id").alias("doc_id"), "source", "size", "source_size", "target", "taken").where("taken > 0")
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("line dedup", line_dedup),
+    ("near dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+]
+
+#: SQL has no string-kernel machine and no SimHash.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows over the documents of sf_dir."""
+    docs = table(spark, sf_dir, "documents")
+    for at, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if at + 1 < len(STAGES):
+            docs = stored(docs, f"stage-{at}")
+    return docs
