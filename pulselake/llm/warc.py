@@ -71,10 +71,10 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
 
 
 class _Stream:
-    """Bytes of a file, inflated if gzipped, with skipping."""
+    """Bytes of a file, inflated if gzipped, with skipping. buffer[at:] is not consumed yet."""
 
-    def __init__(self, file, gzipped: bool, size: int = 1 << 20):
-        self.file, self.size, self.buffer, self.over = file, size, b"", False
+    def __init__(self, file, gzipped: bool, size: int = 1 << 18):
+        self.file, self.size, self.buffer, self.at, self.over = file, size, b"", 0, False
         self.inflate = zlib.decompressobj(31) if gzipped else None
 
     def _more(self) -> bool:
@@ -82,50 +82,51 @@ class _Stream:
         if not raw:
             self.over = True
             return False
+        parts = [self.buffer[self.at :]]
+        self.at = 0
         while raw and self.inflate:
-            self.buffer += self.inflate.decompress(raw)
+            parts.append(self.inflate.decompress(raw))
             raw = self.inflate.unused_data if self.inflate.eof else b""
             if self.inflate.eof:
                 self.inflate = zlib.decompressobj(31)
-        if not self.inflate:
-            self.buffer += raw
+        self.buffer = b"".join(parts if self.inflate else [*parts, raw])
         return True
 
     def until(self, mark: bytes) -> bytes | None:
         """The bytes before mark, which is passed too; None at the end."""
         seen = 0
-        while (at := self.buffer.find(mark, max(0, seen - len(mark)))) < 0:
-            seen = len(self.buffer)
+        while (to := self.buffer.find(mark, self.at + max(0, seen - len(mark)))) < 0:
+            seen = len(self.buffer) - self.at
             if not self._more():
                 return None
-        found, self.buffer = self.buffer[:at], self.buffer[at + len(mark) :]
+        found = self.buffer[self.at : to]
+        self.at = to + len(mark)
         return found
 
     def take(self, n: int) -> bytes:
-        parts, have = [self.buffer], len(self.buffer)
+        parts, have = [self.buffer[self.at : self.at + n]], min(n, len(self.buffer) - self.at)
+        self.at += have
         while have < n:
-            self.buffer = b""
             if not self._more():
                 raise EOFError("a WARC record ends early")
-            parts.append(self.buffer)
-            have += len(self.buffer)
-        whole = b"".join(parts)
-        self.buffer = whole[n:]
-        return whole[:n]
+            parts.append(self.buffer[: n - have])
+            self.at = len(parts[-1])
+            have += self.at
+        return b"".join(parts)
 
     def skip(self, n: int) -> None:
-        if n <= len(self.buffer):
-            self.buffer = self.buffer[n:]
-        elif self.inflate is None and self.file.seekable():
-            self.file.seek(n - len(self.buffer), 1)
-            self.buffer = b""
-        else:
-            while n > len(self.buffer):
-                n -= len(self.buffer)
-                self.buffer = b""
-                if not self._more():
-                    raise EOFError("a WARC record ends early")
-            self.buffer = self.buffer[n:]
+        left = len(self.buffer) - self.at
+        if n > left and self.inflate is None and self.file.seekable():
+            self.file.seek(n - left, 1)
+            self.buffer, self.at = b"", 0
+            return
+        while n > left:
+            n -= left
+            self.at = len(self.buffer)
+            if not self._more():
+                raise EOFError("a WARC record ends early")
+            left = len(self.buffer)
+        self.at += n
 
 
 def records(stream: _Stream, wanted, payloads: bool = True) -> Iterator[tuple[dict[str, str], bytes | None]]:
