@@ -67,7 +67,10 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
 
 
 def apportioned(parties: DataFrame, group: list[str], party: str, votes: str, seats: str, cap: str) -> DataFrame:
-    """parties with their seats as `quota`: the `seats` of each group by the highest votes / (2 * seat + 1), at most `cap` each; ties to the first party."""
+    """parties with their seats as `quota`: the `seats` of each group by the highest votes / (2 * seat + 1), at most `cap` each; ties to the first party.
+
+    No party's exact share of the seats may lie over its cap by more than one seat.
+    """
     whole = W.partitionBy(*group)
     df = parties.withColumn("n_", F.count(F.lit(1)).over(whole)).withColumn("v_", F.sum(votes).over(whole))
     exact = F.when(F.col("v_") > 0, F.col(votes) * F.col(seats) / F.col("v_")).otherwise(F.lit(0.0))
