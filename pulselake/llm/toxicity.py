@@ -24,11 +24,10 @@ empty table; other columns are not read.
 
 from __future__ import annotations
 
+import pickle
 import re
-import sys
 import unicodedata
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -207,9 +206,9 @@ def _logistic_fit(m: np.ndarray, t: np.ndarray, weight: np.ndarray) -> tuple[flo
     return float(a), float(b)
 
 
-def distinct_texts(sets: list[set[str]], bands: int = 8, least: int = 7) -> list[int]:
-    """One text of each family of copies, exact or near: texts that agree on two smallest hashes of their long words, in any of some bands."""
-    parent = list(range(len(sets)))
+def distinct_texts(ids: list[np.ndarray], names: list[str], bands: int = 10, width: int = 4, least: int = 7) -> list[int]:
+    """One text of each family of copies, exact or near: texts (arrays of word ids) that agree on all smallest hashes of their long words in any of some bands."""
+    parent = list(range(len(ids)))
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -217,17 +216,19 @@ def distinct_texts(sets: list[set[str]], bands: int = 8, least: int = 7) -> list
             i = parent[i]
         return i
 
-    salts = np.random.default_rng(11).integers(1, 1 << 62, 2 * bands, dtype=np.int64).astype(np.uint64) | np.uint64(1)
-    seen: dict[tuple, int] = {}
-    for i, words in enumerate(sets):
-        long = [w for w in words if len(w) >= least] or sorted(words)
-        h = np.fromiter((zlib.crc32(w.encode()) + 1 for w in long), np.uint64, len(long))
-        least_of = ((h[:, None] * salts) >> np.uint64(20)).min(axis=0) if len(h) else np.zeros(2 * bands, np.uint64)
+    hashes = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) + 1 for w in names), np.uint64, len(names))
+    long = np.fromiter((len(w) >= least for w in names), bool, len(names))
+    salts = np.random.default_rng(11).integers(1, 1 << 62, width * bands, dtype=np.int64).astype(np.uint64) | np.uint64(1)
+    seen: dict[tuple[int, bytes], int] = {}
+    for i, words in enumerate(ids):
+        some = words[long[words]]
+        h = hashes[some if len(some) else words]
+        least_of = ((h[:, None] * salts) >> np.uint64(20)).min(axis=0) if len(h) else np.zeros(width * bands, np.uint64)
         for b in range(bands):
-            j = seen.setdefault((b, int(least_of[2 * b]), int(least_of[2 * b + 1])), i)
+            j = seen.setdefault((b, least_of[width * b : width * (b + 1)].tobytes()), i)
             low, high = sorted((root(i), root(j)))
             parent[high] = low
-    return [i for i in range(len(sets)) if root(i) == i]
+    return [i for i in range(len(ids)) if root(i) == i]
 
 
 def train(texts: list[str], toxic: list[int], share: float, landmarks: int = LANDMARKS, most: int = UNITS, seed: int = 7) -> Model:
@@ -236,82 +237,83 @@ def train(texts: list[str], toxic: list[int], share: float, landmarks: int = LAN
     if not 0 < sum(toxic) < len(toxic):
         return Model(blank, 0.0, 0.0, 0.0, float(share))
     rng = np.random.default_rng(seed)
-    # Texts share most of their words: one string object for each keeps the sets small.
-    sets = [set(map(sys.intern, words_of(t))) for t in texts]
+    vocabulary: dict[str, int] = {}
+    ids = []
+    for text in texts:
+        words = words_of(text)
+        ids.append(np.unique(np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words), np.int32, len(words))))
+    names = list(vocabulary)
+    del vocabulary
     # A family of copies says as much as one text: counted apart, all its words would stand out together.
-    one = distinct_texts(sets)
+    one = distinct_texts(ids, names)
     if 0 < sum(toxic[i] for i in one) < len(one):
-        texts, toxic, sets = [texts[i] for i in one], [toxic[i] for i in one], [sets[i] for i in one]
-    in_toxic, in_other = Counter(), Counter()
-    for words, label in zip(sets, toxic, strict=True):
-        (in_toxic if label else in_other).update(words)
+        toxic, ids = [toxic[i] for i in one], [ids[i] for i in one]
     n_toxic, n_other = sum(toxic), len(toxic) - sum(toxic)
+    count = lambda y: np.bincount(np.concatenate([x for x, t in zip(ids, toxic, strict=True) if bool(t) == y]), minlength=len(names))
+    in_toxic, in_other = count(True), count(False)
     prior = n_toxic / len(toxic)
     # How unlikely is it that chance puts a word's texts on the toxic side: a G test against the number of words tried.
-    tried = {w: n for w, n in in_toxic.items() if n >= 3 and len(w) > 2 and n > in_other[w]}
-    bar = 2 * np.log(1 + len(tried)) + 6
-
-    def stands_out(w: str, n: int) -> bool:
-        m, whole = in_other[w], n + in_other[w]
-        return 2 * (n * np.log(n / (whole * prior)) + (m * np.log(m / (whole * (1 - prior))) if m else 0)) > bar
-
-    strong = sorted((w for w, n in tried.items() if n > 4 * in_other[w] and stands_out(w, n)), key=lambda w: (-in_toxic[w], w))
-    positive = dict.fromkeys(strong[: most // 2], 1.0)
-    others = sorted(in_other, key=lambda w: (-in_other[w], w))
+    tried = np.flatnonzero((in_toxic >= 3) & (in_toxic > in_other) & np.fromiter((len(w) > 2 for w in names), bool, len(names)))
+    n, m = in_toxic[tried], in_other[tried]
+    g = 2 * (n * np.log(n / ((n + m) * prior)) + m * np.log(np.maximum(m, 1) / ((n + m) * (1 - prior))))
+    strong = tried[(n > 4 * m) & (g > 2 * np.log(1 + len(tried)) + 6)]
+    positive = dict.fromkeys(sorted(strong.tolist(), key=lambda w: (-in_toxic[w], names[w]))[: most // 2])
+    others = sorted(np.flatnonzero(in_other).tolist(), key=lambda w: (-in_other[w], names[w]))
     rest = others[most // 4 :]
-    negative = others[: most // 4] + [rest[i] for i in sorted(rng.permutation(len(rest))[: most - most // 4])]
-    model = Model(blank, 0.0, 1.0, 0.0)
+    negative = dict.fromkeys(others[: most // 4] + [rest[i] for i in sorted(rng.permutation(len(rest))[: most - most // 4])])
+    model, margin = Model(blank, 0.0, 1.0, 0.0), np.zeros(len(names))
     for turn in range(ROUNDS):
         if not positive:
             break
         pos, neg = list(positive), [w for w in negative if w not in positive]
         marks = pos[: landmarks // 2] + neg[:: max(1, len(neg) // (landmarks // 2))][: landmarks // 2]
-        rows, owner = units(marks)
-        base = features(rows[np.unique(owner, return_index=True)[1]]).T.astype(np.float64)
+        first = lambda words: (lambda rows, owner: rows[np.unique(owner, return_index=True)[1]])(*units([names[w] for w in words]))
+        base = features(first(marks)).T.astype(np.float64)
         values, vectors = np.linalg.eigh(base.T @ base)
         keep = values > 1e-6
         root = vectors[:, keep] / np.sqrt(values[keep])
-        rows, owner = units(pos + neg)
-        first = np.unique(owner, return_index=True)[1]
-        k = np.vstack([products(rows[first[low : low + 2000]], base) for low in range(0, len(first), 2000)])
+        rows = first(pos + neg)
+        k = np.vstack([products(rows[low : low + 1000], base) for low in range(0, len(rows), 1000)])
         y = np.concatenate([np.ones(len(pos)), -np.ones(len(neg))])
-        cost = np.where(y > 0, 100.0, 10.0)
-        w, bias = _hinge_fit(k @ root, y, cost)
+        w, bias = _hinge_fit(k @ root, y, np.where(y > 0, 100.0, 10.0))
         weights = base @ (root @ w)
         weights[0] = 0
         model = Model(weights, bias, 1.0, 0.0)
-        if turn < ROUNDS - 1:
-            scorer = Scorer(model)
-            for words, label in zip(sets, toxic, strict=True):
-                listed = sorted(words)
-                scorer.margin([" ".join(listed)])
-                if not listed:
-                    continue
-                hardest = sorted(listed, key=lambda v: (-scorer.known[v], v))[:HARDEST]
-                if not label:
-                    negative += [v for v in hardest if scorer.known[v] > -0.5]
-                elif scorer.known[hardest[0]] > 0 and not in_other[hardest[0]] and in_toxic[hardest[0]] > 1:
-                    positive.setdefault(hardest[0], 1.0)
-            negative = list(dict.fromkeys(negative))
-    margin = np.array(Scorer(model).margin(texts))
+        margin = np.array(model.margins(names))
+        for words, label in zip(ids, toxic, strict=True) if turn < ROUNDS - 1 else ():
+            hardest = words[np.argsort(-margin[words], kind="stable")[:HARDEST]].tolist()
+            if not label:
+                negative.update(dict.fromkeys(v for v in hardest if margin[v] > -0.5))
+            elif hardest and margin[hardest[0]] > 0 and not in_other[hardest[0]] and in_toxic[hardest[0]] > 1:
+                positive.setdefault(hardest[0])
+    of_text = np.array([margin[x].max(initial=-np.inf) if len(x) else model.bias for x in ids])
     label = np.array(toxic, float)
     target = np.where(label > 0, (n_toxic + 1) / (n_toxic + 2), 1 / (n_other + 2))
-    model.slope, model.shift = _logistic_fit(margin, target, np.where(label > 0, share / n_toxic, (1 - share) / n_other) * len(texts))
+    model.slope, model.shift = _logistic_fit(of_text, target, np.where(label > 0, share / n_toxic, (1 - share) / n_other) * len(ids))
     return model
 
 
 def train_from(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: dict[int, int] = TRAIN_ROWS) -> Model:
-    """A model from the labelled rows that `usable` (a condition on labels) allows, at most rows[y] of label y."""
+    """A model from the labelled rows that `usable` (a condition on labels) allows, at most rows[y] of label y.
+
+    The bounded sample is trained on in one task; the driver gets the finished model only.
+    """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
     known = known.where(usable) if usable is not None else known
     known = known.groupBy(F.col(id_col).alias("l_id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("toxic_"))
     counts = {r["toxic_"]: r["count"] for r in known.groupBy("toxic_").count().collect()}
+    share = counts.get(1, 0) / max(1, sum(counts.values()))
     parts = [known.where(F.col("toxic_") == y).orderBy(F.xxhash64(F.col("l_id").cast("string")), "l_id").limit(rows[y]) for y in (0, 1)]
     picked = parts[0].unionByName(parts[1])
     texts = docs.join(F.broadcast(picked), F.col(id_col) == F.col("l_id")).where(F.col(text_col).isNotNull())
-    found = sorted((str(r[0]), r[1], r[2]) for r in texts.select("l_id", F.col(text_col), "toxic_").collect())
-    share = counts.get(1, 0) / max(1, sum(counts.values()))
-    return train([f[1] for f in found], [f[2] for f in found], share)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = sorted((str(i), t, y) for b in batches for i, t, y in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        model = train([f[1] for f in found], [f[2] for f in found], share)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)])], names=["model"])
+
+    sample = texts.select("l_id", F.col(text_col).alias("text"), "toxic_").repartition(1)
+    return pickle.loads(sample.mapInArrow(run, "model binary").first()["model"])
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
