@@ -313,7 +313,8 @@ def train_from(docs: DataFrame, labels: DataFrame, usable: Column | None = None,
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)])], names=["model"])
 
     sample = texts.select("l_id", F.col(text_col).alias("text"), "toxic_").repartition(1)
-    return pickle.loads(sample.mapInArrow(run, "model binary").first()["model"])
+    trained = sample.mapInArrow(run, "model binary").first()
+    return pickle.loads(trained["model"]) if trained else train([], [], share)
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
