@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from pulselake.plans import record_queries, trace_queries
+
+QUERIES: dict = trace_queries.QUERIES | record_queries.QUERIES
+ORACLES: dict = trace_queries.ORACLES | record_queries.ORACLES
