@@ -101,10 +101,8 @@ def dead_time_fold(spark, d):
     return O.dead_time_fold(records(spark, d).select("channel", "t", "id"), "channel", "t", "id", HOUR).select("id", "channel")
 
 
-ORACLES["dead_time_fold"] = f"""WITH RECURSIVE {SQL_RECORDS}, c AS (SELECT channel, t, id, row_number() OVER (PARTITION BY channel ORDER BY t, id) AS n FROM r),
-nx AS (SELECT a.channel, a.n, min(b.n) AS m FROM c a JOIN c b ON a.channel = b.channel AND b.t >= a.t + 3600000000 GROUP BY a.channel, a.n),
-f(channel, n) AS (SELECT DISTINCT channel, CAST(1 AS BIGINT) FROM c UNION ALL SELECT f.channel, nx.m FROM f JOIN nx ON f.channel = nx.channel AND f.n = nx.n)
-SELECT c.id, c.channel FROM f JOIN c USING (channel, n)"""
+ORACLES["dead_time_fold"] = f"""WITH {SQL_RECORDS}, f AS (SELECT channel, unnest(list_reduce(list([t] ORDER BY t), lambda acc, x: CASE WHEN x[1] >= acc[-1] + 3600000000 THEN list_concat(acc, x) ELSE acc END)) AS t FROM r GROUP BY channel)
+SELECT min(id) AS id, channel FROM f JOIN r USING (channel, t) GROUP BY channel, t"""
 
 
 @query("exponential_trigger")
