@@ -9,6 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+#: Runs of rows that one call of the dead-time fold gets.
+RUNS = 512
+
 
 def islands(df: DataFrame, key: str, order: list[str], new: Column) -> DataFrame:
     """df with island: the number of rows so far of its key for which `new` holds."""
@@ -55,7 +58,7 @@ def dead_time_fold(df: DataFrame, key: str, time: str, ident: str, block: int) -
     """The rows that start a dead time: the first of each key, then each first one at least `block` after the last start.
 
     Which rows these are hangs on all rows before, so the candidates of a key are folded in order by one task.
-    Runs apart by `block` or more do not touch each other: they are the groups, so a long stream is many tasks.
+    Runs apart by `block` or more do not touch each other: RUNS of them are a group, so a long stream is many tasks.
     """
     line = W.partitionBy(key).orderBy(time, ident)
     runs = islands(df, key, [time, ident], F.col(time) - F.lag(time).over(line) >= block)
@@ -68,7 +71,7 @@ def dead_time_fold(df: DataFrame, key: str, time: str, ident: str, block: int) -
             at = int(np.searchsorted(stamps, stamps[at] + block, "left"))
         return rows.iloc[keep]
 
-    return runs.groupBy(key, "island").applyInPandas(fold, runs.schema).drop("island")
+    return runs.withColumn("island", F.floor(F.col("island") / RUNS)).groupBy(key, "island").applyInPandas(fold, runs.schema).drop("island")
 
 
 def exponential_trigger(df: DataFrame, key: str, order: list[str], value: str, short: float, long: float, sigma: float) -> DataFrame:
