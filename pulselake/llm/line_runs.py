@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from pulselake.llm.common import ASCII_SPACE, ascii_lower, partitions, shared_path, stored
 
 MIN_CHARS = 10
+#: A hash is hot with more than this part of all rows.
+HOT = 2000
 
 
 def lines_of(text: Column) -> Column:
@@ -100,9 +102,18 @@ class LineStore:
 
 
 def dropped_keys(keys: DataFrame, firsts: DataFrame) -> DataFrame:
-    """id, drops: the hashes that each document loses because a document before it holds them."""
-    lost = keys.join(firsts, ["h1", "h2"]).where(F.col("id") > F.col("first_id"))
-    return lost.groupBy("id").agg(F.collect_set(F.struct("h1", "h2")).alias("drops"))
+    """id, drops: the hashes that each document loses because a document before it holds them.
+
+    A hash of more than 1 / HOT of all rows is hot; there are fewer than HOT of them, so they are joined by broadcast
+    where the rows are. The others are joined by a shuffle in which no hash has more than that share.
+    """
+    counts = stored(keys.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "line-counts")
+    rows = keys.count()
+    hot = F.broadcast(counts.where(F.col("n") > rows / HOT).select("h1", "h2"))
+    hot_firsts = F.broadcast(firsts.join(hot, ["h1", "h2"], "left_semi"))
+    shared = firsts.join(counts.where(F.col("n") <= rows / HOT).select("h1", "h2"), ["h1", "h2"])
+    lost = keys.join(hot_firsts, ["h1", "h2"]).unionByName(keys.join(hot, ["h1", "h2"], "left_anti").join(shared, ["h1", "h2"]))
+    return lost.where(F.col("id") > F.col("first_id")).groupBy("id").agg(F.collect_set(F.struct("h1", "h2")).alias("drops"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, batches: int = 4, fanout: int = 2) -> DataFrame:
