@@ -48,7 +48,7 @@ LETTERS = 32
 SINGLES = re.compile(r"(?<!\S)(?:\S[\s]){3,}\S(?!\S)")
 SENTENCES = re.compile(r"[.!?\n]+")
 #: Scores of words that a task remembers; the table is emptied when it is full, which costs time only.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 
 def _letter_table() -> np.ndarray:
@@ -325,8 +325,10 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in batches:
-            texts = [t or "" for t in batch.column(at).to_pylist()]
-            found = [model.probability(m) for low in range(0, len(texts), 64) for m in scorer.margin(texts[low : low + 64])]
+            found = []
+            for low in range(0, batch.num_rows, 64):
+                texts = [t or "" for t in batch.column(at).slice(low, 64).to_pylist()]
+                found += [model.probability(m) for m in scorer.margin(texts)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*batch.schema.names, "score_"])
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("score_", DoubleType())]))
