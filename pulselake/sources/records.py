@@ -138,11 +138,41 @@ def read_triggered(spark: SparkSession, path: str, header: str) -> DataFrame:
 
 
 def read_stream(spark: SparkSession, path: str, chunk: int = 65536) -> DataFrame:
-    """A continuous int16 stream as chunks: record, file, samples. The last samples that fill no chunk are read one by one."""
-    return read_records(spark, path, [("samples", "<i2", -chunk)], records=64)
+    """A continuous int16 stream as chunks: file, start (number of the first sample), samples. The last chunk of a file is shorter."""
+    whole = read_records(spark, path, [("samples", "<i2", -chunk)], records=64)
+    whole = whole.select("file", (F.col("record") * chunk).alias("start"), "samples")
+    one = read_records(spark, path, [("sample", "<i2", 1)], records=64 * chunk)
+    filled = whole.groupBy("file").agg((F.max("start") + chunk).alias("filled"))
+    rest = one.join(filled, "file", "left").where(F.col("record") >= F.coalesce("filled", F.lit(0)))
+    tail = rest.groupBy("file").agg(F.min("record").alias("start"), F.array_sort(F.collect_list(F.struct("record", "sample"))).alias("s"))
+    return whole.unionByName(tail.select("file", "start", F.transform("s", lambda r: r["sample"]).alias("samples")))
 
 
 def read_control(spark: SparkSession, path: str, clock: float = 1e7) -> DataFrame:
     """Control pulses with hours since the clock's start."""
     rows = read_records(spark, path, CONTROL, CONTROL_HEADER)
     return rows.withColumn("hours", (F.col("time_stamp_high") * 4294967296.0 + F.col("time_stamp_low")) / clock / 3600)
+
+
+#: Fixed values of the muon panel's records and of the monitor file's header.
+PANELS = [("time_low", "<u4", 1), ("time_high", "<u4", 1), ("number_channels", "<i2", 1), ("panel", "<i2", -21), ("panel_id", "<i2", -21)]
+MONITOR_HEADER = np.dtype([("version", "S12"), ("time_s", "<i8"), ("time_mus", "<i8"), ("n", "<i4")])
+MONITOR_NAME = 48
+
+
+def read_panels(spark: SparkSession, path: str, clock: float = 1e7) -> DataFrame:
+    """Muon panel records with hours since the clock's start."""
+    rows = read_records(spark, path, PANELS)
+    return rows.withColumn("hours", (F.col("time_high") * 4294967296.0 + F.col("time_low")) / clock / 3600)
+
+
+def read_monitor(spark: SparkSession, path: str) -> DataFrame:
+    """Slow control: t (microseconds) and one column for each name that the file's own header lists."""
+    system, inner = _file_system(path)
+    with system.open_input_file(inner) as file:
+        head = np.frombuffer(file.read(MONITOR_HEADER.itemsize), MONITOR_HEADER)[0]
+        n = int(head["n"])
+        names = [file.read(MONITOR_NAME).split(b"\0")[0].decode("latin-1").strip() for _ in range(n)]
+    layout = [("time_s", "<i8", 1), ("time_mus", "<i8", 1), ("values", "<f4", -n)]
+    rows = read_records(spark, path, layout, MONITOR_HEADER.itemsize + n * MONITOR_NAME)
+    return rows.select((F.col("time_s") * 1_000_000 + F.col("time_mus")).alias("t"), *[F.get("values", F.lit(i)).alias(name) for i, name in enumerate(names)])

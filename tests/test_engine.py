@@ -165,3 +165,22 @@ def test_fits_find_known_parameters():
     assert fits.noise_threshold(0.0, 1.0, 1.0, 0.15865) == pytest.approx(1.0, abs=0.02)
     assert fits.gap_upper_limit(np.array([1.0])) == pytest.approx(-np.log(0.1), rel=0.05)
     assert fits.simplex(lambda p: (p[0] - 3) ** 2 + (p[1] + 1) ** 2, np.array([0.0, 0.0])) == pytest.approx([3, -1], abs=1e-4)
+
+
+def test_panel_and_monitor_files(spark, tmp_path):
+    data = np.zeros(2, records.dtype_of(records.PANELS))
+    data["time_low"], data["time_high"], data["number_channels"], data["panel"] = 5, [0, 1], 21, np.arange(42).reshape(2, 21)
+    data.tofile(f"{tmp_path}/a.qdc")
+    rows = records.read_panels(spark, f"{tmp_path}/a.qdc").orderBy("record").collect()
+    assert rows[1].panel == list(range(21, 42)) and rows[1].hours == pytest.approx((2**32 + 5) / 1e7 / 3600)
+    head = np.array([(b"v1", 10, 20, 2)], records.MONITOR_HEADER).tobytes() + b"heater".ljust(48, b"\0") + b"cold stage".ljust(48, b"\0")
+    body = np.array([(3, 4, [1.5, 2.5]), (5, 6, [3.5, 4.5])], np.dtype([("a", "<i8"), ("b", "<i8"), ("v", "<f4", (2,))])).tobytes()
+    (tmp_path / "a.mon").write_bytes(head + body)
+    got = records.read_monitor(spark, f"{tmp_path}/a.mon").orderBy("t").collect()
+    assert got[0].asDict() == {"t": 3_000_004, "heater": 1.5, "cold stage": 2.5} and len(got) == 2
+
+
+def test_stream_chunks(spark, tmp_path):
+    np.arange(250, dtype="<i2").tofile(f"{tmp_path}/s.csmpl")
+    chunks = records.read_stream(spark, f"{tmp_path}/s.csmpl", 100)
+    assert [v for r in chunks.orderBy("start").collect() for v in r.samples] == list(range(250))
