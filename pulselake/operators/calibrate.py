@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pulselake.operators.ordered import islands
+from pulselake.operators.ordered import gap_islands
 
 
 def pulser_fits(pulses: DataFrame, gap: int, unit: float) -> DataFrame:
@@ -14,8 +14,7 @@ def pulser_fits(pulses: DataFrame, gap: int, unit: float) -> DataFrame:
 
     pulses: channel, t, id, tpa, value. Runs end at gaps over `gap`; lines are over (t - t_first) / unit.
     """
-    line = W.partitionBy("channel").orderBy("t", "id")
-    runs = islands(pulses, "channel", ["t", "id"], F.col("t") - F.lag("t").over(line) > gap)
+    runs = gap_islands(pulses, "channel", "t", "id", gap)
     spans = runs.groupBy("channel", "island").agg(F.min("t").alias("t_first"), F.max("t").alias("t_last"))
     joined = runs.join(spans, ["channel", "island"])
     hours = (F.col("t") - F.col("t_first")) / unit

@@ -28,16 +28,23 @@ def not_coincident(a: DataFrame, b: DataFrame, low: int, high: int, key: str | N
     return b.join(coincidence(a, b, low, high, key).select(F.col("b_id").alias("id")).distinct(), "id", "left_anti")
 
 
-def nearest(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+def nearest(a: DataFrame, b: DataFrame, key: str, chunk: int = 3_600_000_000) -> DataFrame:
     """a_id, b_id, dt: for each row of a the nearest row of b of its key; ties to the earlier time, then the smaller id.
 
-    One sort by key and time holds both sides: the last row of b before and the first after are the only candidates.
+    Within a key and chunk of time one sort holds both sides: the last row of b before and the first after are the
+    only candidates. Chunks without such a row take them from the nearest chunk that has one.
     """
-    both = a.select(key, "t", "id", F.lit(0).alias("side")).unionByName(b.select(key, "t", "id", F.lit(1).alias("side")))
+    both = a.select(key, "t", "id", F.lit(0).alias("side")).unionByName(b.select(key, "t", "id", F.lit(1).alias("side"))).withColumn("chunk_", F.floor(F.col("t") / chunk))
     mark = F.when(F.col("side") == 1, F.struct("t", "id"))
-    up = W.partitionBy(key).orderBy("t", F.col("side").desc(), F.col("id").desc()).rowsBetween(W.unboundedPreceding, 0)
-    down = W.partitionBy(key).orderBy(F.col("t").desc(), F.col("side").desc(), F.col("id").desc()).rowsBetween(W.unboundedPreceding, 0)
-    found = both.withColumn("before", F.last(mark, ignorenulls=True).over(up)).withColumn("after", F.last(mark, ignorenulls=True).over(down)).where("side = 0")
+    ends = both.where("side = 1").groupBy(key, "chunk_").agg(F.max_by(F.struct("t", "id"), F.struct("t", -F.col("id"))).alias("top"), F.min(F.struct("t", "id")).alias("bottom"))
+    ends = both.select(key, "chunk_").distinct().join(ends, [key, "chunk_"], "left")
+    chunks = W.partitionBy(key).orderBy("chunk_")
+    ends = ends.select(key, "chunk_", F.last("top", ignorenulls=True).over(chunks.rowsBetween(W.unboundedPreceding, -1)).alias("earlier_"), F.first("bottom", ignorenulls=True).over(chunks.rowsBetween(1, W.unboundedFollowing)).alias("later_"))
+    line = W.partitionBy(key, "chunk_")
+    up = line.orderBy("t", F.col("side").desc(), F.col("id").desc()).rowsBetween(W.unboundedPreceding, 0)
+    down = line.orderBy(F.col("t").desc(), F.col("side").desc(), F.col("id").desc()).rowsBetween(W.unboundedPreceding, 0)
+    found = both.withColumn("b_", F.last(mark, ignorenulls=True).over(up)).withColumn("a_", F.last(mark, ignorenulls=True).over(down)).where("side = 0").join(ends, [key, "chunk_"])
+    found = found.withColumn("before", F.coalesce("b_", "earlier_")).withColumn("after", F.coalesce("a_", "later_"))
     gap = lambda c: F.abs(F.col(f"{c}.t") - F.col("t"))
     pick = F.when(F.col("after").isNull() | (gap("before") <= gap("after")), F.col("before")).otherwise(F.col("after"))
     return found.withColumn("pick", pick).where("pick is not null").select(F.col("id").alias("a_id"), F.col("pick.id").alias("b_id"), (F.col("pick.t") - F.col("t")).alias("dt"))
@@ -65,7 +72,3 @@ def coincident_channels(records: DataFrame, key: str, channel: str) -> DataFrame
     """channels, n: the channel tuples that fired under one trigger count, and how often."""
     fired = records.groupBy(key).agg(F.array_sort(F.collect_set(channel)).alias("channels"))
     return fired.groupBy("channels").agg(F.count(F.lit(1)).alias("n"))
-
-
-def first_over(order: Column) -> Column:
-    return F.row_number().over(W.orderBy(order))

@@ -12,25 +12,83 @@ from pyspark.sql.types import StructType
 #: Runs of rows that one call of the dead-time fold gets.
 RUNS = 512
 
+#: Microseconds of one key that are ordered together.
+CHUNK = 3_600_000_000
 
-def islands(df: DataFrame, key: str, order: list[str], new: Column) -> DataFrame:
-    """df with island: the number of rows so far of its key for which `new` holds."""
-    line = W.partitionBy(key).orderBy(*order)
-    return df.withColumn("new_", F.coalesce(new, F.lit(True)).cast("int")).withColumn("island", F.sum("new_").over(line.rowsBetween(W.unboundedPreceding, 0))).drop("new_")
+
+def _in_chunks(df: DataFrame, key: str, time: str, chunk: int) -> tuple[DataFrame, list[str]]:
+    """df with chunk_ (its time in units of `chunk`), and what a window within one chunk is partitioned by."""
+    return df.withColumn("chunk_", F.floor(F.col(time) / chunk)), [key, "chunk_"]
+
+
+def _with_carry(rows: DataFrame, key: str, ends: DataFrame) -> DataFrame:
+    """rows with what `ends` (key, chunk_ and more) holds for their chunk; null keys meet."""
+    more = [c for c in ends.columns if c not in (key, "chunk_")]
+    side = ends.select(F.col(key).alias("end_key_"), F.col("chunk_").alias("end_chunk_"), *more)
+    met = rows.join(side, F.col(key).eqNullSafe(F.col("end_key_")) & F.col("chunk_").eqNullSafe(F.col("end_chunk_")), "left")
+    return met.drop("end_key_", "end_chunk_")
+
+
+def since_previous(df: DataFrame, key: str, time: str, ident: str, chunk: int = CHUNK) -> DataFrame:
+    """df with since_: time since the row before it of its key, null for the first.
+
+    Rows are ordered within chunks of time only; what passes from chunk to chunk is one row a chunk, so a key that
+    holds most rows is still many tasks.
+    """
+    rows, by = _in_chunks(df, key, time, chunk)
+    ends = rows.groupBy(*by).agg(F.max(time).alias("last_"))
+    ends = ends.select(*by, F.last("last_", ignorenulls=True).over(W.partitionBy(key).orderBy("chunk_").rowsBetween(W.unboundedPreceding, -1)).alias("carry_"))
+    rows = rows.withColumn("lag_", F.lag(time).over(W.partitionBy(*by).orderBy(time, ident)))
+    return _with_carry(rows, key, ends).withColumn("since_", F.col(time) - F.coalesce("lag_", "carry_")).drop("lag_", "carry_", "chunk_")
+
+
+def numbered(df: DataFrame, key: str, time: str, ident: str, new: Column, name: str, chunk: int = CHUNK) -> DataFrame:
+    """df with `name`: the number of rows so far of its key, itself included, for which `new` holds; ordered in chunks."""
+    rows, by = _in_chunks(df.withColumn("new_", F.coalesce(new, F.lit(True)).cast("long")), key, time, chunk)
+    ends = rows.groupBy(*by).agg(F.sum("new_").alias("in_chunk_"))
+    ends = ends.select(*by, F.sum("in_chunk_").over(W.partitionBy(key).orderBy("chunk_").rowsBetween(W.unboundedPreceding, -1)).alias("carry_"))
+    rows = rows.withColumn("count_", F.sum("new_").over(W.partitionBy(*by).orderBy(time, ident).rowsBetween(W.unboundedPreceding, 0)))
+    return _with_carry(rows, key, ends).withColumn(name, F.col("count_") + F.coalesce("carry_", F.lit(0))).drop("count_", "carry_", "chunk_", "new_")
+
+
+def gap_islands(df: DataFrame, key: str, time: str, ident: str, most: int) -> DataFrame:
+    """df with island: runs of its key's rows without a gap over `most`, numbered from 1."""
+    return numbered(since_previous(df, key, time, ident), key, time, ident, F.col("since_") > most, "island").drop("since_")
+
+
+def ranked(df: DataFrame, value: str, ident: str, name: str, chunk: int = 65536) -> DataFrame:
+    """df with `name`: its place, from 0, in the order of (value, ident). Both are whole numbers.
+
+    Places are counted within one value and range of ids; only the counts of the values, one row each, are summed in one task.
+    """
+    sizes = df.groupBy(value).agg(F.count(F.lit(1)).alias("size_"))
+    sizes = sizes.select(F.col(value).alias("size_of_"), F.coalesce(F.sum("size_").over(W.orderBy(F.col(value).asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("below_"))
+    inside = numbered(df, value, ident, ident, F.lit(True), "inside_", chunk)
+    return inside.join(sizes, F.col(value).eqNullSafe(F.col("size_of_"))).withColumn(name, F.col("below_") + F.col("inside_") - 1).drop("below_", "inside_", "size_of_")
+
+
+def framed(df: DataFrame, key: str, time: str, ident: str, before: int, block: int = 65536) -> tuple[DataFrame, list[str]]:
+    """df with place_, own_ and block_, and what to partition a frame of up to `before` preceding rows by.
+
+    A block holds `block` rows of one key and a copy of the `before` rows ahead of them, for which own_ is false: drop
+    those once the frame is computed.
+    """
+    block = max(block, before)
+    rows = numbered(df, key, time, ident, F.lit(True), "place_").withColumn("home_", F.floor((F.col("place_") - 1) / block))
+    late = (F.col("place_") - 1) % block >= block - before
+    copies = F.when(late, F.array(F.col("home_"), F.col("home_") + 1)).otherwise(F.array("home_"))
+    return rows.withColumn("block_", F.explode(copies)).withColumn("own_", F.col("block_") == F.col("home_")).drop("home_"), [key, "block_"]
 
 
 def split_at_gaps(df: DataFrame, key: str, time: str, ident: str, most: int) -> DataFrame:
     """key, island, t_first, t_last, n: runs without a gap over `most`."""
-    line = W.partitionBy(key).orderBy(time, ident)
-    runs = islands(df, key, [time, ident], F.col(time) - F.lag(time).over(line) > most)
-    return runs.groupBy(key, "island").agg(F.min(time).alias("t_first"), F.max(time).alias("t_last"), F.count(F.lit(1)).alias("n"))
+    return gap_islands(df, key, time, ident, most).groupBy(key, "island").agg(F.min(time).alias("t_first"), F.max(time).alias("t_last"), F.count(F.lit(1)).alias("n"))
 
 
 def stable_runs(df: DataFrame, key: str, time: str, ident: str, height: str, sigma: float, gap: int) -> DataFrame:
     """df with good: within sigma standard deviations of its key's mean, and no gap over `gap` before it."""
     stats = df.groupBy(key).agg(F.avg(height).alias("mean_"), F.stddev_pop(height).alias("sd_"))
-    line = W.partitionBy(key).orderBy(time, ident)
-    joined = df.withColumn("since_", F.col(time) - F.lag(time).over(line)).join(stats, key)
+    joined = since_previous(df, key, time, ident).join(stats, key)
     inside = F.abs(F.col(height) - F.col("mean_")) <= sigma * F.col("sd_")
     return joined.withColumn("good", inside & (F.coalesce("since_", F.lit(0)) <= gap)).drop("mean_", "sd_", "since_")
 
@@ -46,12 +104,13 @@ def rate_cut(df: DataFrame, time: str, control: Column, interval: int, low: int,
     return slots.select("slot", "n", (F.col("usable") & (F.abs(F.col("n") - F.col("mean")) <= sigma * F.col("sd"))).alias("good"))
 
 
-def rolling_zscore(df: DataFrame, key: str, order: list[str], value: str, length: int) -> DataFrame:
+def rolling_zscore(df: DataFrame, key: str, order: tuple[str, str], value: str, length: int) -> DataFrame:
     """df with z against the `length` rows before it, where there are that many and they differ."""
-    frame = W.partitionBy(key).orderBy(*order).rowsBetween(-length, -1)
-    scored = df.withColumn("n_", F.count(value).over(frame)).withColumn("m_", F.avg(value).over(frame)).withColumn("s_", F.stddev_pop(value).over(frame))
+    rows, by = framed(df, key, *order, length)
+    frame = W.partitionBy(*by).orderBy("place_").rowsBetween(-length, -1)
+    scored = rows.withColumn("n_", F.count(value).over(frame)).withColumn("m_", F.avg(value).over(frame)).withColumn("s_", F.stddev_pop(value).over(frame))
     z = F.when((F.col("n_") == length) & (F.col("s_") > 0), (F.col(value) - F.col("m_")) / F.col("s_"))
-    return scored.withColumn("z", z).drop("n_", "m_", "s_")
+    return scored.where("own_").withColumn("z", z).drop("n_", "m_", "s_", "own_", "block_", "place_")
 
 
 def dead_time_fold(df: DataFrame, key: str, time: str, ident: str, block: int) -> DataFrame:
@@ -60,8 +119,7 @@ def dead_time_fold(df: DataFrame, key: str, time: str, ident: str, block: int) -
     Which rows these are hangs on all rows before, so the candidates of a key are folded in order by one task.
     Runs apart by `block` or more do not touch each other: RUNS of them are a group, so a long stream is many tasks.
     """
-    line = W.partitionBy(key).orderBy(time, ident)
-    runs = islands(df, key, [time, ident], F.col(time) - F.lag(time).over(line) >= block)
+    runs = gap_islands(df, key, time, ident, block - 1)
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values([time, ident])

@@ -229,14 +229,14 @@ def resolution(spark, d):
 
 @query("exposure", "SELECT channel, round(sum(CASE WHEN p IS NOT NULL THEN least(t - p, 600000000) END) / 3600000000.0, 6) AS live_hours, count(*) FILTER (t - p > 600000000) AS n_gaps FROM (SELECT channel, t, lag(t) OVER (PARTITION BY channel ORDER BY t, id) AS p FROM r WHERE kind = 'click') GROUP BY channel")
 def exposure(spark, d):
-    since = kind(spark, d, "click").withColumn("since", F.col("t") - F.lag("t").over(W.partitionBy("channel").orderBy("t", "id")))
+    since = O.since_previous(kind(spark, d, "click"), "channel", "t", "id").withColumnRenamed("since_", "since")
     return since.groupBy("channel").agg(r6(F.sum(F.when(F.col("since").isNotNull(), F.least(F.col("since"), F.lit(600 * SECOND)))) / HOUR, "live_hours"), F.count_if(F.col("since") > 600 * SECOND).alias("n_gaps"))
 
 
 @query("largest_gap", "SELECT channel, round(max(value - p), 6) AS gap FROM (SELECT channel, value, lag(value, 1, 0) OVER (PARTITION BY channel ORDER BY value, id) AS p FROM r) GROUP BY channel")
 def largest_gap(spark, d):
-    gap = F.col("value") - F.lag("value", 1, 0.0).over(W.partitionBy("channel").orderBy("value", "id"))
-    return records(spark, d).select("channel", gap.alias("g")).groupBy("channel").agg(r6(F.max("g"), "gap"))
+    gaps = O.since_previous(records(spark, d), "channel", "value", "id", 10)
+    return gaps.select("channel", F.coalesce("since_", "value").alias("g")).groupBy("channel").agg(r6(F.max("g"), "gap"))
 
 
 @query("noise_rate_curve", ", h AS (SELECT CAST(floor(value / 5) AS BIGINT) AS bin, count(*) AS n FROM r WHERE kind = 'error' GROUP BY 1) SELECT bin, n, CAST(sum(n) OVER (ORDER BY bin DESC) AS BIGINT) AS n_above FROM h")
@@ -247,7 +247,7 @@ def noise_rate_curve(spark, d):
 
 @query("noise_gaps", "SELECT channel, id, t - p - 120000000 AS room FROM (SELECT channel, id, t, lag(t) OVER (PARTITION BY channel ORDER BY t, id) AS p FROM r) WHERE t - p >= 240000000")
 def noise_gaps(spark, d):
-    since = records(spark, d).withColumn("since", F.col("t") - F.lag("t").over(W.partitionBy("channel").orderBy("t", "id")))
+    since = O.since_previous(records(spark, d), "channel", "t", "id").withColumnRenamed("since_", "since")
     return since.where(F.col("since") >= 240 * SECOND).select("channel", "id", (F.col("since") - 120 * SECOND).alias("room"))
 
 
@@ -264,7 +264,7 @@ def label_distribution(spark, d):
 @query("accuracy_by_height", ", h AS (SELECT toxic = 1 - quality AS hit, n_chars, (row_number() OVER (ORDER BY n_chars, doc_id) - 1) // 40 AS bin FROM labels JOIN documents USING (doc_id)) SELECT bin, count(*) AS n, round(avg(n_chars), 6) AS mean_height, round(avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM h GROUP BY bin")
 def accuracy_by_height(spark, d):
     h = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
-    h = h.withColumn("bin", F.floor((F.row_number().over(W.orderBy("n_chars", "doc_id")) - 1) / 40))
+    h = O.ranked(h, "n_chars", "doc_id", "place").withColumn("bin", F.floor(F.col("place") / 40))
     return h.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("n_chars"), "mean_height"), r6(F.avg((F.col("toxic") == 1 - F.col("quality")).cast("double")), "accuracy"))
 
 
@@ -282,8 +282,9 @@ def shrink_by_flag(spark, d):
 
 @query("moment_peaks", "SELECT id, CASE WHEN value > m + 2 * s THEN 1 WHEN value < m - 2 * s THEN -1 ELSE 0 END AS peak FROM (SELECT id, value, avg(value) OVER w AS m, stddev_samp(value) OVER w AS s, count(*) OVER w AS n FROM r WINDOW w AS (PARTITION BY channel ORDER BY t, id ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING)) WHERE n = 30")
 def moment_peaks(spark, d):
-    frame = W.partitionBy("channel").orderBy("t", "id").rowsBetween(-30, -1)
-    m = records(spark, d).withColumn("m", F.avg("value").over(frame)).withColumn("s", F.stddev_samp("value").over(frame)).withColumn("n", F.count(F.lit(1)).over(frame)).where("n = 30")
+    rows, by = O.framed(records(spark, d), "channel", "t", "id", 30)
+    frame = W.partitionBy(*by).orderBy("place_").rowsBetween(-30, -1)
+    m = rows.withColumn("m", F.avg("value").over(frame)).withColumn("s", F.stddev_samp("value").over(frame)).withColumn("n", F.count(F.lit(1)).over(frame)).where("n = 30 and own_")
     return m.select("id", F.when(F.col("value") > F.col("m") + 2 * F.col("s"), 1).when(F.col("value") < F.col("m") - 2 * F.col("s"), -1).otherwise(0).alias("peak"))
 
 

@@ -5,6 +5,7 @@ import os
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pulselake.functions import arrays as A
@@ -184,3 +185,32 @@ def test_stream_chunks(spark, tmp_path):
     np.arange(250, dtype="<i2").tofile(f"{tmp_path}/s.csmpl")
     chunks = records.read_stream(spark, f"{tmp_path}/s.csmpl", 100)
     assert [v for r in chunks.orderBy("start").collect() for v in r.samples] == list(range(250))
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 50, 10_000])
+def test_chunks_do_not_show(spark, chunk):
+    rng = np.random.default_rng(3)
+    rows = [(int(k), int(t), i) for i, (k, t) in enumerate(zip(rng.integers(0, 2, 120), rng.integers(0, 400, 120)))] + [(None, 5, 900), (None, 9, 901)]
+    df = spark.createDataFrame(rows, "k long, t long, id long")
+    since, last = {}, {}
+    for k, t, i in sorted(rows, key=lambda r: (str(r[0]), r[1], r[2])):
+        since[i], last[k] = (t - last[k]) if k in last else None, t
+    assert {r.id: r.since_ for r in ordered.since_previous(df, "k", "t", "id", chunk).collect()} == since
+    numbers = {}
+    for n, (k, t, i) in enumerate(sorted(rows, key=lambda r: (str(r[0]), r[1], r[2]))):
+        numbers[i] = sum(1 for r in rows if r[0] == k and (r[1], r[2]) <= (t, i) and r[2] % 3 == 0)
+    assert {r.id: r.n for r in ordered.numbered(df, "k", "t", "id", F.col("id") % 3 == 0, "n", chunk).collect()} == numbers
+    order = {i: n for n, (_, t, i) in enumerate(sorted(rows, key=lambda r: (r[1], r[2])))}
+    assert {r.id: r.place for r in ordered.ranked(df, "t", "id", "place", chunk).collect()} == order
+    got = {r.a_id: r.b_id for r in joins.nearest(df.where("id % 2 = 0"), df.where("id % 2 = 1"), "k", chunk).collect()}
+    want = {a: min((abs(u - t), u, b) for j, u, b in rows if j == k and b % 2)[2] for k, t, a in rows if k is not None and a % 2 == 0}
+    assert got == want
+
+
+@pytest.mark.parametrize("block", [4, 9, 1000])
+def test_frames_cross_blocks(spark, block):
+    rows = [(i % 2, i, i, float(i * i % 17)) for i in range(60)]
+    df, by = ordered.framed(spark.createDataFrame(rows, "k long, t long, id long, v double"), "k", "t", "id", 3, block)
+    summed = df.withColumn("s", F.sum("v").over(W.partitionBy(*by).orderBy("place_").rowsBetween(-3, -1))).where("own_")
+    got = {r.id: r.s for r in summed.collect()}
+    assert got == {i: sum(r[3] for r in rows if r[0] == i % 2 and i - 6 <= r[1] < i) or (None if i < 2 else 0.0) for i in range(60)}
