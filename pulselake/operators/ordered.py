@@ -51,9 +51,9 @@ def numbered(df: DataFrame, key: str, time: str, ident: str, new: Column, name:
     return _with_carry(rows, key, ends).withColumn(name, F.col("count_") + F.coalesce("carry_", F.lit(0))).drop("count_", "carry_", "chunk_", "new_")
 
 
-def gap_islands(df: DataFrame, key: str, time: str, ident: str, most: int) -> DataFrame:
+def gap_islands(df: DataFrame, key: str, time: str, ident: str, most: int, chunk: int = CHUNK) -> DataFrame:
     """df with island: runs of its key's rows without a gap over `most`, numbered from 1."""
-    return numbered(since_previous(df, key, time, ident), key, time, ident, F.col("since_") > most, "island").drop("since_")
+    return numbered(since_previous(df, key, time, ident, chunk), key, time, ident, F.col("since_") > most, "island", chunk).drop("since_")
 
 
 def ranked(df: DataFrame, value: str, ident: str, name: str, chunk: int = 65536) -> DataFrame:

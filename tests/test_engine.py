@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pulselake.functions import arrays as A
 from pulselake.functions import fits
-from pulselake.operators import joins, ordered, spectra
+from pulselake.operators import joins, ordered, spectra, triggering
 from pulselake.plans import catalog
 from pulselake.sources import records
 from pulselake.sources.groups import Groups
@@ -214,3 +214,38 @@ def test_frames_cross_blocks(spark, block):
     summed = df.withColumn("s", F.sum("v").over(W.partitionBy(*by).orderBy("place_").rowsBetween(-3, -1))).where("own_")
     got = {r.id: r.s for r in summed.collect()}
     assert got == {i: sum(r[3] for r in rows if r[0] == i % 2 and i - 6 <= r[1] < i) or (None if i < 2 else 0.0) for i in range(60)}
+
+
+def found_by_hand(y, length, threshold, n):
+    out, i = [], length
+    while i < n - length - 1:
+        if y[i] > threshold:
+            p = i + int(np.argmax(y[i : i + length]))
+            out.append(p)
+            i = p + length // 2 + 1
+        else:
+            i += 1
+    return out
+
+
+@pytest.mark.parametrize("size", [16, 50, 400, 5000])
+@pytest.mark.parametrize("how", ["filter", "deviation"])
+def test_triggers_do_not_depend_on_chunks(spark, size, how):
+    rng, length, n = np.random.default_rng(8), 16, 3011
+    x = rng.normal(0, 1, n)
+    for at in rng.integers(0, n - 12, 60):
+        x[at : at + 12] += rng.uniform(2, 9) * np.exp(-np.arange(12) / 4)
+    transfer = np.fft.rfft(np.exp(-np.arange(length) / 4)[::-1])
+    score, threshold = (triggering.filter_score(transfer), 6.0) if how == "filter" else (triggering.deviation_score, 2.5)
+    rows = [(c, s, x[::step][s : s + size].tolist()) for c, step in ((1, 1), (2, -1)) for s in range(0, n, size)]
+    chunks = spark.createDataFrame(rows, "channel long, start long, samples array<double>")
+    found = triggering.triggers(chunks, size, length, threshold, score)
+    got = {(r.channel, r.place): r.height for r in found.collect()}
+    want = {}
+    for c, step in ((1, 1), (2, -1)):
+        y = np.convolve(x[::step], np.fft.irfft(transfer, length))[:n] if how == "filter" else np.array([(x[::step][i] - x[::step][i - length : i].mean()) / x[::step][i - length : i].std() if i >= length else -9 for i in range(n)])
+        want |= {(c, p): y[p] for p in found_by_hand(y, length, threshold, n)}
+    assert len(want) > 40 and got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    cut = triggering.cut_windows(chunks, found.select("channel", "place"), size, length, 4)
+    assert {(r.channel, r.place): r.window for r in cut.collect()} == {(c, p): x[:: 1 if c == 1 else -1][p - 4 : p + 12].tolist() for c, p in want if p + 12 <= n}
