@@ -1,5 +1,6 @@
 """The event engine: every query against its SQL twin, golden values of the joins, sources, catalog and stream."""
 
+import math
 import os
 
 import duckdb
@@ -9,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pulselake.functions import arrays as A
-from pulselake.functions import fits
+from pulselake.functions import fits, noise, recoil
 from pulselake.operators import joins, ordered, spectra, triggering
 from pulselake.plans import catalog
 from pulselake.sources import records
@@ -249,3 +250,37 @@ def test_triggers_do_not_depend_on_chunks(spark, size, how):
     assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
     cut = triggering.cut_windows(chunks, found.select("channel", "place"), size, length, 4)
     assert {(r.channel, r.place): r.window for r in cut.collect()} == {(c, p): x[:: 1 if c == 1 else -1][p - 4 : p + 12].tolist() for c, p in want if p + 12 <= n}
+
+
+def test_noise_models_are_densities_and_fit(spark):
+    x = np.linspace(-2, 60, 60_001)
+    values = {"sigma": 1.0, "rate": 0.4, "weight": 0.9, "mu": 2.0, "sigma_2": 1.5}
+    for model, names in noise.MODELS.items():
+        y = noise.density(model, x, 50.0, **{n: values[n] for n in names})
+        assert abs(float(y.sum() * (x[1] - x[0])) - 1) < 1e-3, model
+    drawn = np.random.default_rng(1).normal(0, 1.3, (4000, 100)).max(axis=1)
+    at, counts = noise.binned(spark.createDataFrame([(float(v),) for v in drawn], "v double"), "v", 0.05)
+    found = noise.fit("gauss", at, counts, 60.0, sigma=1.0)
+    assert counts.sum() == 4000 and abs(found["sigma"] - 1.3) < 0.15
+    cut = noise.threshold("gauss", 0.01, 12.0, **found)
+    assert 0.004 < (drawn > cut).mean() < 0.02
+
+
+def test_recoil_rates(spark):
+    e = [0.01, 0.3, 1.0, 5.0, 20.0]
+    got = spark.createDataFrame([(v,) for v in e], "e double").select("e", recoil.erf(F.col("e")).alias("erf"), recoil.form_factor(F.col("e"), 184).alias("f"), recoil.speed_integral(F.col("e"), 16, 10.0).alias("i")).collect()
+    for r in got:
+        assert abs(r.erf - math.erf(r.e)) < 1e-11
+        m = 0.938272 * 16
+        least = 299792.458 * math.sqrt(m * r.e * 1e-6 / 2) / (m * 10 / (m + 10))
+        v = np.linspace(max(least, 1e-3), 800, 400_001)
+        # the speeds in the galaxy's frame cut at the escape speed, seen from the sun
+        top = lambda s: np.exp(-np.minimum((v + s * 231) ** 2, 544.0**2) / 220**2)
+        shape = np.where(v < 544 + 231, top(-1) - top(1), 0.0)
+        z = 544 / 220
+        norm = math.erf(z) - 2 / math.sqrt(math.pi) * z * math.exp(-z * z)
+        want = float(np.trapezoid(shape, v)) / (math.sqrt(math.pi) * 220 * 231 * norm)
+        assert abs(r.i - want) < 1e-3 * want + 1e-9
+    assert abs(got[0].f - 1) < 0.01 and abs(got[-1].f) < 1
+    spectrum = recoil.recoil_spectrum(spark, {16: 0.22, 40: 0.14, 184: 0.64}, 10.0, 0.1, 20.0).orderBy("energy").collect()
+    assert abs(spectrum[-1].share - 1) < 1e-9 and spectrum[0].rate > spectrum[-1].rate >= 0
