@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -42,3 +46,30 @@ def amplitudes(events: DataFrame, fits: DataFrame, unit: float) -> DataFrame:
     met = met.withColumn("a", F.get("ks", at)).withColumn("b", F.get("ks", at + 1))
     run = F.col("b.h") - F.col("a.h")
     return met.select("id", F.when(run != 0, F.col("a.tpa") + (F.col("value") - F.col("a.h")) * (F.col("b.tpa") - F.col("a.tpa")) / run).otherwise(F.col("a.tpa")).alias("tpa"))
+
+
+def line_bands(points: DataFrame, key: str, x: str, y: str) -> DataFrame:
+    """key, n, slope, intercept, mean_x, sxx, residual: the straight line of each key and the deviation of its residuals."""
+    g = points.groupBy(key).agg(F.regr_count(y, x).alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_avgx(y, x).alias("mean_x"), F.regr_sxx(y, x).alias("sxx"), F.regr_syy(y, x).alias("syy_"), F.regr_sxy(y, x).alias("sxy_"))
+    rest = F.greatest(F.col("syy_") - F.col("slope") * F.col("sxy_"), F.lit(0.0))
+    return g.withColumn("residual", F.sqrt(rest / (F.col("n") - 2))).drop("syy_", "sxy_").where("n > 2")
+
+
+def band_at(x: Column, z: float = 1.0) -> tuple[Column, Column, Column]:
+    """Value, half width of the confidence band and of the prediction band of a row of line_bands at x, for z deviations."""
+    lever = 1 / F.col("n") + (x - F.col("mean_x")) ** 2 / F.col("sxx")
+    return F.col("intercept") + F.col("slope") * x, z * F.col("residual") * F.sqrt(lever), z * F.col("residual") * F.sqrt(1 + lever)
+
+
+def polynomial_without_constant(points: DataFrame, key: str, x: str, y: str, order: int) -> DataFrame:
+    """key, coefficients (of x, x^2, ...): least squares through zero. Sums of powers are aggregated; each key's small system is solved beside them."""
+    sums = [F.sum(F.pow(F.col(x), k)).alias(f"x{k}") for k in range(2, 2 * order + 1)] + [F.sum(F.pow(F.col(x), k) * F.col(y)).alias(f"y{k}") for k in range(1, order + 1)]
+    summed = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(key).agg(*sums)
+
+    def solve(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in parts:
+            a = np.array([[rows[f"x{i + j}"] for j in range(1, order + 1)] for i in range(1, order + 1)], float).transpose(2, 0, 1)
+            b = np.array([rows[f"y{k}"] for k in range(1, order + 1)], float).T
+            yield pd.DataFrame({key: rows[key], "coefficients": [np.linalg.lstsq(m, v, rcond=None)[0].tolist() for m, v in zip(a, b)]})
+
+    return summed.mapInPandas(solve, f"{key} {points.schema[key].dataType.simpleString()}, coefficients array<double>")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pulselake.functions import arrays as A
+from pulselake.operators import calibrate, evaluate, triggering
 from pulselake.operators import joins as J
 from pulselake.operators import ordered as O
 from pulselake.plans.tables import SQL_RECORDS, records, table
@@ -264,8 +266,8 @@ def label_distribution(spark, d):
 @query("accuracy_by_height", ", h AS (SELECT toxic = 1 - quality AS hit, n_chars, (row_number() OVER (ORDER BY n_chars, doc_id) - 1) // 40 AS bin FROM labels JOIN documents USING (doc_id)) SELECT bin, count(*) AS n, round(avg(n_chars), 6) AS mean_height, round(avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM h GROUP BY bin")
 def accuracy_by_height(spark, d):
     h = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
-    h = O.ranked(h, "n_chars", "doc_id", "place").withColumn("bin", F.floor(F.col("place") / 40))
-    return h.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("n_chars"), "mean_height"), r6(F.avg((F.col("toxic") == 1 - F.col("quality")).cast("double")), "accuracy"))
+    out = evaluate.equal_count_accuracy(h, "n_chars", "doc_id", F.col("toxic") == 1 - F.col("quality"), 40)
+    return out.select("bin", "n", r6(F.col("mean_height"), "mean_height"), r6(F.col("accuracy"), "accuracy"))
 
 
 @query("union_with_origin", ", u AS (SELECT 'first' AS origin, id, value FROM r WHERE id % 2 = 0 UNION ALL SELECT 'second', id + 1000000, value FROM r WHERE id % 2 = 1) SELECT origin, count(*) AS n, max(id) AS last_id, round(sum(value), 4) AS total FROM u GROUP BY origin")
@@ -307,3 +309,59 @@ def decimated_frame(spark, d):
 @query("channel_sum_stream", "SELECT t // 60000000 AS slot, round(sum(value), 6) AS total, count(DISTINCT channel) AS n_channels FROM r GROUP BY 1")
 def channel_sum_stream(spark, d):
     return records(spark, d).groupBy(F.floor(F.col("t") / MINUTE).alias("slot")).agg(r6(F.sum("value"), "total"), F.count_distinct("channel").alias("n_channels"))
+
+
+#: The heights of the records in order, as one stream in chunks.
+CHUNK, RECORD = 512, 32
+
+
+def _stream(spark, d):
+    placed = records(spark, d).select(F.lit(0).alias("channel"), (F.floor(F.col("id") / CHUNK) * CHUNK).alias("start"), "id", "value")
+    cut = placed.groupBy("channel", "start").agg(F.array_sort(F.collect_list(F.struct("id", "value"))).alias("s"))
+    return cut.select("channel", "start", F.transform("s", lambda r: r["value"]).alias("samples"))
+
+
+@query("filter_trigger")
+def filter_trigger(spark, d):
+    """Records whose stream, through a matched filter of a decaying pulse, passes a threshold; tested against a plain loop."""
+    transfer = np.conj(np.fft.rfft(np.exp(-np.arange(RECORD) / 4.0)))
+    transfer[0] = 0
+    found = triggering.triggers(_stream(spark, d), CHUNK, RECORD, 60.0, triggering.filter_score(transfer))
+    return found.select("channel", "place", r6(F.col("height"), "height"))
+
+
+@query("deviation_trigger")
+def deviation_trigger(spark, d):
+    found = triggering.triggers(_stream(spark, d), CHUNK, RECORD, 2.5, triggering.deviation_score)
+    return found.select("channel", "place", r6(F.col("height"), "height"))
+
+
+@query("chunk_windows", "SELECT a.id, round(sum(b.value), 6) AS area, round(arg_max(b.value, b.id), 6) AS last_sample FROM r a JOIN r b ON a.kind = 'purchase' AND b.id >= a.id - 8 AND b.id < a.id + 24 GROUP BY a.id HAVING count(*) = 32")
+def chunk_windows(spark, d):
+    asked = kind(spark, d, "purchase").select(F.lit(0).alias("channel"), F.col("id").alias("place"))
+    cut = triggering.cut_windows(_stream(spark, d), asked, CHUNK, RECORD, 8)
+    return cut.select(F.col("place").alias("id"), r6(A.total(F.col("window")), "area"), r6(F.element_at("window", -1), "last_sample"))
+
+
+@query("scatter_raster", """, p AS (SELECT CAST(round_even(tpa / 10 * 40, 0) AS BIGINT) AS px, CAST(round_even((1 - value / 200) * 50, 0) AS BIGINT) AS py FROM r)
+SELECT px, py, least(1.0, 0.3 * count(*))::DOUBLE AS shade FROM p WHERE px BETWEEN 1 AND 40 AND py BETWEEN 1 AND 50 GROUP BY px, py""")
+def scatter_raster(spark, d):
+    out = evaluate.raster(records(spark, d), F.col("tpa"), F.col("value"), (0.0, 10.0, 0.0, 200.0), 40, 50)
+    return out.select("px", "py", r6(F.col("shade"), "shade"))
+
+
+@query("line_bands", """, h AS (SELECT tpa, value, (t - 1704067200000000) / 3600000000.0 AS h FROM r WHERE kind = 'purchase'),
+f AS (SELECT tpa, regr_count(value, h) AS n, regr_slope(value, h) AS b, regr_intercept(value, h) AS a, regr_avgx(value, h) AS mx, regr_sxx(value, h) AS sxx, regr_syy(value, h) AS syy, regr_sxy(value, h) AS sxy FROM h GROUP BY tpa),
+g AS (SELECT *, sqrt(greatest(syy - b * sxy, 0) / (n - 2)) AS s FROM f WHERE n > 2)
+SELECT tpa, round(a + b * 12, 6) AS middle, round(s * sqrt(1.0 / n + (12 - mx) ** 2 / sxx), 6) AS confidence, round(s * sqrt(1 + 1.0 / n + (12 - mx) ** 2 / sxx), 6) AS prediction FROM g""")
+def line_bands(spark, d):
+    hours = kind(spark, d, "purchase").withColumn("h", (F.col("t") - 1_704_067_200_000_000) / HOUR)
+    middle, confidence, prediction = calibrate.band_at(F.lit(12.0))
+    return calibrate.line_bands(hours, "tpa", "h", "value").select("tpa", r6(middle, "middle"), r6(confidence, "confidence"), r6(prediction, "prediction"))
+
+
+@query("quadratic_through_zero", """, s AS (SELECT channel, sum(tpa ** 2) AS a, sum(tpa ** 3) AS b, sum(tpa ** 4) AS c, sum(tpa * value) AS p, sum(tpa ** 2 * value) AS q FROM r GROUP BY channel)
+SELECT channel, round((p * c - q * b) / (a * c - b * b), 6) AS c1, round((q * a - p * b) / (a * c - b * b), 6) AS c2 FROM s""")
+def quadratic_through_zero(spark, d):
+    out = calibrate.polynomial_without_constant(records(spark, d), "channel", "tpa", "value", 2)
+    return out.select("channel", r6(F.get("coefficients", F.lit(0)), "c1"), r6(F.get("coefficients", F.lit(1)), "c2"))

@@ -22,8 +22,8 @@ STAMPS = [("stamp", "<u8", 1), ("bank", "<u4", 1), ("bank2", "<u4", 1)]
 TEST_STAMPS = [("stamp", "<u8", 1), ("tpa", "<f4", 1), ("tpch", "<u4", 1)]
 CONTROL = [("detector_nmbr", "<i4", 1), ("pulse_height", "<f4", 1), ("time_stamp_low", "<u4", 1), ("time_stamp_high", "<u4", 1), ("dead_time", "<f4", 1), ("mus_since_last_tp", "<i4", 1)]
 CONTROL_HEADER = 12
-_SPARK = {"i2": "short", "i4": "int", "u4": "long", "u8": "decimal(20,0)", "i8": "long", "f4": "float", "f8": "double"}
-_ARROW = {"i2": pa.int16(), "i4": pa.int32(), "u4": pa.int64(), "u8": pa.decimal128(20), "i8": pa.int64(), "f4": pa.float32(), "f8": pa.float64()}
+_SPARK = {"i1": "byte", "i2": "short", "i4": "int", "u4": "long", "u8": "decimal(20,0)", "i8": "long", "f4": "float", "f8": "double"}
+_ARROW = {"i1": pa.int8(), "i2": pa.int16(), "i4": pa.int32(), "u4": pa.int64(), "u8": pa.decimal128(20), "i8": pa.int64(), "f4": pa.float32(), "f8": pa.float64()}
 
 
 def triggered_layout(record_length: int, ints_in_header: int = 7, dvm_channels: int = 0) -> list[tuple[str, str, int]]:

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from pulselake.functions import arrays as A
 from pulselake.functions import fits, noise, recoil
-from pulselake.operators import joins, ordered, spectra, triggering
+from pulselake.operators import evaluate, joins, ordered, spectra, triggering
 from pulselake.plans import catalog
-from pulselake.sources import records
+from pulselake.sources import interleaved, records
 from pulselake.sources.groups import Groups
 
 SF = "/root/testdata/sf0.001"
@@ -284,3 +284,34 @@ def test_recoil_rates(spark):
     assert abs(got[0].f - 1) < 0.01 and abs(got[-1].f) < 1
     spectrum = recoil.recoil_spectrum(spark, {16: 0.22, 40: 0.14, 184: 0.64}, 10.0, 0.1, 20.0).orderBy("energy").collect()
     assert abs(spectrum[-1].share - 1) < 1e-9 and spectrum[0].rate > spectrum[-1].rate >= 0
+
+
+def test_interleaved_and_24_bit_files(spark, tmp_path):
+    word = 1 | 1 << 6 | 1 << 7 | 1 << interleaved.WIDE_ADC
+    row = np.dtype([("Time", "<u8"), ("ADC1", "<i4"), ("ADC2", "<i4")])
+    data = np.array([(i, i * 1000, -i) for i in range(500)], row)
+    (tmp_path / "a.bin").write_bytes(np.array([(1, 0, 1, word, 7)], interleaved.HEADER).tobytes() + data.tobytes())
+    got = interleaved.read_interleaved(spark, str(tmp_path / "a.bin"), 64).orderBy("place").collect()
+    assert [r.place for r in got] == list(range(500)) and all(abs(r.ADC1 - r.place * 1000 * interleaved.SWING / 2**24) < 1e-9 and int(r.Time) == r.place for r in got)
+    counts = [0, 1, -1, 40_000, -40_000, 2**23 - 1, -(2**23)]
+    (tmp_path / "b.bin").write_bytes(b"".join(c.to_bytes(3, "little", signed=True) for c in counts))
+    volts = [r.volts for r in interleaved.read_24_bit(spark, str(tmp_path / "b.bin"), swing=2.0**24).orderBy("place").collect()]
+    assert volts == counts
+
+
+def test_text_tables(spark, tmp_path):
+    points = spark.createDataFrame([(float(i), i * 0.5) for i in range(20)], "x double, y double")
+    interleaved.write_xy(points, str(tmp_path / "xy"), "a title", ["x", "y", "z"])
+    assert sorted(map(tuple, interleaved.read_xy(spark, str(tmp_path / "xy"), ["x", "y"]).collect())) == [(float(i), i * 0.5) for i in range(20)]
+    labels = spark.createDataFrame([(0, 1, 3), (1, 1, 7), (0, 4, 7)], "channel int, event_idx long, label int")
+    interleaved.write_labels(labels, str(tmp_path / "labels"))
+    back = interleaved.read_labels(spark, str(tmp_path / "labels"))
+    events = spark.createDataFrame([(0, 1), (0, 2)], "channel int, event_idx long")
+    assert sorted(map(tuple, interleaved.with_labels(events, back).select("event_idx", "label").collect())) == [(1, 3), (2, 0)]
+    assert sorted(r.event_idx for r in interleaved.labelled(back, 7).collect()) == [1, 4]
+
+
+def test_models_predict_in_batches(spark):
+    df = spark.createDataFrame([(i, [float(i), 2.0]) for i in range(50)] + [(99, None)], "id long, x array<double>")
+    got = evaluate.predicted(df, "id", "x", lambda: lambda rows: rows @ np.array([3.0, 1.0]))
+    assert {r.id: r.prediction for r in got.collect()} == {i: 3.0 * i + 2 for i in range(50)}
