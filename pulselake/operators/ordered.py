@@ -132,25 +132,54 @@ def dead_time_fold(df: DataFrame, key: str, time: str, ident: str, block: int) -
     return runs.withColumn("island", F.floor(F.col("island") / RUNS)).groupBy(key, "island").applyInPandas(fold, runs.schema).drop("island")
 
 
-def exponential_trigger(df: DataFrame, key: str, order: list[str], value: str, short: float, long: float, sigma: float) -> DataFrame:
-    """df with fast, slow and fired: two exponential means with memories of `short` and `long` rows and the recursive deviation of the slow one; fired where they part by sigma deviations."""
-    a, b = float(np.exp(-1 / short)), float(np.exp(-1 / long))
-    schema = StructType(list(df.schema.fields)).add("fast", "double").add("slow", "double").add("fired", "boolean")
+def exponential_trigger(df: DataFrame, key: str, order: tuple[str, str], value: str, short: float, long: float, sigma: float, block: int = 65536) -> DataFrame:
+    """df with fast, slow and fired: two exponential means with memories of `short` and `long` rows and the recursive deviation of the slow one; fired where they part by sigma deviations.
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order).reset_index(drop=True)
-        fast = slow = var = None
+    Each row hangs on all before it. What a block of rows does to the means is linear in the means it starts from, and
+    quadratic for the deviation, so each block is summed up by six numbers; one task per key chains those, and the blocks
+    are then run from their starts. Rows without a value get null and are passed over.
+    """
+    a, b = float(np.exp(-1 / short)), float(np.exp(-1 / long))
+    (time, ident), names = order, df.columns
+    rows = numbered(df.where(F.col(value).isNotNull()), key, time, ident, F.lit(True), "place_").withColumn("block_", F.floor((F.col("place_") - 1) / block))
+    kind = df.schema[key].dataType.simpleString()
+
+    def summed(part: pd.DataFrame) -> pd.DataFrame:
+        v = part.sort_values("place_")[value].to_numpy(float)
+        base, fast, slow, flat, tilt, bend, left = v[0], 0.0, 0.0, 0.0, 0.0, 0.0, 1.0
+        for x in v - base:
+            off = x - slow
+            flat, tilt, bend = b * flat + (1 - b) * off * off, b * tilt - 2 * (1 - b) * off * left, b * bend + (1 - b) * left * left
+            fast, slow, left = a * fast + (1 - a) * x, b * slow + (1 - b) * x, b * left
+        return pd.DataFrame({"start_key_": [part[key].iloc[0]], "block": [part["block_"].iloc[0]], "n": [len(v)], "base": [base], "cf": [fast], "cs": [slow], "flat": [flat], "tilt": [tilt], "bend": [bend]})
+
+    def chained(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("block").reset_index(drop=True)
+        fast = slow = part["base"].iloc[0]
+        var, out = 0.0, []
+        for r in part.itertuples():
+            out.append((fast, slow, var))
+            s = slow - r.base
+            var = b**r.n * var + max(r.flat + r.tilt * s + r.bend * s * s, 0.0)
+            fast, slow = r.base + a**r.n * (fast - r.base) + r.cf, r.base + b**r.n * s + r.cs
+        part[["fast0", "slow0", "var0"]] = out
+        return part[["start_key_", "block", "fast0", "slow0", "var0"]]
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("place_").reset_index(drop=True)
+        fast, slow, var = (float(part[c].iloc[0]) for c in ("fast0", "slow0", "var0"))
         out = []
-        for v in rows[value].to_numpy(float):
-            if fast is None:
-                fast, slow, var, fired = v, v, 0.0, False
-            else:
-                fast = a * fast + (1 - a) * v
-                fired = abs(fast - slow) > sigma * np.sqrt(var) and var > 0
-                var = b * var + (1 - b) * (v - slow) ** 2
-                slow = b * slow + (1 - b) * v
-            out.append((fast, slow, bool(fired)))
-        rows[["fast", "slow", "fired"]] = pd.DataFrame(out, index=rows.index, columns=["fast", "slow", "fired"])
-        return rows
-
-    return df.groupBy(key).applyInPandas(fold, schema)
+        for v in part[value].to_numpy(float):
+            fast = a * fast + (1 - a) * v
+            fired = var > 0 and abs(fast - slow) > sigma * np.sqrt(var)
+            var, slow = b * var + (1 - b) * (v - slow) ** 2, b * slow + (1 - b) * v
+            out.append((fast, slow, fired))
+        part[["fast", "slow", "fired"]] = out
+        return part[[*names, "fast", "slow", "fired"]]
+
+    blocks = rows.select(key, "block_", "place_", value).groupBy(key, "block_").applyInPandas(summed, f"start_key_ {kind}, block long, n long, base double, cf double, cs double, flat double, tilt double, bend double")
+    starts = blocks.groupBy("start_key_").applyInPandas(chained, f"start_key_ {kind}, block long, fast0 double, slow0 double, var0 double")
+    met = rows.join(starts, F.col(key).eqNullSafe(F.col("start_key_")) & (F.col("block_") == F.col("block"))).drop("start_key_", "block")
+    schema = StructType(list(df.schema.fields)).add("fast", "double").add("slow", "double").add("fired", "boolean")
+    rest = df.where(F.col(value).isNull()).select(*df.columns, F.lit(None).cast("double").alias("fast"), F.lit(None).cast("double").alias("slow"), F.lit(None).cast("boolean").alias("fired"))
+    return met.groupBy(key, "block_").applyInPandas(run, schema).unionByName(rest)

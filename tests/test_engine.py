@@ -315,3 +315,22 @@ def test_models_predict_in_batches(spark):
     df = spark.createDataFrame([(i, [float(i), 2.0]) for i in range(50)] + [(99, None)], "id long, x array<double>")
     got = evaluate.predicted(df, "id", "x", lambda: lambda rows: rows @ np.array([3.0, 1.0]))
     assert {r.id: r.prediction for r in got.collect()} == {i: 3.0 * i + 2 for i in range(50)}
+
+
+@pytest.mark.parametrize("block", [5, 64, 10_000])
+def test_exponential_means_cross_blocks(spark, block):
+    rng = np.random.default_rng(4)
+    v = rng.normal(100, 1, 200)
+    v[::23] += 15
+    rows = [(0, i // 2, i, float(x)) for i, x in enumerate(v)] + [(1, 3, 900, None)]
+    df = spark.createDataFrame(rows, "k long, t long, id long, v double")
+    got = {r.id: (r.fast, r.slow, r.fired) for r in ordered.exponential_trigger(df, "k", ("t", "id"), "v", 5.0, 50.0, 2.0, block).collect()}
+    a, b = math.exp(-1 / 5), math.exp(-1 / 50)
+    fast = slow = v[0]
+    var = 0.0
+    for i, x in enumerate(v):
+        fast = a * fast + (1 - a) * x
+        fired = var > 0 and abs(fast - slow) > 2 * math.sqrt(var)
+        var, slow = b * var + (1 - b) * (x - slow) ** 2, b * slow + (1 - b) * x
+        assert abs(got[i][0] - fast) < 1e-8 and abs(got[i][1] - slow) < 1e-8 and got[i][2] == fired
+    assert got[900] == (None, None, None) and sum(1 for g in got.values() if g[2]) > 3
