@@ -32,7 +32,7 @@ def op3_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pulselake.llm.secrets import scan
 
     found = scan(table(spark, sf_dir, "documents"))
-    return found.select(F.col("id").alias("doc_id"), F.col("at").cast("long").alias("word_index"), F.length("value").cast("long").alias("n_chars"), F.sha2("value", 256).alias("value_sha256"), F.round("score", 6).alias("score"), "is_secret")
+    return found.select(F.col("id").alias("doc_id"), F.col("at").cast("long").alias("word_index"), F.col("place").cast("long").alias("place"), F.length("value").cast("long").alias("n_chars"), F.sha2("value", 256).alias("value_sha256"), F.round("score", 6).alias("score"), "is_secret")
 
 
 def op4_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:

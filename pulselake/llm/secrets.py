@@ -1,12 +1,12 @@
 """Secret scans: candidates by form, false positives removed by a random forest, in DataFrame operations only.
 
-A candidate is a run of at least MIN_LENGTH key characters in a word. Its features are its length, shares of digits,
+A candidate is a run of at least MIN_LENGTH key characters in a word; a word has as many as it has such runs. Its features are its length, shares of digits,
 upper and lower case and signs, changes between character kinds, distinct characters, vowels, how much of it
-dictionary words cover, signs of a path or address around it, and credential words in its own word and
-the two before. The dictionary is the DICTIONARY most frequent lower-case words of the corpus, counted over all
+dictionary words cover, signs of a path or address around it, credential words in its own word and
+the two before, whether it is assigned to one, and whether it is a part of a web token. The dictionary is the DICTIONARY most frequent lower-case words of the corpus, counted over all
 documents.
 
-The forest is trained on labelled findings: (id, at, label) rows that name candidates. Where no findings have been
+The forest is trained on labelled findings: (id, at, place, label) rows that name candidates. Where no findings have been
 labelled by hand, `labelled_by_rule` labels candidates whose form settles them either way and leaves the rest
 out. At most TRAIN_FINDINGS of each label train it, those with the smallest hashes.
 
@@ -29,19 +29,38 @@ DICTIONARY = 150
 TRAIN_FINDINGS = 2000
 RUN = r"[A-Za-z0-9+/_\-]{" + str(MIN_LENGTH) + ",}"
 CREDENTIAL = r"(?i)(passw|pwd|secret|token|api.?key|access.?key|auth|bearer|credential)"
-FEATURES = ["length", "digits", "upper", "lower", "signs", "changes", "distinct", "vowels", "hex", "covered", "path", "named", "near", "assigned", "quoted"]
+#: The end of what stands before a value that is assigned to a credential word, or the value of a bearer.
+GIVEN = CREDENTIAL + r"""[\w.\-]*+[\\"'`\])]*\s*[=:>]+\s*((bearer|basic|token)\s+)?[\\"'`(\[{]*$|(?i)\bbearer\s+["'`]?$"""
+#: A web token: header, payload, signature.
+JWT = r"\beyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]+"
+FEATURES = ["length", "digits", "upper", "lower", "signs", "changes", "distinct", "vowels", "hex", "covered", "path", "named", "near", "assigned", "quoted", "given", "part"]
 TREES, DEPTH, SEED = 30, 6, 7
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, at (number of the word), word, before, before2, after, value for each candidate."""
+    """A row for each candidate: id, at (number of the word), place (number of the candidate in the word), value, and what
+    surrounds it. What depends on the whole word is told once a word, so a long word of many candidates stays linear."""
     words = F.split(F.coalesce(F.col(text_col), F.lit("")), r"\s+")
     places = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.rlike(F.get("w", i), F.lit(RUN)))
     read = docs.select(F.col(id_col).alias("id"), words.alias("w"))
     found = read.select("id", "w", F.explode(places).alias("at"))
     near = lambda d: F.coalesce(F.get("w", F.col("at") + d), F.lit(""))
-    found = found.select("id", "at", near(0).alias("word"), near(-1).alias("before"), near(-2).alias("before2"), near(1).alias("after"))
-    return found.withColumn("value", F.regexp_extract("word", RUN, 0))
+    found = found.select("id", "at", near(0).alias("word"), near(-1).alias("before"), near(-2).alias("before2"))
+    runs, gaps = F.regexp_extract_all("word", F.lit(RUN), F.lit(0)), F.split("word", RUN, -1)
+    # What stands before a run: the run before it, or the words before, and the characters between.
+    leads = F.zip_with(F.concat(F.array(F.concat_ws(" ", "before2", "before", F.lit(""))), runs), gaps, lambda x, y: F.concat(x, y))
+    listed = F.zip_with(runs, leads, lambda v, lead: F.struct(v.alias("value"), F.rlike(lead, F.lit(GIVEN)).alias("given")))
+    parts = F.flatten(F.transform(F.regexp_extract_all("word", F.lit(JWT), F.lit(0)), lambda t: F.split(t, r"\.")))
+    context = {
+        "path": F.rlike("word", F.lit(r"://|^\.?\.?/|\.[a-z]{2,4}(/|$)|/.*/")),
+        "named": F.rlike("word", F.lit(CREDENTIAL)),
+        "near": F.rlike("before", F.lit(CREDENTIAL)) | F.rlike("before2", F.lit(CREDENTIAL)),
+        "assigned": F.rlike("word", F.lit("[=:]")) | F.rlike("before", F.lit("[=:]$")),
+        "quoted": F.rlike("word", F.lit("[\"'`]")),
+    }
+    found = found.select("id", "at", *[c.alias(k) for k, c in context.items()], parts.alias("parts"), F.filter(listed, lambda x: x["value"].isNotNull()).alias("listed"))
+    found = found.select("id", "at", *context, "parts", F.posexplode("listed").alias("place", "one"))
+    return found.select("id", "at", "place", "one.value", *context, "one.given", F.array_contains("parts", F.col("one.value")).alias("part"))
 
 
 def dictionary(docs: DataFrame, text_col: str = "text", most: int = DICTIONARY) -> list[str]:
@@ -68,33 +87,29 @@ def features(found: DataFrame, words: list[str]) -> DataFrame:
         "vowels": share("[aeiouAEIOU]"),
         "hex": F.rlike(value, F.lit("^[0-9a-fA-F]+$")),
         "covered": F.lit(1.0) - F.length(F.regexp_replace(F.lower(value), known, "")) / size,
-        "path": F.rlike("word", F.lit(r"://|^\.?\.?/|\.[a-z]{2,4}(/|$)|/.*/")),
-        "named": F.rlike("word", F.lit(CREDENTIAL)),
-        "near": F.rlike("before", F.lit(CREDENTIAL)) | F.rlike("before2", F.lit(CREDENTIAL)),
-        "assigned": F.rlike("word", F.lit("[=:]")) | F.rlike("before", F.lit("[=:]$")),
-        "quoted": F.rlike("word", F.lit("[\"'`]")),
     }
+    columns |= {k: F.col(k) for k in FEATURES if k not in columns}
     return found.withColumns({k: c.cast("double") for k, c in columns.items()})
 
 
 def labelled_by_rule(found: DataFrame) -> DataFrame:
-    """id, at, label of the candidates whose form settles them: known key forms and named assignments of mixed characters
-    are secrets (1); words of letters alone, numbers alone, and candidates with no digit are not (0)."""
+    """id, at, place, label of the candidates whose form settles them: known key forms, parts of web tokens and values with
+    digits that are assigned to a credential word are secrets (1); numbers alone and candidates with no digit are not (0)."""
     value = F.col("value")
     keyed = F.rlike(value, F.lit("^(AKIA|ASIA)[A-Z0-9]{16}$")) | F.rlike(value, F.lit("^(ghp|gho|sk|pk|xox[bp])[_-][A-Za-z0-9]{16,}"))
-    named = F.rlike(F.concat_ws(" ", "before2", "before", "word"), F.lit(CREDENTIAL)) & F.rlike(F.concat_ws(" ", "before", "word"), F.lit("[=:]")) & F.rlike(value, F.lit("[0-9]"))
-    label = F.when(keyed | named, 1.0).when(~F.rlike(value, F.lit("[0-9]")) | F.rlike(value, F.lit("^[0-9+_/-]+$")), 0.0)
-    return found.select("id", "at", label.alias("label")).where("label is not null")
+    named = F.col("given") & F.rlike(value, F.lit("[0-9]"))
+    label = F.when(keyed | named | F.col("part"), 1.0).when(~F.rlike(value, F.lit("[0-9]")) | F.rlike(value, F.lit("^[0-9+_/-]+$")), 0.0)
+    return found.select("id", "at", "place", label.alias("label")).where("label is not null")
 
 
 def fit(featured: DataFrame, findings: DataFrame, most: int = TRAIN_FINDINGS):
-    """A forest (or the only label) from labelled findings (id, at, label)."""
+    """A forest (or the only label) from labelled findings (id, at, place, label)."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    known = findings.select(F.col("id").alias("f_id"), F.col("at").alias("f_at"), F.col("label").cast("double").alias("label")).where("label in (0, 1)")
-    rows = featured.join(known, F.col("id").eqNullSafe(F.col("f_id")) & (F.col("at") == F.col("f_at")))
-    order = [F.xxhash64("value", "id", "at"), "value", "id", "at"]
+    known = findings.select(F.col("id").alias("f_id"), F.col("at").alias("f_at"), F.col("place").alias("f_place"), F.col("label").cast("double").alias("label")).where("label in (0, 1)")
+    rows = featured.join(known, F.col("id").eqNullSafe(F.col("f_id")) & (F.col("at") == F.col("f_at")) & (F.col("place") == F.col("f_place")))
+    order = [F.xxhash64("value", "id", "at", "place"), "value", "id", "at", "place"]
     rows = stored(rows.where("label = 1").orderBy(*order).limit(most).unionByName(rows.where("label = 0").orderBy(*order).limit(most)).select("label", *FEATURES), "findings")
     labels = [r["label"] for r in rows.select("label").distinct().collect()]
     if len(labels) < 2:
@@ -115,16 +130,16 @@ def judged(featured: DataFrame, model) -> DataFrame:
 
 
 def scan(docs: DataFrame, findings: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", keep: float = 0.5) -> DataFrame:
-    """id, at, value, score, is_secret of every candidate; is_secret is false for what the forest removes."""
+    """id, at, place, value, score, is_secret of every candidate; is_secret is false for what the forest removes."""
     found = stored(candidates(docs, id_col, text_col), "candidates")
     featured = features(found, dictionary(docs, text_col))
     model = fit(featured, labelled_by_rule(found) if findings is None else findings)
-    return judged(featured, model).select("id", "at", "value", "score", (F.col("score") >= keep).alias("is_secret"))
+    return judged(featured, model).select("id", "at", "place", "value", "score", (F.col("score") >= keep).alias("is_secret"))
 
 
 def redacted(docs: DataFrame, scanned: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """docs with the secrets of each text replaced by a mark."""
+    """docs with the secrets of each text replaced by a mark, longer ones first: one may hold another."""
     values = scanned.where("is_secret").groupBy(F.col("id").alias("s_id")).agg(F.collect_set("value").alias("values_"))
     joined = docs.join(values, F.col(id_col).eqNullSafe(F.col("s_id")), "left").drop("s_id")
-    text = F.aggregate(F.coalesce("values_", F.array().cast("array<string>")), F.col(text_col), lambda t, v: F.replace(t, v, F.lit(mark)))
+    text = F.aggregate(F.coalesce(F.array_sort("values_", lambda x, y: F.length(y) - F.length(x)), F.array().cast("array<string>")), F.col(text_col), lambda t, v: F.replace(t, v, F.lit(mark)))
     return joined.withColumn(text_col, text).drop("values_")

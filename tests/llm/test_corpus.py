@@ -448,6 +448,33 @@ def test_secret_scan(spark):
     assert scan(docs.where("doc_id % 3 = 2")).where("is_secret").count() == 0
 
 
+def test_secret_scan_takes_every_run_of_a_word(spark):
+    from pulselake.llm.secrets import candidates, redacted, scan
+
+    rng = random.Random(9)
+    made = lambda n: "a7" + "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=n))
+    rows, want = [], defaultdict(set)
+    for i in range(40):
+        a, b, c, d, e, f, g, h = (made(n) for n in (38, 30, 30, 24, 24, 34, 60, 40))
+        rows.append((4 * i, f"run with AWS_SECRET_ACCESS_KEY={a} set"))
+        rows.append((4 * i + 1, f'reply {{"access_token":"{b}","refresh_token":"{c}"}} was sent'))
+        rows.append((4 * i + 2, f"open https://host/login?access_token={d}&refresh_token={e} and theandthethingthatthere"))
+        rows.append((4 * i + 3, f"call with eyJ{f}.eyJ{g}.{h} or go to thingsthatareordinary"))
+        for k, found in enumerate(({a}, {b, c}, {d, e}, {f"eyJ{f}", f"eyJ{g}", h})):
+            want[4 * i + k] |= found
+    docs = spark.createDataFrame([*rows, (None, None)], "doc_id long, text string")
+    got = scan(docs)
+    found = defaultdict(set)
+    for r in got.where("is_secret").collect():
+        found[r.id].add(r.value)
+    assert found == want
+    assert got.select("id", "at", "place").distinct().count() == got.count()
+    names = {r.value for r in candidates(docs).where("id = 0").collect()}
+    assert "AWS_SECRET_ACCESS_KEY" in names
+    for r in redacted(docs, got).where("doc_id is not null").collect():
+        assert not any(v in r.text for v in want[r.doc_id])
+
+
 EMPTY = {"documents": DOCS, "benchmark": "item_id long, text string", "labels": "doc_id long, quality int, toxic int", "pages": "page_id long, url string, html string", "embeddings": "vec_id long, embedding array<float>, label int"}
 
 
