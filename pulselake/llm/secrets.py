@@ -1,6 +1,8 @@
 """Secret scans: candidates by form, false positives removed by a random forest, in DataFrame operations only.
 
-A candidate is a run of at least MIN_LENGTH key characters in a word; a word has as many as it has such runs. Its features are its length, shares of digits,
+A candidate is a run of at least MIN_LENGTH key characters in a word; a word has as many as it has such runs. Whole values
+of any length and characters are candidates too: those assigned to a credential word (in quotes they may go on over several words),
+the two words after one, and the password of user:password@host. A candidate's features are its length, shares of digits,
 upper and lower case and signs, changes between character kinds, distinct characters, vowels, how much of it
 dictionary words cover, signs of a path or address around it, credential words in its own word and
 the two before, whether it is assigned to one, and whether it is a part of a web token. The dictionary is the DICTIONARY most frequent lower-case words of the corpus, counted over all
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 from pulselake.llm.common import stored
 
 MIN_LENGTH = 16
+SURE_LENGTH = 8
 DICTIONARY = 150
 TRAIN_FINDINGS = 2000
 RUN = r"[A-Za-z0-9+/_\-]{" + str(MIN_LENGTH) + ",}"
@@ -33,24 +36,34 @@ CREDENTIAL = r"(?i)(passw|pwd|secret|token|api.?key|access.?key|auth|bearer|cred
 GIVEN = CREDENTIAL + r"""[\w.\-]*+[\\"'`\])]*\s*[=:>]+\s*((bearer|basic|token)\s+)?[\\"'`(\[{]*$|(?i)\bbearer\s+["'`]?$"""
 #: A web token: header, payload, signature.
 JWT = r"\beyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]+"
+#: Whole values in the word that assigns them, of any length: in escaped quotes, in quotes, in none, and the password of user:password@host.
+NAME = CREDENTIAL + r"""[\w.\-]*+[\\"'`\])]*+[=:>]++"""
+ESCAPED = "(?s)" + NAME + r"""[\[(]*\\(["'`])(.+?)(?=\\\2)"""
+QUOTED = "(?s)" + NAME + r"""[\[(]*(["'`])(.+?)(?<!\\)(?=\2)"""
+PLAIN = NAME + r"""(?!\\?["'`]|[\[{(]+\\?["'`\[{])(\S+?)(?=[&,;]["']?[\w.\-]+["']?[=:]|[\\"'`,;)}\]>]*$)"""
+LOGIN = r"""(?:^|[/"'`=(<,;])[^\s:/@"'`=(<,;]*:([^\s"'`/]+)@(?=[\w\[])"""
+#: A quote that opens a value and isn't closed in its word.
+OPENED = NAME + r"""[\[(]*(["'`][^"'`]*)$"""
+OPENED_WORD = r"""^[=:>]*(["'`][^"'`]*)$"""
+#: The value that a word after a credential word holds.
+QUOTED_WORD = r"""(?s)^[=:>]*[\[({]*\\?(["'`])(.+?)(?<!\\)\\?\1"""
+BARE_WORD = r"""^[=:>]*[\\"'`(\[{<]*(.*?)[\\"'`,;)}\]>]*$"""
 FEATURES = ["length", "digits", "upper", "lower", "signs", "changes", "distinct", "vowels", "hex", "covered", "path", "named", "near", "assigned", "quoted", "given", "part"]
 TREES, DEPTH, SEED = 30, 6, 7
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each candidate: id, at (number of the word), place (number of the candidate in the word), value, and what
-    surrounds it. What depends on the whole word is told once a word, so a long word of many candidates stays linear."""
+    surrounds it. What depends on the whole word is told once a word, and no candidate carries its word. A word of very many
+    credential words without a break takes time with the square of its length."""
     words = F.split(F.coalesce(F.col(text_col), F.lit("")), r"\s+")
-    places = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.rlike(F.get("w", i), F.lit(RUN)))
-    read = docs.select(F.col(id_col).alias("id"), words.alias("w"))
+    read = docs.select(F.col(id_col).alias("id"), words.alias("w")).withColumn("hits", F.transform("w", lambda x: F.rlike(x, F.lit(CREDENTIAL))))
+    hit = lambda i: F.get("hits", i) | F.get("hits", i - 1) | F.get("hits", i - 2)
+    places = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.rlike(F.get("w", i), F.lit(RUN)) | hit(i) | F.rlike(F.get("w", i), F.lit(LOGIN)))
     found = read.select("id", "w", F.explode(places).alias("at"))
     near = lambda d: F.coalesce(F.get("w", F.col("at") + d), F.lit(""))
-    found = found.select("id", "at", near(0).alias("word"), near(-1).alias("before"), near(-2).alias("before2"))
-    runs, gaps = F.regexp_extract_all("word", F.lit(RUN), F.lit(0)), F.split("word", RUN, -1)
-    # What stands before a run: the run before it, or the words before, and the characters between.
-    leads = F.zip_with(F.concat(F.array(F.concat_ws(" ", "before2", "before", F.lit(""))), runs), gaps, lambda x, y: F.concat(x, y))
-    listed = F.zip_with(runs, leads, lambda v, lead: F.struct(v.alias("value"), F.rlike(lead, F.lit(GIVEN)).alias("given")))
-    parts = F.flatten(F.transform(F.regexp_extract_all("word", F.lit(JWT), F.lit(0)), lambda t: F.split(t, r"\.")))
+    found = found.select("id", "at", "w", near(0).alias("word"), near(-1).alias("before"), near(-2).alias("before2"))
+    head = F.concat_ws(" ", "before2", "before", F.lit(""))
     context = {
         "path": F.rlike("word", F.lit(r"://|^\.?\.?/|\.[a-z]{2,4}(/|$)|/.*/")),
         "named": F.rlike("word", F.lit(CREDENTIAL)),
@@ -58,8 +71,28 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         "assigned": F.rlike("word", F.lit("[=:]")) | F.rlike("before", F.lit("[=:]$")),
         "quoted": F.rlike("word", F.lit("[\"'`]")),
     }
-    found = found.select("id", "at", *[c.alias(k) for k, c in context.items()], parts.alias("parts"), F.filter(listed, lambda x: x["value"].isNotNull()).alias("listed"))
-    found = found.select("id", "at", *context, "parts", F.posexplode("listed").alias("place", "one"))
+    every = lambda pattern, group: F.regexp_extract_all("word", F.lit(pattern), F.lit(group))
+    part = lambda column, pattern, group: F.regexp_extract(column, pattern, group)
+    # A word after a credential word, without its quotes; whether it is assigned; and the opening quote of a value that goes on in the next words.
+    follows = F.when(F.col("near"), F.coalesce(F.nullif(part("word", QUOTED_WORD, 2), F.lit("")), part("word", BARE_WORD, 1))).otherwise("")
+    assigned = F.col("near") & F.rlike(F.concat(head, part("word", r"""^[=:>]*[\\"'`(\[{]*""", 0)), F.lit(GIVEN))
+    opened = F.coalesce(F.nullif(part("word", OPENED, 2), F.lit("")), F.when(assigned, part("word", OPENED_WORD, 1)), F.lit(""))
+    found = found.select("*", *[c.alias(k) for k, c in context.items()])
+    found = found.select("*", follows.alias("follows"), assigned.alias("follows_given"), opened.alias("opened"))
+    spans = F.concat_ws(" ", "opened", F.slice("w", F.col("at") + 2, F.size("w")))
+    spans = F.when(F.col("opened") != "", F.coalesce(F.nullif(part(spans, QUOTED_WORD, 2), F.lit("")), F.expr("substring(opened, 2)"))).otherwise("")
+    whole = F.concat(every(ESCAPED, 3), every(QUOTED, 3), every(PLAIN, 2), every(LOGIN, 1), F.array(spans))
+    runs, gaps = every(RUN, 0), F.split("word", RUN, -1)
+    # What stands before a run: the run before it, or the words before, and the characters between.
+    leads = F.zip_with(F.concat(F.array(head), runs), gaps, lambda x, y: F.concat(x, y))
+    parts = F.flatten(F.transform(every(JWT, 0), lambda t: F.split(t, r"\.")))
+    kept = ["id", "at", *context, "follows", "follows_given"]
+    found = found.select(*kept, parts.alias("parts"), runs.alias("runs"), leads.alias("leads"), F.array_distinct(F.filter(whole, lambda v: v != "")).alias("whole"))
+    one = lambda v, given: F.struct(v.alias("value"), given.alias("given"))
+    given = F.zip_with("runs", "leads", lambda v, lead: one(v, F.rlike(lead, F.lit(GIVEN)) | F.array_contains("whole", v) | (F.col("follows_given") & (v == F.col("follows")))))
+    after = F.filter(F.array("follows"), lambda v: (v != "") & ~F.array_contains("runs", v) & ~F.array_contains("whole", v))
+    listed = F.concat(F.filter(given, lambda x: x["value"].isNotNull()), F.transform(F.array_except("whole", "runs"), lambda v: one(v, F.lit(True))), F.transform(after, lambda v: one(v, F.col("follows_given"))))
+    found = found.select("id", "at", *context, "parts", F.posexplode(listed).alias("place", "one"))
     return found.select("id", "at", "place", "one.value", *context, "one.given", F.array_contains("parts", F.col("one.value")).alias("part"))
 
 
@@ -75,13 +108,13 @@ def features(found: DataFrame, words: list[str]) -> DataFrame:
     value, size = F.col("value"), F.length("value")
     share = lambda pattern: F.regexp_count(value, F.lit(pattern)) / size
     known = "|".join(sorted(map(re.escape, words), key=lambda w: (-len(w), w))) or "(?!)"
-    kinds = r"[a-z](?=[^a-z])|[A-Z](?=[^A-Z])|[0-9](?=[^0-9])|[+/_\-](?=[^+/_\-])"
+    kinds = r"[a-z](?=[^a-z])|[A-Z](?=[^A-Z])|[0-9](?=[^0-9])|[^A-Za-z0-9](?=[A-Za-z0-9])"
     columns = {
         "length": F.log2(size),
         "digits": share("[0-9]"),
         "upper": share("[A-Z]"),
         "lower": share("[a-z]"),
-        "signs": share(r"[+/_\-]"),
+        "signs": share("[^A-Za-z0-9]"),
         "changes": share(kinds),
         "distinct": F.size(F.array_distinct(F.split(value, ""))) / size,
         "vowels": share("[aeiouAEIOU]"),
@@ -93,12 +126,15 @@ def features(found: DataFrame, words: list[str]) -> DataFrame:
 
 
 def labelled_by_rule(found: DataFrame) -> DataFrame:
-    """id, at, place, label of the candidates whose form settles them: known key forms, parts of web tokens and values with
-    digits that are assigned to a credential word are secrets (1); numbers alone and candidates with no digit are not (0)."""
-    value = F.col("value")
+    """id, at, place, label of the candidates whose form settles them. Known key forms, parts of web tokens, and values that
+    are assigned to a credential word are secrets (1), the latter if they have a digit and MIN_LENGTH characters, or a digit,
+    a letter and SURE_LENGTH. Not secrets (0) are numbers alone and what has no digit; of short assigned values, only small letters are."""
+    value, given = F.col("value"), F.col("given")
+    digit, spaced, long = F.rlike(value, F.lit("[0-9]")), F.rlike(value, F.lit(r"\s")), F.rlike(value, F.lit(f"^{RUN}$"))
     keyed = F.rlike(value, F.lit("^(AKIA|ASIA)[A-Z0-9]{16}$")) | F.rlike(value, F.lit("^(ghp|gho|sk|pk|xox[bp])[_-][A-Za-z0-9]{16,}"))
-    named = F.col("given") & F.rlike(value, F.lit("[0-9]"))
-    label = F.when(keyed | named | F.col("part"), 1.0).when(~F.rlike(value, F.lit("[0-9]")) | F.rlike(value, F.lit("^[0-9+_/-]+$")), 0.0)
+    named = given & digit & ~spaced & ((F.length(value) >= MIN_LENGTH) | (F.rlike(value, F.lit("[A-Za-z]")) & (F.length(value) >= SURE_LENGTH)))
+    plain = (~given | long) & (~digit | F.rlike(value, F.lit("^[0-9+_/-]+$"))) | F.rlike(value, F.lit("^[A-Za-z]?[a-z]*$"))
+    label = F.when(keyed | named | F.col("part"), 1.0).when(plain, 0.0)
     return found.select("id", "at", "place", label.alias("label")).where("label is not null")
 
 
@@ -138,8 +174,13 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, id_col: str = "doc_
 
 
 def redacted(docs: DataFrame, scanned: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """docs with the secrets of each text replaced by a mark, longer ones first: one may hold another."""
+    """docs with the secrets of each text replaced by a mark, longer ones first: one may hold another. Values of under
+    MIN_LENGTH characters are replaced where no key character stands beside them."""
     values = scanned.where("is_secret").groupBy(F.col("id").alias("s_id")).agg(F.collect_set("value").alias("values_"))
     joined = docs.join(values, F.col(id_col).eqNullSafe(F.col("s_id")), "left").drop("s_id")
-    text = F.aggregate(F.coalesce(F.array_sort("values_", lambda x, y: F.length(y) - F.length(x)), F.array().cast("array<string>")), F.col(text_col), lambda t, v: F.replace(t, v, F.lit(mark)))
-    return joined.withColumn(text_col, text).drop("values_")
+    exact = lambda v: F.concat(F.lit(r"\Q"), F.replace(F.replace(v, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(" "), F.lit(r"\E\s+\Q")), F.lit(r"\E"))
+    bounded = lambda v: F.concat(F.lit("(?<![A-Za-z0-9+/_-])"), exact(v), F.lit("(?![A-Za-z0-9+/_-])"))
+    longest = F.array_sort("values_", lambda x, y: F.length(y) - F.length(x))
+    pattern = F.array_join(F.transform(longest, lambda v: F.when(F.length(v) >= MIN_LENGTH, exact(v)).otherwise(bounded(v))), "|")
+    quoted = mark.replace("\\", "\\\\").replace("$", "\\$")
+    return joined.withColumn(text_col, F.when(F.col("values_").isNull(), F.col(text_col)).otherwise(F.regexp_replace(F.col(text_col), pattern, F.lit(quoted)))).drop("values_")

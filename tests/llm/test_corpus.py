@@ -475,6 +475,31 @@ def test_secret_scan_takes_every_run_of_a_word(spark):
         assert not any(v in r.text for v in want[r.doc_id])
 
 
+def test_secret_scan_takes_whole_values(spark):
+    from pulselake.llm.secrets import candidates, redacted, scan
+
+    rng = random.Random(10)
+    short = lambda: "".join(rng.choices("abcdefghkmnpqrstuvwxyzABCDEFGH", k=5)) + rng.choice("&!$~.") + "".join(rng.choices("23456789", k=3)) + "xQ"
+    rows, want = [], {}
+    for i in range(30):
+        for form in ('set password = "{}" here', "login with password={} or ask", "the pwd: {} for all", '{{"user":"bob","password":"{}","n":3}}', "get https://bob:{}@host/x now", "db_password='{}', then"):
+            rows.append((len(rows), form.format(value := short())))
+            want[rows[-1][0]] = value
+        rows.append((len(rows), "the author wrote of thingsthatareordinary and tokens of love"))
+    rows += [(1000, 'password = "hunter2Abc9" end hunter2Abc9x'), (1001, 'password="Tr0ub4dor&3x"'), (1002, 'password: "two words\n4 you" end')]
+    docs = spark.createDataFrame([*rows, (None, None)], "doc_id long, text string")
+    found = {(r.id, r.value) for r in candidates(docs).collect()}
+    assert set(want.items()) | {(1000, "hunter2Abc9"), (1001, "Tr0ub4dor&3x"), (1002, "two words 4 you")} <= found
+    got = scan(docs)
+    secrets = {(r.id, r.value) for r in got.where("is_secret").collect()}
+    assert set(want.items()) | {(1000, "hunter2Abc9"), (1001, "Tr0ub4dor&3x")} == {x for x in secrets if x[0] != 1002}
+    assert got.select("id", "at", "place").distinct().count() == got.count()
+    clean = {r.doc_id: r.text for r in redacted(docs, got, mark="[$1]").collect()}
+    assert all(v not in clean[i] for i, v in want.items()) and clean[1000] == 'password = "[$1]" end hunter2Abc9x'
+    taken = spark.createDataFrame([(1002, "two words 4 you", True)], "id long, value string, is_secret boolean")
+    assert redacted(docs.where("doc_id = 1002"), taken).first().text == 'password: "[SECRET]" end'
+
+
 EMPTY = {"documents": DOCS, "benchmark": "item_id long, text string", "labels": "doc_id long, quality int, toxic int", "pages": "page_id long, url string, html string", "embeddings": "vec_id long, embedding array<float>, label int"}
 
 
