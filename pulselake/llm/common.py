@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines see, from spark.checkpoint.dir; a local one only where none is set."""
+    """The folder all machines see, from spark.checkpoint.dir; on a single machine a local one where none is set."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines see")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pulselake-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -44,6 +47,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """name, with underscores added until none of the frames has a column of that name."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, all other characters as they are; pure ASCII takes the fast path."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
