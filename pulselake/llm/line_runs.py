@@ -11,7 +11,8 @@ A line's hash is 128 bits, of the line stripped at both ends with A-Z lower-case
 each other: only lines first held by another document go.
 
 Defined results: a null or empty text is one empty line; rows with a null id hold nothing and keep all
-their lines; rows with equal ids count as one document; other columns pass through `kept` unchanged.
+their lines; rows with equal ids count as one document, each with its own lines; an empty table gives an empty table; other
+columns pass through unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,11 +22,12 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulselake.llm.common import ASCII_SPACE, ascii_lower, partitions, shared_path, stored
+from pulselake.llm.common import ASCII_SPACE, ascii_lower, fresh, partitions, shared_path, stored
 
 MIN_CHARS = 10
 #: A hash is hot with more than this part of all rows.
 HOT = 2000
+ADDED = ("kept_", "n_lines_", "n_dropped_")
 
 
 def lines_of(text: Column) -> Column:
@@ -42,10 +44,11 @@ def key_hash(key: Column) -> Column:
 
 
 def line_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """id, h1, h2: the keys of each document once."""
-    lines = docs.select(F.col(id_col).alias("id"), F.explode(lines_of(F.col(text_col))).alias("line"))
-    keys = lines.where(F.col("id").isNotNull() & (F.length("line") >= min_chars)).select("id", line_key(F.col("line")).alias("key"))
-    return keys.where(F.length("key") >= min_chars).select("id", key_hash(F.col("key")).alias("h")).select("id", "h.h1", "h.h2")
+    """id, sig (XXH64 of the text, which tells rows with equal ids apart), pos (number of the line), h1, h2 of each line with a key."""
+    text = F.col(text_col)
+    lines = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("sig"), F.posexplode(lines_of(text)).alias("pos", "line"))
+    keys = lines.where(F.col("id").isNotNull() & (F.length("line") >= min_chars)).select("id", "sig", "pos", line_key(F.col("line")).alias("key"))
+    return keys.where(F.length("key") >= min_chars).select("id", "sig", "pos", key_hash(F.col("key")).alias("h")).select("id", "sig", "pos", "h.h1", "h.h2")
 
 
 class LineStore:
@@ -102,7 +105,7 @@ class LineStore:
 
 
 def dropped_keys(keys: DataFrame, firsts: DataFrame) -> DataFrame:
-    """id, drops: the hashes that each document loses because a document before it holds them.
+    """id, sig, drops: the numbers of the lines that each document loses because a document before it holds them.
 
     A hash of more than 1 / HOT of all rows is hot; there are fewer than HOT of them, so they are joined by broadcast
     where the rows are. The others are joined by a shuffle in which no hash has more than that share.
@@ -113,11 +116,11 @@ def dropped_keys(keys: DataFrame, firsts: DataFrame) -> DataFrame:
     hot_firsts = F.broadcast(firsts.join(hot, ["h1", "h2"], "left_semi"))
     shared = firsts.join(counts.where(F.col("n") <= rows / HOT).select("h1", "h2"), ["h1", "h2"])
     lost = keys.join(hot_firsts, ["h1", "h2"]).unionByName(keys.join(hot, ["h1", "h2"], "left_anti").join(shared, ["h1", "h2"]))
-    return lost.where(F.col("id") > F.col("first_id")).groupBy("id").agg(F.collect_set(F.struct("h1", "h2")).alias("drops"))
+    return lost.where(F.col("id") > F.col("first_id")).groupBy("id", "sig").agg(F.collect_list("pos").alias("drops"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, batches: int = 4, fanout: int = 2) -> DataFrame:
-    """docs with three more columns: kept_ (the text without dropped lines), n_lines_ and n_dropped_.
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, batches: int = 4, fanout: int = 2, added: tuple[str, str, str] = ADDED) -> DataFrame:
+    """docs with three more columns, named by `added`: the text without dropped lines, how many lines it had, and how many it lost. Such columns of docs are replaced.
 
     The ids are taken in `batches` ranges of about equal rows, smallest first, so the first holder of a
     line is the smallest id of all.
@@ -135,18 +138,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             part = part.where(F.col("id") < high)
         store.add(part)
     drops = dropped_keys(keys, store.firsts())
-    joined = docs.join(drops.withColumnRenamed("id", "drop_id_"), F.col(id_col) == F.col("drop_id_"), "left").drop("drop_id_")
-    lines = lines_of(F.col(text_col))
-
-    def stays(line: Column) -> Column:
-        key = line_key(line)
-        return (F.length(key) < min_chars) | ~F.array_contains(F.col("drops"), key_hash(key))
-
-    joined = joined.withColumn("lines_", lines)
-    joined = joined.withColumn("left_", F.when(F.col("drops").isNull(), F.col("lines_")).otherwise(F.filter("lines_", stays)))
-    return joined.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
-        F.array_join("left_", "\n").alias("kept_"),
-        F.size("lines_").cast("long").alias("n_lines_"),
-        (F.size("lines_") - F.size("left_")).cast("long").alias("n_dropped_"),
+    lines, gone = fresh("lines_", docs), fresh("gone_", docs)
+    met = docs.alias("d").join(drops.alias("x"), (F.col(f"d.{id_col}") == F.col("x.id")) & (F.xxhash64(f"d.{text_col}") == F.col("x.sig")), "left")
+    met = met.select("d.*", lines_of(F.col(f"d.{text_col}")).alias(lines), F.col("x.drops").alias(gone))
+    # The numbers that stay come from a hash set, so a text of many lines and many losses takes time in proportion.
+    stay = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone)), lambda i: F.get(F.col(lines), i))
+    left = fresh("left_", docs)
+    met = met.withColumn(left, F.when(F.col(gone).isNull(), F.col(lines)).otherwise(stay))
+    return met.select(
+        *[F.col(f"`{c}`") for c in docs.columns if c.lower() not in added],
+        F.array_join(left, "\n").alias(added[0]),
+        F.size(lines).cast("long").alias(added[1]),
+        (F.size(lines) - F.size(left)).cast("long").alias(added[2]),
     )
