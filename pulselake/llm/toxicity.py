@@ -298,28 +298,29 @@ def train_from(docs: DataFrame, labels: DataFrame, usable: Column | None = None,
 
     The bounded sample is trained on in one task; the driver gets the finished model only.
     """
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
-    known = known.where(usable) if usable is not None else known
-    known = known.groupBy(F.col(id_col).alias("l_id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("toxic_"))
-    counts = {r["toxic_"]: r["count"] for r in known.groupBy("toxic_").count().collect()}
+    known = labels.where(usable) if usable is not None else labels
+    known = known.select(F.col(id_col).alias("l_id"), F.col(label_col).alias("y")).where("l_id is not null and y is not null")
+    known = known.groupBy("l_id").agg(F.max((F.col("y") > 0).cast("int")).alias("y"))
+    counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     share = counts.get(1, 0) / max(1, sum(counts.values()))
-    parts = [known.where(F.col("toxic_") == y).orderBy(F.xxhash64(F.col("l_id").cast("string")), "l_id").limit(rows[y]) for y in (0, 1)]
+    parts = [known.where(F.col("y") == y).orderBy(F.xxhash64(F.col("l_id").cast("string")), "l_id").limit(rows[y]) for y in (0, 1)]
     picked = parts[0].unionByName(parts[1])
-    texts = docs.join(F.broadcast(picked), F.col(id_col) == F.col("l_id")).where(F.col(text_col).isNotNull())
+    read = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
+    texts = read.join(F.broadcast(picked), F.col("id") == F.col("l_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = sorted((str(i), t, y) for b in batches for i, t, y in zip(*(c.to_pylist() for c in b.columns), strict=True))
         model = train([f[1] for f in found], [f[2] for f in found], share)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)])], names=["model"])
 
-    sample = texts.select("l_id", F.col(text_col).alias("text"), "toxic_").repartition(1)
+    sample = texts.select("l_id", "text", "y").repartition(1)
     trained = sample.mapInArrow(run, "model binary").first()
     return pickle.loads(trained["model"]) if trained else train([], [], share)
 
 
-def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with one more column, score_ (one of that name is replaced)."""
-    docs = docs.drop("score_")
+def scored(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score_") -> DataFrame:
+    """docs with one more column, `name` (one of that name is replaced)."""
+    docs = docs.drop(name)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,9 +330,9 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             for low in range(0, batch.num_rows, 64):
                 texts = [t or "" for t in batch.column(at).slice(low, 64).to_pylist()]
                 found += [model.probability(m) for m in scorer.margin(texts)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*batch.schema.names, "score_"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("score_", DoubleType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
