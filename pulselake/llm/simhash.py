@@ -25,9 +25,10 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pulselake.llm.common import LOWER, UPPER, stored, text_blocks
+from pulselake.llm.common import LOWER, UPPER, fresh, stored, text_blocks
 
 SHINGLE = 3
 MOST_BITS = 3
@@ -60,7 +61,7 @@ def fingerprint(words: list[bytes], shingle: int = SHINGLE, seed: int = SEED) ->
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """id, fp (the 64 bits as a long) of each row of docs."""
+    """id, sig (XXH64 of the text), fp (the 64 bits as a long) of each row of docs."""
     id_type = docs.schema[id_col].dataType.simpleString()
     lower = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
@@ -72,9 +73,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 at = offsets.tolist()
                 found += [fingerprint(block[a:b].split(), shingle, seed) for a, b in zip(at, at[1:], strict=False)]
             fp = np.array(found, np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fp)], names=["id", "sig", "fp"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {id_type}, fp long")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("sig")).mapInArrow(run, f"id {id_type}, sig long, fp long")
 
 
 def _signed(x: int) -> int:
@@ -135,11 +136,27 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, most: int = MOST_BITS, seed: int = SEED) -> DataFrame:
-    """id, fp, component_id (the smallest id reachable over links, itself included) of each row of docs."""
+    """id, sig, fp, component_id (the smallest id reachable over links, itself included), root (the smallest fingerprint of the component) of each row of docs."""
     prints = stored(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
     nodes = stored(prints.groupBy("fp").agg(F.min("id").alias("first_id")), "simhash-nodes")
     roots = components(links(nodes.select("fp"), most))
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     firsts = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(firsts, "root").select(F.col("fp").alias("n_fp"), "component_id")
-    return prints.join(named, F.col("fp") == F.col("n_fp")).select("id", "fp", "component_id")
+    named = rooted.join(firsts, "root").select(F.col("fp").alias("n_fp"), "component_id", "root")
+    return prints.join(named, F.col("fp") == F.col("n_fp")).select("id", "sig", "fp", "component_id", "root")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs without near duplicates: of each component the row with the smallest id stays.
+
+    Null ids come last; of rows with that id the one with the smallest XXH64 of its text stays, and of equal rows one.
+    """
+    found = near_duplicates(docs, id_col, text_col, **options)
+    order = F.struct(F.col("id").isNull().alias("late"), F.col("id").alias("id"), F.col("sig").alias("sig"))
+    kept = found.groupBy("root").agg(F.min(order).alias("k")).select("k.*")
+    key = [fresh(n, docs) for n in ("late_", "id_", "sig_")]
+    held = docs.withColumns({key[0]: F.col(id_col).isNull(), key[1]: F.coalesce(id_col, F.lit(0).cast(docs.schema[id_col].dataType)), key[2]: F.xxhash64(text_col)})
+    side = kept.select(F.col("late").alias(key[0]), F.coalesce("id", F.lit(0).cast(docs.schema[id_col].dataType)).alias(key[1]), F.col("sig").alias(key[2]))
+    place = fresh("place_", docs)
+    one = F.row_number().over(W.partitionBy(*key).orderBy(F.xxhash64(*[f"`{c}`" for c in docs.columns])))
+    return held.join(side, key, "left_semi").withColumn(place, one).where(F.col(place) == 1).drop(*key, place)
