@@ -1,9 +1,10 @@
 """Exact top-k by integer inner product: a ball tree per shard, searched by branch and bound.
 
 Vectors are dealt to shards of bounded size by a hash of their id. A shard builds a ball tree and meets the
-queries block by block: a node's bound is q . centre + |q| * radius; nodes are visited by falling bound
-and left out when no query's bound reaches its kth score so far, which all nodes of a shard share. The
-kth score a query starts with is that among the vectors packed in its own batch, so shards share it too.
+queries block by block: a node's bound is q . centre + |q| * radius; the node with the highest bound is next, and one
+is left out when no query's bound reaches its kth score so far, which all nodes of a shard share.
+Shards share it too: a query starts with the kth score among the vectors of its own batch, and shards are searched in
+three waves (a sixteenth, a quarter, all of them); each wave starts with the kth scores that the waves before reached.
 A shard returns k rows for a query at most; the last step ranks those.
 
 Scores are exact: components are whole numbers, and products are summed in doubles only while every sum stays
@@ -18,7 +19,10 @@ give fewer rows; an empty table gives an empty table; other columns are not read
 
 from __future__ import annotations
 
+import heapq
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -77,16 +81,20 @@ class BallTree:
             center, radius = self.nodes[node][:2]
             return qf[active] @ center + length[active] * radius + slack
 
-        stack = [(self.top, np.arange(len(queries)))]
-        while stack:
-            node, active = stack.pop()
-            active = active[bound(node, active) >= kth[active]]
+        every = np.arange(len(queries))
+        first = bound(self.top, every)
+        line, turn = [(-first.max(), 0, self.top, every, first)], 0
+        while line:
+            # The node with the highest bound of any query is next; what no longer reaches a query's kth score is left out.
+            _, _, node, active, reach = heapq.heappop(line)
+            active = active[reach >= kth[active]]
             if not len(active):
                 continue
             _, _, low, high, left, right = self.nodes[node]
             if left >= 0:
-                below = sorted((left, right), key=lambda n: bound(n, active).mean())
-                stack += [(n, active) for n in below]
+                for below in (left, right):
+                    reach, turn = bound(below, active), turn + 1
+                    heapq.heappush(line, (-reach.max(), turn, below, active, reach))
                 continue
             here = (q[active] @ rows[low:high].T).astype(np.int64)
             here[query_ids[active][:, None] == self.ids[low:high]] = _NONE
@@ -98,6 +106,14 @@ class BallTree:
         return scores, found
 
 
+_PACKED = "dim int, shard int, block long, ids binary, x binary, kth binary"
+
+
+def _batch(rows: list[tuple], kinds: tuple, schema: str) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[] for _ in kinds]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in schema.split(", ")])
+
+
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return np.asarray(column.flatten()).reshape(-1, dim)
 
@@ -120,30 +136,27 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_c
                 at = np.flatnonzero(dims == dim)
                 own, rows = ids[at], _matrix(batch.column(1).take(pa.array(at)), dim).astype(np.int64)
                 to = (mixed(own.astype(np.uint64)) >> np.uint64(32)).astype(np.int64) * shards >> 32
-                out: list[tuple] = [(int(dim), int(s), False, own[to == s].tobytes(), rows[to == s].tobytes(), b"") for s in np.unique(to)]
+                out: list[tuple] = [(int(dim), int(s), -1, own[to == s].tobytes(), rows[to == s].tobytes(), b"") for s in np.unique(to)]
                 asked = np.flatnonzero(asks[at])
                 tree = BallTree(own.copy(), rows.copy()) if len(asked) else None
                 for low in range(0, len(asked), BLOCK):
                     part = asked[low : low + BLOCK]
                     kth = tree.search(own[part], rows[part], np.full(len(part), _NONE), k)[0][:, k - 1]
-                    out.append((int(dim), -1, True, own[part].tobytes(), rows[part].tobytes(), kth.tobytes()))
-                kinds = (pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["dim", "shard", "q", "ids", "x", "kth"])
+                    out.append((int(dim), -1, uuid.uuid4().int >> 65, own[part].tobytes(), rows[part].tobytes(), kth.tobytes()))
+                yield _batch(out, (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), _PACKED)
 
-    packed = stored(read.mapInArrow(pack, "dim int, shard int, q boolean, ids binary, x binary, kth binary"), "packed-vectors")
-    everywhere = packed.where("q").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    dealt = packed.where("not q").unionByName(everywhere).repartition(partitions(spark), "dim", "shard").sortWithinPartitions("dim", "shard", "q")
+    packed = stored(read.mapInArrow(pack, _PACKED), "packed-vectors")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, tree = None, [], None
         for batch in batches:
             for i in range(batch.num_rows):
-                dim, shard, q, ids, rows, kth = (batch.column(c)[i].as_py() for c in range(6))
+                dim, shard, block, ids, rows, kth = (batch.column(c)[i].as_py() for c in range(6))
                 if (dim, shard) != key:
                     key, held, tree = (dim, shard), [], None
                 own, x = np.frombuffer(ids, np.int64), np.frombuffer(rows, np.int64)
                 x = x.reshape(len(own), dim)
-                if not q:
+                if block < 0:
                     held.append((own, x))
                     continue
                 if tree is None:
@@ -151,8 +164,32 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_c
                     held = []
                 scores, found = tree.search(own, x, np.frombuffer(kth, np.int64), k)
                 good = scores != _NONE
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, good.sum(axis=1))), pa.array(found[good]), pa.array(scores[good])], names=["query_id", "id", "score"])
-
-    found = dealt.mapInArrow(search, "query_id long, id long, score long")
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(good.sum(), block)), pa.array(np.repeat(own, good.sum(axis=1))), pa.array(found[good]), pa.array(scores[good])], names=["block", "query_id", "id", "score"])
+
+    def raised(asking: pa.Table, met: pa.Table) -> pa.Table:
+        """The queries of a block with the kth scores that the shards so far have reached."""
+        ids, scores = np.asarray(met["query_id"]), np.asarray(met["score"])
+        order = np.lexsort((-scores, ids))
+        ids, scores = ids[order], scores[order]
+        out = []
+        for r in asking.to_pylist():
+            own, kth = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["kth"], np.int64).copy()
+            at = np.searchsorted(ids, own) + k - 1
+            full = np.searchsorted(ids, own, "right") > at
+            kth[full] = np.maximum(kth[full], scores[at[full]])
+            out.append((r["dim"], r["shard"], r["block"], r["ids"], r["x"], kth.tobytes()))
+        return pa.Table.from_batches([_batch(out, (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), _PACKED)])
+
+    queries, parts = packed.where("block >= 0"), []
+    cuts = sorted({0, -(-shards // 16), -(-shards // 4), shards})
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        if parts:
+            so_far = reduce(DataFrame.unionByName, parts)
+            queries = stored(queries.groupBy("block").cogroup(so_far.groupBy("block")).applyInArrow(raised, _PACKED), "raised-queries")
+        everywhere = queries.withColumn("shard", F.explode(F.sequence(F.lit(low), F.lit(high - 1))))
+        held = packed.where((F.col("block") < 0) & (F.col("shard") >= low) & (F.col("shard") < high))
+        dealt = held.unionByName(everywhere).repartition(partitions(spark), "dim", "shard").sortWithinPartitions("dim", "shard", "block")
+        parts.append(stored(dealt.mapInArrow(search, "block long, query_id long, id long, score long"), "shard-results"))
+    found = reduce(DataFrame.unionByName, parts).drop("block")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
