@@ -13,6 +13,9 @@ Selection: a shard's documents stand in seeded order on a line that is run throu
 the shard's blocks are a run from a seeded place. A document takes the words of it that the run covers.
 Shards hold a bounded part of a source, so a source of any share is dealt to many tasks.
 
+A source's taken words differ from its target by the rounding to whole blocks. The sources themselves, one row each, are
+ordered in one task.
+
 Defined results: a null text has size 0 and takes 0; a null source is one source, last in order; rows with
 equal ids stand side by side and each takes its own words; an empty table gives an empty table.
 """
@@ -31,7 +34,8 @@ EPOCHS = 2
 SEED = 7
 #: Words of a shard that is aimed at, and the bounds of the number of shards of all words.
 SHARD_WORDS, LEAST_SHARDS, MOST_SHARDS = 1 << 17, 32, 4096
-#: The largest block; small corpora use smaller blocks, so that each source gets many.
+#: The largest block; small corpora use smaller blocks, so that each source gets many, and a block is never larger than
+#: the smallest target, so that each source with words gets one.
 MOST_BLOCK = 256
 
 
@@ -71,7 +75,7 @@ def apportioned(parties: DataFrame, group: list[str], party: str, votes: str, se
 
     No party's exact share of the seats may lie over its cap by more than one seat.
     """
-    whole = W.partitionBy(*group)
+    whole = W.partitionBy(*group).orderBy(F.col(party).asc_nulls_last()).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     df = parties.withColumn("n_", F.count(F.lit(1)).over(whole)).withColumn("v_", F.sum(votes).over(whole))
     exact = F.when(F.col("v_") > 0, F.col(votes) * F.col(seats) / F.col("v_")).otherwise(F.lit(0.0))
     df = df.withColumn("q_", exact).withColumn("slack_", F.when(F.col(seats) > 0, F.col("q_") * F.col("n_") / (2.0 * F.col(seats))).otherwise(F.lit(0.0)) + 2.0)
@@ -98,9 +102,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     part = F.when(F.col("total") > 0, F.floor(shards * F.col("source_size") / F.col("total"))).otherwise(F.lit(0))
     per_source = per_source.withColumn("n_shards", (part + 1).cast("long"))
     n_sources = F.count(F.lit(1)).over(W.partitionBy())
-    block = F.greatest(F.lit(1), F.least(F.lit(MOST_BLOCK), F.floor(F.col("total") / (1000.0 * n_sources)))).cast("long")
+    least = F.floor(F.min(F.when(F.col("target") > 0, F.col("target"))).over(W.partitionBy()))
+    block = F.greatest(F.lit(1), F.least(F.lit(MOST_BLOCK), F.floor(F.col("total") / (1000.0 * n_sources)), least)).cast("long")
     per_source = per_source.withColumn("block", block).withColumn("all_", F.lit(1))
-    per_source = per_source.withColumn("seats", F.ceil(F.sum("target").over(W.partitionBy()) / F.col("block"))).withColumn("most", F.ceil(float(epochs) * F.col("source_size") / F.col("block")))
+    # Targets add up to this whole share of the words; a sum of theirs would hang on the order of adding.
+    per_source = per_source.withColumn("seats", F.ceil(F.col("total") * min(share, float(epochs)) / F.col("block"))).withColumn("most", F.ceil(float(epochs) * F.col("source_size") / F.col("block")))
     quotas = stored(apportioned(per_source, ["all_"], "source", "target", "seats", "most"), "mix-quotas").drop("all_", "seats", "most", "weight")
 
     placed = sized.withColumn("digest", digest).alias("d").join(quotas.alias("q"), F.col("d.source").eqNullSafe(F.col("q.source")))

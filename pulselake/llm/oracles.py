@@ -42,9 +42,9 @@ lined AS (SELECT *, cap / weight AS ratio,
                  / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed),
 water AS (SELECT *, (SELECT level FROM lined WHERE level <= ratio ORDER BY ratio, source NULLS LAST LIMIT 1) AS water FROM lined),
 aimed AS (SELECT *, CAST(CASE WHEN water IS NULL OR ratio <= water THEN cap ELSE water * weight END AS DOUBLE) AS target,
-                 1 + CASE WHEN total > 0 THEN CAST(floor(least(4096, greatest(32, total // 131072)) * source_size / total) AS BIGINT) ELSE 0 END AS n_shards,
-                 greatest(1, least(256, CAST(floor(total / (1000.0 * n_sources)) AS BIGINT))) AS block FROM water),
-parties AS (SELECT *, target AS votes, ceil(sum(target) OVER () / block) AS seats, CAST(ceil(2.0 * source_size / block) AS BIGINT) AS most FROM aimed),
+                 1 + CASE WHEN total > 0 THEN CAST(floor(least(4096, greatest(32, total // 131072)) * source_size / total) AS BIGINT) ELSE 0 END AS n_shards FROM water),
+cut AS (SELECT *, greatest(1, least(256, CAST(floor(total / (1000.0 * n_sources)) AS BIGINT), CAST(floor(min(CASE WHEN target > 0 THEN target END) OVER ()) AS BIGINT))) AS block FROM aimed),
+parties AS (SELECT *, target AS votes, ceil(total * CAST(1.5 AS DOUBLE) / block) AS seats, CAST(ceil(2.0 * source_size / block) AS BIGINT) AS most FROM cut),
 quotas AS (SELECT p.*, coalesce(q.quota, 0) AS quota FROM parties p LEFT JOIN {_seats("parties", "", "source")} q ON p.source IS NOT DISTINCT FROM q.source),
 placed AS (SELECT d.*, source_size, target, block, quota, {_hex("digest", 1)} % n_shards AS shard FROM sized d JOIN quotas q ON d.source IS NOT DISTINCT FROM q.source),
 shards AS (SELECT source, shard, CAST(sum(size) AS BIGINT) AS words, any_value(block) AS block, any_value(quota) AS seats,
