@@ -84,6 +84,6 @@ def op9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pulselake.llm.token_counts import token_counts, tokenizer_path
+    from pulselake.llm.token_counts import token_counts
 
-    return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return token_counts(table(spark, sf_dir, "documents"), "word_bpe_49k.json")
