@@ -97,6 +97,10 @@ def test_substring_spans_point_at_equal_words(spark, docs):
 
 
 def line_brute(rows, least=10):
+    return sorted(line_brute_rows(rows, least), key=str)
+
+
+def line_brute_rows(rows, least=10):
     def key(line):
         return line.strip(" \t\n\x0b\x0c\r").translate(LOWER)
 
@@ -110,7 +114,7 @@ def line_brute(rows, least=10):
         lines = (t or "").split("\n")
         kept = [x for x in lines if i is None or first.get(key(x), i) >= i]
         out.append((i, len(lines), len(lines) - len(kept), "\n".join(kept)))
-    return sorted(out, key=str)
+    return out
 
 
 @pytest.mark.parametrize("batches", [1, 3, 5])
@@ -221,28 +225,28 @@ def hits_brute(rows, items, k=13):
             for p in range(len(w) - len(win) + 1):
                 if tuple(w[p : p + len(win)]) == win:
                     hit.update(range(p, p + len(win)))
-                    found.add(str(item))
-        digest = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+                    found.add(item)
+        digest = hashlib.sha256(",".join(sorted(str(x) for x in found if x is not None)).encode()).hexdigest()
         out.append((i, len(w), len(hit), len(found), digest, bool(hit) and 20 * len(hit) >= len(w)))
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("bound", [100_000, 0])
+@pytest.mark.parametrize("bound", [16 << 20, 0])
 def test_decontamination(spark, monkeypatch, bound):
     from pulselake.llm import decontaminate as d
 
-    monkeypatch.setattr(d, "BROADCAST_ROWS", bound)
+    monkeypatch.setattr(d, "BROADCAST_BYTES", bound)
     rows = [r for r in texts() if r[0] != 62] + [(None, "nothing at all"), (80, "É-Ünd,the"), (81, "x." * 20)]
-    items = [(1, texts()[9][1]), (2, None), (3, "..."), (4, "É ünd THE"), (5, "w5"), (10, texts()[9][1]), (5, "w5"), (6, "x " * 15), (7, "never seen before")]
+    items = [(1, texts()[9][1]), (2, None), (3, "..."), (4, "É ünd THE"), (5, "w5"), (10, texts()[9][1]), (5, "w5"), (6, "x " * 15), (7, "never seen before"), (1, texts()[12][1]), (None, texts()[15][1]), (None, "two words")]
     tests = spark.createDataFrame(items, "item_id long, text string")
     got = d.verdict(d.decontaminate(table(spark, rows), tests))
     assert sorted(map(tuple, got.collect()), key=str) == hits_brute(rows, items)
 
 
 def test_proximity_matches(spark, docs):
-    from pulselake.llm.decontaminate import postings, proximity_matches
+    from pulselake.llm.decontaminate import build_index, proximity_matches
 
-    index = postings(docs.where("doc_id < 30"), None)
+    index = build_index(docs.where("doc_id < 30"))
     phrases = spark.createDataFrame([(1, ["w3", "w4"]), (2, ["w7", "w8", "w9"])], "phrase_id long, terms array<string>")
     got = {(r.id, r.phrase_id, r.pos) for r in proximity_matches(index, phrases, 6).collect()}
     count = Counter(w for i, t in texts() if i < 30 for w in re.findall(WORD, (t or "").translate(LOWER)))
@@ -523,3 +527,107 @@ def test_pipeline_stages(spark):
         assert 0 < docs.count() <= before, name
         before = docs.count()
     assert sorted(map(str, docs.collect())) == sorted(map(str, p.run(spark, sf).collect()))
+
+
+#: Columns that the operators use inside, next to those of `documents`.
+CLASHING = ["id", "sig", "fp", "pos", "row", "hits", "items", "drops", "lines_", "left_", "gone_", "kept_", "n_lines_", "n_dropped_", "score_", "l_id", "y", "toxic_", "kept_id", "dirty_id", "place_", "late_", "id_", "sig_", "root", "size", "digest", "shard", "n_words", "words"]
+
+
+def toxic_rows():
+    rng = random.Random(21)
+    plain = ["".join(rng.choices(["ta", "re", "mo", "li", "su", "ne", "ka"], k=rng.randrange(1, 5))) for _ in range(300)]
+    rows = texts()[:60] + [(None, "A line that repeats\nno id here at all"), (None, None), (None, "A line that repeats\nno id here at all"), (7, texts()[7][1]), (7, "another text of seven"), (2, "  ")]
+    labels = []
+    for i in range(100, 260):
+        words = rng.choices(plain, k=30)
+        if i % 4 == 0:
+            words.insert(rng.randrange(30), rng.choice(["blorbag", "frizzwit", "zumpkin"]))
+        rows.append((i, " ".join(words)))
+        labels.append((i, None, int(i % 4 == 0)))
+    return rows, [*labels, (None, 1, 1), (200, 1, None)]
+
+
+@pytest.mark.parametrize("empty", [(), ("documents", "labels", "benchmark"), ("benchmark",), ("labels",)])
+def test_pipeline_equals_brute_force(spark, tmp_path, empty):
+    """Each stage against plain Python (the last against SQL), on nulls, repeated ids and rows, empty tables and columns of clashing names."""
+    import duckdb
+
+    import corpus_pipeline as p
+    from pulselake.llm import oracles
+    from pulselake.llm.common import stored
+    from pulselake.llm.toxicity import Scorer, train_from
+
+    rows, labels = toxic_rows()
+    items = [(1, texts()[9][1]), (1, "w5 w6 w7"), (2, None), (None, "another text of seven")]
+    sources = [None, "a", "b", "c"]
+    full = [(i, t, "en", sources[0 if i is None else i % 4], len(t or "")) for i, t in rows]
+    made = {
+        "documents": (spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n_chars long"), "documents"),
+        "labels": (spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), "labels"),
+        "benchmark": (spark.createDataFrame(items, "item_id long, text string"), "benchmark"),
+    }
+    for name, (df, _) in made.items():
+        df = df.limit(0) if name in empty else df
+        if name == "documents":
+            df = df.select("*", *[F.lit(c).alias(c) for c in CLASHING])
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    sf = str(tmp_path)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    columns = docs.columns
+    model = train_from(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    scorer = Scorer(model)
+    at = [(r.doc_id, r.text) for r in docs.collect()]
+    tests = [] if "benchmark" in empty else items
+
+    def near(pairs):
+        prints = simhash_brute(pairs)
+        groups = defaultdict(list)
+        left = set(range(len(pairs)))
+        while left:
+            todo, group = [left.pop()], []
+            while todo:
+                j = todo.pop()
+                group.append(j)
+                close = {k for k in left if (prints[j][1] ^ prints[k][1]).bit_count() <= 3}
+                left -= close
+                todo += close
+            groups[min(group)] = group
+        return groups
+
+    wants = {
+        "toxicity": lambda pairs: sorted(((i, t) for i, t in pairs if model.probability(scorer.margin([t or ""])[0]) < p.REJECTED), key=str),
+        "line dedup": lambda pairs: sorted(((i, r[3] if r[2] else t) for (i, t), r in zip(pairs, line_brute_rows(pairs), strict=True)), key=str),
+        "decontamination": lambda pairs: sorted(((i, t) for i, t in pairs if not hits_brute([(i, t)], tests)[0][2]), key=str),
+    }
+    for name, stage in p.STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf), "t")
+        assert docs.columns == columns, name
+        assert not docs.select(*[c for c in CLASHING]).distinct().where(" or ".join(f"{c} <> '{c}'" for c in CLASHING)).count(), name
+        got = sorted(((r.doc_id, r.text) for r in docs.collect()), key=str)
+        if name == "near dedup":
+            groups = near(at)
+            assert len(got) == len(groups)
+            for group in groups.values():
+                ids = [at[j][0] for j in group if at[j][0] is not None]
+                kept = [x for x in got if x in [at[j] for j in group]]
+                assert kept and kept[0][0] == (min(ids) if ids else None)
+        else:
+            assert got == wants[name](at), name
+        at = [(r.doc_id, r.text) for r in docs.collect()]
+    last = p.STAGES[-1][1](spark, docs, sf).collect()
+    con = duckdb.connect()
+    con.register("documents", docs.select("doc_id", "text", "source").toArrow())
+    want = con.execute(f"SELECT doc_id, size, source_size, target, taken FROM ({oracles.OP9}) WHERE taken > 0").fetchall()
+    assert sorted(((r.doc_id, r.size, r.source_size, round(r.target, 6), r.taken) for r in last), key=str) == sorted(((*r[:3], round(r[3], 6), r[4]) for r in want), key=str)
+    assert sorted(map(str, p.run(spark, sf).collect())) == sorted(map(str, last))
+
+
+def test_operators_take_columns_of_any_name(spark, docs):
+    from pulselake.llm.line_runs import dedup_lines
+    from pulselake.llm.toxicity import score, train_from
+
+    more = docs.select("*", *[F.lit(c).alias(c) for c in CLASHING if c not in docs.columns])
+    assert sorted((r.doc_id, r.kept_) for r in dedup_lines(more).collect()) == sorted((r.doc_id, r.kept_) for r in dedup_lines(docs).collect())
+    labels = spark.createDataFrame([(i, i % 2, 5, 6) for i in range(40)], "doc_id long, toxic int, l_id int, y int")
+    a, b = (sorted((r.id, r.score) for r in score(x, train_from(x, labels)).collect()) for x in (more, docs))
+    assert a == b
