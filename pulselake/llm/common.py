@@ -43,6 +43,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def even_keys(spark: SparkSession, most: int) -> list[int]:
+    """At least `most` whole numbers that Spark's hash partitioning deals evenly, the same count to each shuffle partition."""
+    parts, size = partitions(spark), 64
+    each = -(-most // parts)
+    while True:
+        size *= 4
+        dealt = spark.range(size * parts).select(F.col("id").cast("int").alias("k"))
+        dealt = dealt.groupBy(F.pmod(F.hash("k"), F.lit(parts)).alias("p")).agg(F.slice(F.array_sort(F.collect_list("k")), 1, each).alias("k")).collect()
+        if len(dealt) == parts and all(len(r["k"]) == each for r in dealt):
+            return [r["k"][i] for i in range(each) for r in sorted(dealt, key=lambda r: r["p"])]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -109,6 +121,12 @@ def sequence_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return mixed((sums[k:] - sums[:n]) * _power("down", n))
 
 
+def range_hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each range of word hashes, by its words and their number."""
+    sums = _rolling(words)
+    return mixed((sums[ends] - sums[starts]) * _power("down", len(words) + 1)[starts] + (ends - starts).astype(np.uint64))
+
+
 class Words:
     """The words of a block of texts: byte ranges, 64-bit hashes, and the first word of each text."""
 

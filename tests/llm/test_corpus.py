@@ -80,20 +80,48 @@ def test_substring_dedup(spark, extra):
 
     rows = texts() + extra
     got = duplicate_spans(table(spark, rows), group_bytes=1 << 14, with_text=True)
-    assert sorted([tuple(r)[:4] for r in got.drop("spans").collect()], key=str) == substring_brute(rows)
+    assert sorted([tuple(r)[:4] for r in got.drop("spans", "edges").collect()], key=str) == substring_brute(rows)
 
 
-def test_substring_spans_point_at_equal_words(spark, docs):
-    from pulselake.llm.rlz import duplicate_spans
+def test_substring_factors_are_greedy_disjoint_and_end_with_the_reference(spark, docs):
+    from pulselake.llm.rlz import REACH, duplicate_spans
 
     split = {i: re.findall(SPACE, t or "") for i, t in texts()}
-    seen = 0
+    seen, over = 0, 0
     for r in duplicate_spans(docs).collect():
+        free = 0
         for s in r.spans:
             seen += 1
-            assert s.words >= 13 and s.ref_id < r.id
-            assert split[r.id][s.start : s.start + s.words] == split[s.ref_id][s.ref_start : s.ref_start + s.words]
-    assert seen
+            assert s.words >= 13 and s.ref_id < r.id and s.start >= free
+            ref, own = split[s.ref_id][s.ref_start :], split[r.id][s.start :]
+            assert own[: s.words] == ref[: s.words]
+            # The reference ends or differs there, unless the factor was cut after its reach.
+            assert own[s.words : s.words + 1] != ref[s.words : s.words + 1] or not own[s.words :] or s.words >= 13 + REACH
+            before = split[r.id][free : s.start + 12]
+            for p in range(len(before) - 12):
+                assert not any(before[p : p + 13] == w[q : q + 13] for i, w in split.items() if i < r.id for q in range(len(w) - 12) if w[q] == before[p])
+            free = s.start + s.words
+        for s in r.edges:
+            over += 1
+            assert s.words >= 13 and s.ref_id < r.id and split[r.id][s.start : s.start + s.words] == split[s.ref_id][s.ref_start : s.ref_start + s.words]
+            assert any(f.start < s.start < f.start + f.words < s.start + s.words for f in r.spans)
+    assert seen and over
+
+
+def test_words_are_compared_whole():
+    from pulselake.llm.rlz import words_alike
+
+    assert [words_alike(w, b"ab cd ef ", 0) for w in (b"ab cd ef", b"ab", b"ab c", b"ab cd ef gh", b"x", b"ab cdx ef")] == [3, 1, 1, 3, 0, 1]
+    assert words_alike(b"cd ef", b"ab cd ef ", 3) == 2 and words_alike(b"cd e", b"ab cd ef ", 3) == 1
+
+
+def test_group_numbers_are_dealt_evenly(spark):
+    from pulselake.llm.common import even_keys, partitions
+
+    keys = even_keys(spark, 9)
+    n = partitions(spark)
+    dealt = spark.createDataFrame([(k,) for k in keys], "k int").groupBy(F.pmod(F.hash("k"), F.lit(n))).count().collect()
+    assert len(set(keys)) == len(keys) >= 9 and {r["count"] for r in dealt} == {len(keys) // n} and len(dealt) == n
 
 
 def line_brute(rows, least=10):
@@ -373,6 +401,65 @@ def test_warc_reader_skips_what_is_not_wanted():
     assert [len(p) for _, p in found] == [500_000] and file.read_bytes < 600_000
 
 
+@pytest.mark.parametrize("compression", ["gzip", "none"])
+def test_warc_ranges_give_each_record_once(spark, tmp_path, monkeypatch, compression):
+    from pulselake.llm import warc
+
+    # The writer's workers are forked with the module's own bounds; a partition's are planned here.
+    monkeypatch.setattr(warc, "RANGE_BYTES", 150_000)
+    rng = random.Random(3)
+    pages = [(i, f"http://a/{i}", "".join(rng.choices("abcdefgh \r\n", k=rng.randrange(20_000)))) for i in range(300)]
+    path = f"{tmp_path}/ranges"
+    warc.write_warc(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1), path, compression=compression)
+    plan = warc.WarcReader({"path": path})
+    parts = plan.partitions()
+    assert len(parts) > 4
+    rows = [r for p in parts for b in plan.read(p) for r in b.to_pylist()]
+    assert sorted((r["record_id"], r["payload"].decode()) for r in rows) == sorted((f"<urn:page:{i}>", h) for i, _, h in pages)
+    read = warc.read_warc(spark, path)
+    assert read.count() == 300
+    (tmp_path / "ranges" / "part-of-a-failed-task.warc").write_bytes(b"WARC/1.1 half")
+    assert warc.read_warc(spark, path).count() == 300
+
+
+def test_warc_does_not_inflate_what_is_not_wanted():
+    import gzip
+    import io
+
+    from pulselake.llm.warc import member, members
+
+    class Counted(io.BytesIO):
+        read_bytes = 0
+
+        def read(self, n=-1):
+            got = super().read(n)
+            self.read_bytes += len(got)
+            return got
+
+    noise = random.Random(1).randbytes(400_000)
+    head = lambda kind: b"WARC/1.1\r\nWARC-Type: %s\r\nContent-Length: 400000\r\n\r\n" % kind
+    whole = b"".join(member(head(k), noise) for k in (b"response", b"metadata", b"response"))
+    assert gzip.decompress(whole) == b"".join(head(k) + noise + b"\r\n\r\n" for k in (b"response", b"metadata", b"response"))
+    file = Counted(whole)
+    found = list(members(file, 0, len(whole), lambda h: h["warc-type"] == "metadata"))
+    assert [p for _, p in found] == [noise] and file.read_bytes < 420_000
+    file = Counted(whole)
+    assert len(list(members(file, 0, len(whole), lambda h: True, False))) == 3 and file.read_bytes < 10_000
+
+
+def test_warc_reads_archives_of_other_writers(spark, tmp_path):
+    import gzip
+
+    from pulselake.llm.warc import read_warc
+
+    one = b"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <x:%d>\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(one % i) for i in range(3)))
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(b"".join(one % i for i in range(3, 6))))
+    (tmp_path / "c.warc").write_bytes(b"".join(one % i for i in range(6, 9)))
+    got = read_warc(spark, str(tmp_path)).collect()
+    assert sorted(r.record_id for r in got) == [f"<x:{i}>" for i in range(9)] and {bytes(r.payload) for r in got} == {b"hello"}
+
+
 @pytest.mark.parametrize("dims", [3, 64])
 def test_top_k_is_exact(spark, dims):
     from pulselake.llm.balltree import top_k
