@@ -1,13 +1,15 @@
-"""WARC archives: a writer with revisit records and a Python data source that reads headers first.
+"""WARC archives: a Python data source that writes records with revisits and reads headers first.
 
-Writing goes through Spark's own text sink (any file system Spark knows, whole files or none): a record is
-its header block and payload, and the sink's line separator is the empty lines that end a record. Files
-are gzipped unless told otherwise.
+Writing: a record is a gzip member of its own (as the format asks), whose header carries the member's length in the extra
+field "sl"; beside each archive file an index file lists where a record starts in every INDEX_BYTES of it. A task writes its
+files under new names; a manifest that names them is written when all tasks are done, so files of failed or repeated
+tasks are never read. Uncompressed archives have the same index.
 
-Reading plans a partition for each file. A task reads a record's header block, decides by the pushed-down
+Reading plans partitions of RANGE_BYTES within a file: a task looks up the first record that starts in its range and
+reads on to the first that starts past it. It reads a record's header block, decides by the pushed-down
 comparisons on record_type and the other header columns, and only then touches the payload: an unwanted one is
-skipped by seeking (or inflated past, in a gzipped file) and never becomes a value. `payload=false`
-skips all of them.
+skipped by seeking, is not inflated and never becomes a value. `payload=false`
+skips all of them. Archives of other writers (no index, no lengths) are read too: a partition for each file, inflated in passing.
 
 Defined results of `write_warc`: a null html is an empty payload; of equal payloads of at least `least` bytes
 the rows with the largest id are responses and the others revisits of it; a null id is always a response;
@@ -16,13 +18,18 @@ a null url has no target header; an empty table writes no records; other columns
 
 from __future__ import annotations
 
+import json
+import struct
+import uuid
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 
 END = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
@@ -32,6 +39,11 @@ SCHEMA = "record_type string, record_id string, target_uri string, payload_diges
 HEADERS = {"record_type": "warc-type", "record_id": "warc-record-id", "target_uri": "warc-target-uri", "payload_digest": "warc-payload-digest", "refers_to": "warc-refers-to"}
 #: Bytes of payload in one batch of rows.
 BATCH_BYTES = 8 << 20
+#: Bytes of an archive file between two entries of its index, of a partition, and of a file.
+INDEX_BYTES, RANGE_BYTES, FILE_BYTES = 1 << 18, 32 << 20, 1 << 30
+#: The start of a gzip member with an extra field, and that field's name and size.
+GZIP, EXTRA = b"\x1f\x8b\x08\x04\x00\x00\x00\x00\x00\x03", struct.Struct("<H2sHII")
+MANIFEST, INDEX = "_manifest.json", ".idx"
 
 
 def urn(page_id: Column) -> Column:
@@ -43,7 +55,7 @@ def page_of(record_id: Column) -> Column:
 
 
 def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 1000, compression: str = "gzip") -> None:
-    """Writes a record for each row of pages to files under path."""
+    """Writes a record for each row of pages to files under path, a folder that is not there yet."""
     payload = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).alias("id"), F.regexp_replace(F.col(url_col), r"\s", "%20").alias("url"), payload.alias("payload"))
     keyed = rows.select("id", F.sha1("payload").alias("digest"), F.octet_length("payload").alias("size")).where((F.col("size") >= least) & F.col("id").isNotNull()).drop("size")
@@ -66,8 +78,71 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
         F.lit("Content-Type: text/html; charset=utf-8"),
         F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string")),
     )
-    records = joined.select(F.concat(lines, F.lit(END), block).alias("value"))
-    records.write.option("lineSep", END).option("compression", compression).text(path)
+    records = joined.select(F.concat(lines, F.lit(END)).alias("head"), block.alias("block"))
+    pages.sparkSession.dataSource.register(WarcSource)
+    records.write.format("warc").option("path", path).option("compression", compression).mode("append").save()
+
+
+def member(head: bytes, block: bytes, level: int = 6) -> bytes:
+    """A record as a gzip member that knows its own length."""
+    data = head + block + END.encode()
+    squeeze = zlib.compressobj(level, zlib.DEFLATED, -15)
+    body = squeeze.compress(data) + squeeze.flush()
+    size = len(GZIP) + EXTRA.size + len(body) + 8
+    return GZIP + EXTRA.pack(12, b"sl", 8, size, len(data) & 0xFFFFFFFF) + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    files: list[str]
+
+
+class WarcWriter(DataSourceArrowWriter):
+    """Rows (head, block) to archive files with their indexes."""
+
+    def __init__(self, options: dict):
+        self.path, self.gzip = options["path"].rstrip("/"), options.get("compression", "gzip") == "gzip"
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        system, path = _opened(self.path)
+        system.create_dir(path, recursive=True)
+        files, file, index, at, marked = [], None, [], 0, 0
+        try:
+            for batch in iterator:
+                for head, block in zip(batch.column(0), batch.column(1), strict=True):
+                    if file is None or at >= FILE_BYTES:
+                        self._close(system, path, files, file, index)
+                        files.append(f"part-{uuid.uuid4().hex}.warc" + ".gz" * self.gzip)
+                        file, index, at, marked = system.open_output_stream(f"{path}/{files[-1]}", compression=None), [0], 0, 0
+                    if at - marked >= INDEX_BYTES:
+                        index.append(at)
+                        marked = at
+                    parts = (head.as_py().encode(), block.as_py().encode())
+                    data = member(*parts) if self.gzip else b"".join((*parts, END.encode()))
+                    file.write(data)
+                    at += len(data)
+        finally:
+            self._close(system, path, files, file, index)
+        return Written(files)
+
+    def _close(self, system, path: str, files: list[str], file, index: list[int]) -> None:
+        if file is not None:
+            file.close()
+            with system.open_output_stream(f"{path}/{files[-1]}{INDEX}", compression=None) as out:
+                out.write(json.dumps(index).encode())
+
+    def commit(self, messages: list[Written | None]) -> None:
+        system, path = _opened(self.path)
+        system.create_dir(path, recursive=True)
+        with system.open_output_stream(f"{path}/{MANIFEST}") as out:
+            out.write(json.dumps(sorted(f for m in messages if m for f in m.files)).encode())
+
+    def abort(self, messages: list[Written | None]) -> None:
+        system, path = _opened(self.path)
+        for name in (f for m in messages if m for f in m.files):
+            for full in (f"{path}/{name}", f"{path}/{name}{INDEX}"):
+                if system.get_file_info(full).is_file:
+                    system.delete_file(full)
 
 
 class _Stream:
@@ -75,6 +150,8 @@ class _Stream:
 
     def __init__(self, file, gzipped: bool, size: int = 1 << 18):
         self.file, self.size, self.buffer, self.at, self.over = file, size, b"", 0, False
+        #: Bytes (inflated ones of a gzipped file) that are consumed.
+        self.passed = 0
         self.inflate = zlib.decompressobj(31) if gzipped else None
 
     def _more(self) -> bool:
@@ -101,9 +178,11 @@ class _Stream:
                 return None
         found = self.buffer[self.at : to]
         self.at = to + len(mark)
+        self.passed += len(found) + len(mark)
         return found
 
     def take(self, n: int) -> bytes:
+        self.passed += n
         parts, have = [self.buffer[self.at : self.at + n]], min(n, len(self.buffer) - self.at)
         self.at += have
         while have < n:
@@ -115,6 +194,7 @@ class _Stream:
         return b"".join(parts)
 
     def skip(self, n: int) -> None:
+        self.passed += n
         left = len(self.buffer) - self.at
         if n > left and self.inflate is None and self.file.seekable():
             self.file.seek(n - left, 1)
@@ -129,16 +209,18 @@ class _Stream:
         self.at += n
 
 
-def records(stream: _Stream, wanted, payloads: bool = True) -> Iterator[tuple[dict[str, str], bytes | None]]:
-    """(headers by lower-case name, payload or None) of the records that wanted(headers) holds for."""
-    while (head := stream.until(b"\r\n\r\n")) is not None:
-        lines = head.decode("utf-8", "replace").lstrip("\r\n").split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"not a WARC record: {lines[0][:80]!r}")
-        headers: dict[str, str] = {}
-        for line in lines[1:]:
-            name, _, value = line.partition(":")
-            headers[name.strip().lower()] = value.strip()
+def _headers(head: bytes) -> dict[str, str]:
+    """Header fields by lower-case name."""
+    lines = head.decode("utf-8", "replace").lstrip("\r\n").split("\r\n")
+    if not lines[0].startswith("WARC/"):
+        raise ValueError(f"not a WARC record: {lines[0][:80]!r}")
+    return {name.strip().lower(): value.strip() for name, _, value in (line.partition(":") for line in lines[1:])}
+
+
+def records(stream: _Stream, wanted, payloads: bool = True, most: int | None = None) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    """(headers by lower-case name, payload or None) of the records that wanted(headers) holds for and that start before byte `most`."""
+    while (most is None or stream.passed < most) and (head := stream.until(b"\r\n\r\n")) is not None:
+        headers = _headers(head)
         n = int(headers.get("content-length", 0))
         if not wanted(headers):
             stream.skip(n)
@@ -150,15 +232,57 @@ def records(stream: _Stream, wanted, payloads: bool = True) -> Iterator[tuple[di
         stream.skip(4)
 
 
-class WarcFile(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+def _read_exactly(file, n: int) -> bytes:
+    data = file.read(n)
+    if len(data) < n:
+        raise EOFError("a WARC record ends early")
+    return data
+
+
+def members(file, low: int, high: int, wanted, payloads: bool = True) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    """What `records` gives, of gzip members that know their length and start in [low, high): of unwanted ones only the header is inflated."""
+    at = low
+    while at < high:
+        file.seek(at)
+        start = _read_exactly(file, len(GZIP) + EXTRA.size)
+        _, name, _, size, _ = EXTRA.unpack_from(start, len(GZIP))
+        if start[:4] != GZIP[:4] or name != b"sl":
+            raise ValueError(f"no member with a length at byte {at}")
+        rest, inflate, head = size - len(start), zlib.decompressobj(-15), b""
+        raw = _read_exactly(file, min(rest, 1024))
+        rest -= len(raw)
+        while (to := head.find(b"\r\n\r\n")) < 0:
+            if not raw:
+                raw = _read_exactly(file, min(rest, 1024))
+                rest -= len(raw)
+            if not raw or inflate.eof:
+                raise EOFError("a WARC record ends early")
+            head += inflate.decompress(raw, 2048)
+            raw = inflate.unconsumed_tail
+        headers = _headers(head[:to])
+        if wanted(headers):
+            payload = None
+            if payloads:
+                n = int(headers.get("content-length", 0))
+                block = head[to + 4 :] + inflate.decompress(raw) + inflate.decompress(_read_exactly(file, rest)) + inflate.flush()
+                if len(block) < n:
+                    raise EOFError("a WARC record ends early")
+                payload = block[:n]
+            yield headers, payload
+        at += size
+
+
+class WarcRange(InputPartition):
+    """Records of a file that start in [low, high); indexed: whether its index tells where records start."""
+
+    def __init__(self, path: str, low: int, high: int, indexed: bool):
+        self.path, self.low, self.high, self.indexed = path, low, high, indexed
 
 
 def _opened(path: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path) if "://" in path else fs.FileSystem.from_uri(("file://" + path.removeprefix("file:")) if path.startswith(("/", "file:")) else path)
+    return fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
 
 
 class WarcReader(DataSourceReader):
@@ -180,9 +304,17 @@ class WarcReader(DataSourceReader):
         system, path = _opened(self.path)
         info = system.get_file_info(path)
         found = [info] if info.is_file else system.get_file_info(fs.FileSelector(path, recursive=True))
-        files = sorted(f.path for f in found if f.is_file and not f.base_name.startswith(("_", ".")))
-        scheme = self.path.split("://")[0] + "://" if "://" in self.path else ""
-        return [WarcFile(scheme + f) for f in files]
+        sizes = {f.path: f.size for f in found if f.is_file}
+        names = sorted(f for f in sizes if not f.rsplit("/", 1)[-1].startswith(("_", ".")) and not f.endswith(INDEX))
+        if f"{path}/{MANIFEST}" in sizes:
+            with system.open_input_file(f"{path}/{MANIFEST}") as file:
+                names = [f"{path}/{name}" for name in json.loads(file.read())]
+        scheme, out = self.path.split("://")[0] + "://" if "://" in self.path else "", []
+        for name in names:
+            indexed = name + INDEX in sizes
+            step = RANGE_BYTES if indexed else max(1, sizes[name])
+            out += [WarcRange(scheme + name, low, min(low + step, sizes[name]), indexed) for low in range(0, sizes[name], step)]
+        return out
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         if partition is None:
@@ -191,9 +323,16 @@ class WarcReader(DataSourceReader):
         wanted = lambda h: all(h.get(name) in values for name, values in self.tests)
         with system.open_input_file(path) as file:
             gzipped = file.read(2) == b"\x1f\x8b"
-            file.seek(0)
+            low, high = 0, None
+            if partition.indexed:
+                with system.open_input_file(path + INDEX) as index:
+                    starts = json.loads(index.read())
+                size = file.size()
+                low, high = ([*starts, size][bisect_left(starts, at)] if at < size else size for at in (partition.low, partition.high))
+            file.seek(low)
+            found = members(file, low, high, wanted, self.payloads) if gzipped and partition.indexed else records(_Stream(file, gzipped), wanted, self.payloads, None if high is None else high - low)
             rows, size = [], 0
-            for h, payload in records(_Stream(file, gzipped), wanted, self.payloads):
+            for h, payload in found:
                 length = h.get("warc-payload-length")
                 rows.append((*[h.get(n) for n in HEADERS.values()], int(length) if length else None, int(h.get("content-length", 0)), partition.path, payload))
                 size += len(payload or b"") + 500
@@ -223,6 +362,9 @@ class WarcSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return WarcReader(dict(self.options))
 
+    def writer(self, schema, overwrite: bool) -> WarcWriter:
+        return WarcWriter(dict(self.options))
+
 
 def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
