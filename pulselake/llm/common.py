@@ -121,10 +121,14 @@ def sequence_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return mixed((sums[k:] - sums[:n]) * _power("down", n))
 
 
-def range_hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of each range of word hashes, by its words and their number."""
-    sums = _rolling(words)
-    return mixed((sums[ends] - sums[starts]) * _power("down", len(words) + 1)[starts] + (ends - starts).astype(np.uint64))
+class Ranges:
+    """Hashes of ranges of word hashes, by their words and their number; the sums over the words are made once."""
+
+    def __init__(self, words: np.ndarray):
+        self.sums = _rolling(words)
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mixed((self.sums[ends] - self.sums[starts]) * _power("down", len(self.sums))[starts] + (ends - starts).astype(np.uint64))
 
 
 class Words:

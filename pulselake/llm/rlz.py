@@ -45,7 +45,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulselake.llm.common import Words, even_keys, mixed, partitions, range_hashes, sequence_hashes, shared_path, stored, text_blocks
+from pulselake.llm.common import Ranges, Words, even_keys, mixed, partitions, sequence_hashes, shared_path, stored, text_blocks
 
 WINDOW = 13
 SEED_WORDS = 5
@@ -156,12 +156,25 @@ def _answers(rows: pa.Table, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
     return h[order], more[order]
 
 
-def _found(sorted_hashes: np.ndarray, asked: np.ndarray) -> np.ndarray:
-    """Index of each asked hash among sorted hashes, or -1."""
+#: Bits of a hash by which a table of marks tells most hashes that are not known.
+_MARK_BITS = 22
+
+
+def _marks(sorted_hashes: np.ndarray) -> np.ndarray:
+    marks = np.zeros(1 << _MARK_BITS, bool)
+    marks[sorted_hashes >> np.uint64(64 - _MARK_BITS)] = True
+    return marks
+
+
+def _found(sorted_hashes: np.ndarray, asked: np.ndarray, marks: np.ndarray | None = None) -> np.ndarray:
+    """Index of each asked hash among sorted hashes, or -1. marks: those of the sorted hashes, which spare most searches."""
+    out = np.full(len(asked), -1)
     if not len(sorted_hashes):
-        return np.full(len(asked), -1)
-    at = np.minimum(np.searchsorted(sorted_hashes, asked), len(sorted_hashes) - 1)
-    return np.where(sorted_hashes[at] == asked, at, -1)
+        return out
+    some = np.arange(len(asked)) if marks is None else np.flatnonzero(marks[asked >> np.uint64(64 - _MARK_BITS)])
+    at = np.minimum(np.searchsorted(sorted_hashes, asked[some]), len(sorted_hashes) - 1)
+    out[some] = np.where(sorted_hashes[at] == asked[some], at, -1)
+    return out
 
 
 class Stretches:
@@ -184,9 +197,9 @@ class Stretches:
         on = np.append((self.start[1:] == self.last[:-1] + 1) & (self.ref_doc[1:] <= self.ref_doc[:-1]), False)
         self.end = np.where(on, np.minimum(self.last + window + reach, run_end), self.last + window)
 
-    def keys(self, sums_of: np.ndarray, low: int) -> np.ndarray:
-        """A number for each stretch from its reference and words; sums_of: word hashes of the block, low: the text's first."""
-        whole = range_hashes(sums_of, self.start + low, self.end + low)
+    def keys(self, ranges: Ranges, low: int) -> np.ndarray:
+        """A number for each stretch from its reference and words; ranges: of the block, low: the text's first word."""
+        whole = ranges.hashes(self.start + low, self.end + low)
         return mixed(whole ^ mixed(self.ref_doc.astype(np.uint64)) + self.ref_pos.astype(np.uint64))
 
     def parse(self, alike: np.ndarray) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int, int, int]]]:
@@ -290,11 +303,12 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def asked(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
         rows = rows.drop_columns(["to"])
         shared, _ = _answers(answers, _TWICE)
+        marks = _marks(shared)
         found = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint32))]
         for ids, null, words in _texts(rows):
             text, place = windows_of(words.first, window)
             hashes = words.hashes()
-            ask = (_found(shared, minimisers(hashes, window, seed_words)[place]) >= 0) & ~null[text]
+            ask = (_found(shared, minimisers(hashes, window, seed_words)[place], marks) >= 0) & ~null[text]
             text, place = text[ask], place[ask]
             found.append((ids[text], sequence_hashes(hashes, window)[place], (place - words.first[:-1][text]).astype(np.uint32)))
         doc, h, pos = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -307,9 +321,10 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def stretches(rows: pa.Table, places: pa.Table) -> Iterator[tuple]:
         """(id, null, n_words, words, Stretches, keys) of each text; words only where some position is known."""
         known, ref = _answers(places, _PLACE)
+        marks = _marks(known)
         for ids, null, words in _texts(rows):
             hashes = words.hashes()
-            at, data = _found(known, sequence_hashes(hashes, window)), words.data.tobytes()
+            at, data, ranges = _found(known, sequence_hashes(hashes, window), marks), words.data.tobytes(), Ranges(hashes)
             for d in range(len(ids)):
                 low, high = int(words.first[d]), int(words.first[d + 1])
                 here = at[low : max(low, high - window + 1)]
@@ -319,7 +334,7 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     continue
                 place = ref[here]
                 found = Stretches(place["doc"], place["pos"].astype(np.int64), (here >= 0) & (place["doc"] < ids[d]), window)
-                yield ids[d], null[d], high - low, parts, found, found.keys(hashes, low)
+                yield ids[d], null[d], high - low, parts, found, found.keys(ranges, low)
 
     def asks_words(key: tuple, rows: pa.Table, places: pa.Table) -> pa.Table:
         to: dict[int, dict[int, tuple]] = {}
