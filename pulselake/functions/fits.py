@@ -90,3 +90,41 @@ def gap_upper_limit(gaps: np.ndarray, confidence: float = 0.9, low: float = 1e-3
         middle = math.sqrt(low * high)
         low, high = (low, middle) if gap_confidence(middle * widest, middle) > confidence else (middle, high)
     return math.sqrt(low * high)
+
+
+def fit_pulse(x: np.ndarray, t: np.ndarray, start: np.ndarray | None = None, onset: tuple[float, float] = (-10.0, 5.0), least_tau: float = 0.01) -> tuple[np.ndarray, float]:
+    """(parameters, root mean squared residual) of the pulse of two components (see pulse_shape) through a trace, by simplex search.
+
+    Outside the bounds of the onset and under the least time constant the loss grows with the distance from them.
+    """
+    top = float(x.max())
+    if start is None:
+        start = np.array([t[int(x.argmax())] - 1.0, top, top / 2, 20.0, 3.0, 60.0])
+        start[0] = min(max(start[0], onset[0] + 0.1), onset[1] - 0.1)
+
+    def loss(p: np.ndarray) -> float:
+        over = max(onset[0] - p[0], p[0] - onset[1], 0.0) + sum(max(least_tau - tau, 0.0) for tau in p[3:])
+        inside = np.array([min(max(p[0], onset[0]), onset[1]), *p[1:3], *np.maximum(p[3:], least_tau)])
+        return float(np.sqrt(np.mean((pulse_shape(t, *inside) - x) ** 2))) + 1e3 * over * (1 + abs(top))
+
+    best = simplex(loss, start, 0.2, 3000, 1e-9)
+    return best, loss(best)
+
+
+def saturation_curve(x: np.ndarray, k: float, c: float, q: float, b: float, nu: float) -> np.ndarray:
+    """The generalised logistic curve through zero."""
+    a = k / (1 - (c + q) ** (1 / nu))
+    return a + (k - a) / (c + q * np.exp(-b * x)) ** (1 / nu)
+
+
+def fit_saturation(amplitude: np.ndarray, height: np.ndarray) -> np.ndarray:
+    """(K, C, Q, B, nu) of the saturation curve by least squares; the parameters are searched by their logarithms."""
+    scale = float(np.max(amplitude)) or 1.0
+
+    def loss(p: np.ndarray) -> float:
+        with np.errstate(all="ignore"):
+            rest = saturation_curve(amplitude, *np.exp(np.clip(p, -20, 20))) - height
+            value = float((rest**2).sum())
+        return value if np.isfinite(value) else 1e300
+
+    return np.exp(simplex(loss, np.log([max(float(np.max(height)), 1e-6), 1.0, 1.0, 2.0 / scale, 1.0]), 0.3, 6000, 1e-14))

@@ -49,17 +49,72 @@ def speed_integral(energy: Column, nucleons: int, mass: float) -> Column:
     return scale * F.when(least < escape - drift, whole).when(least < escape + drift, partly).otherwise(0.0)
 
 
-def interaction_rate(energy: Column, nucleons: int, mass: float) -> Column:
-    """Differential rate at a cross section of 1e-40 / 1e-4 m2 on a proton."""
+#: Cross section of one unit in cm2, and what takes 1 / (GeV/c2 s GeV) to 1 / (kg day keV).
+UNIT_AREA = 1e-36
+PER_KG_DAY_KEV = LIGHT**2 / (1e9 * CHARGE) * 86400 * 1e-6
+
+
+def interaction_rate(energy: Column, nucleons: int, mass: float | Column) -> Column:
+    """Differential rate at a cross section of UNIT_AREA on a proton: rho sigma A^2 F^2 <1/v> / (2 m mu^2)."""
     reduced = PROTON * mass / (PROTON + mass)
-    front = 0.5 * LIGHT**4 / (1e12 * CHARGE) * 1e-40 * 86400 * nucleons**2 / (mass * reduced**2) * DENSITY
-    return front * F.pow(form_factor(energy, nucleons), 2) * speed_integral(energy, nucleons, mass)
+    seconds_per_cm = speed_integral(energy, nucleons, mass) * 1e-5
+    flux = (LIGHT * 100) ** 2 * DENSITY * UNIT_AREA * seconds_per_cm / (2 * mass * reduced * reduced)
+    return flux * (nucleons * form_factor(energy, nucleons)) ** 2 * PER_KG_DAY_KEV
+
+
+def compound_rate(parts: dict[int, float], mass: float | Column, energy: Column, efficiency: Column | float = 1.0) -> Column:
+    """Rate of a compound: mass shares by number of nucleons, times a cut efficiency."""
+    total = F.lit(0.0)
+    for n, share in parts.items():
+        total = total + share * interaction_rate(energy, n, mass)
+    return total * efficiency
 
 
 def recoil_spectrum(spark: SparkSession, parts: dict[int, float], mass: float, low: float, high: float, steps: int = 200) -> DataFrame:
     """energy, rate, share: the rate of a compound (mass share by number of nucleons) and its running share of the whole, on a grid."""
-    grid = spark.range(steps).select((low + (F.col("id") + 0.5) * (high - low) / steps).alias("energy"))
-    rate = sum((share * interaction_rate(F.col("energy"), n, mass) for n, share in parts.items()), F.lit(0.0))
-    line = W.partitionBy(F.lit(0)).orderBy("energy")  # steps rows
-    rated = grid.withColumn("rate", rate)
-    return rated.withColumn("share", F.sum("rate").over(line.rowsBetween(W.unboundedPreceding, 0)) / F.sum("rate").over(W.partitionBy(F.lit(0))))
+    return spectra(spark, parts, [mass], low, high, steps).drop("mass")
+
+
+def spectra(spark: SparkSession, parts: dict[int, float], masses: list[float], low: float, high: float, steps: int = 200, efficiencies: DataFrame | None = None) -> DataFrame:
+    """mass, energy, rate, share of each mass on a grid. efficiencies (energy, efficiency, few rows): the one nearest in energy counts.
+
+    A mass is one task at most; its rows are the grid's.
+    """
+    grid = spark.createDataFrame([(float(m),) for m in masses], "mass double").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
+    grid = grid.withColumn("energy", low + (F.col("i") + 0.5) * (high - low) / steps)
+    efficiency = F.lit(1.0)
+    if efficiencies is not None:
+        listed = efficiencies.agg(F.array_sort(F.collect_list(F.struct("energy", "efficiency"))).alias("known_")).withColumn("one_", F.lit(1))
+        grid = grid.withColumn("one_", F.lit(1)).join(F.broadcast(listed), "one_").drop("one_")
+        near = F.array_min(F.transform("known_", lambda k: F.struct(F.abs(k["energy"] - F.col("energy")).alias("d"), k["efficiency"].alias("e"))))
+        efficiency = near["e"]
+    rated = grid.withColumn("rate", compound_rate(parts, F.col("mass"), F.col("energy"), efficiency))
+    line = W.partitionBy("mass").orderBy("energy")
+    return rated.select("mass", "energy", "rate", (F.sum("rate").over(line.rowsBetween(W.unboundedPreceding, 0)) / F.sum("rate").over(W.partitionBy("mass"))).alias("share"))
+
+
+def log_masses(low: float, high: float, steps: int) -> list[float]:
+    return [low * (high / low) ** (i / (steps - 1)) for i in range(steps)]
+
+
+def upper_limits(spectrum: DataFrame, observed: DataFrame, exposure: float, step: float, confidence: float = 0.9) -> DataFrame:
+    """mass, expected (events at the limit), cross_section (in units of UNIT_AREA): the largest share of each mass's spectrum between
+    observed energies (energy) gives the number of expected events that `confidence` excludes. exposure in kg days, step of the grid in keV."""
+    import numpy as np
+    import pandas as pd
+
+    from pulselake.functions.fits import gap_upper_limit
+
+    cells = observed.select(F.col("energy").alias("seen"))
+    upper = spectrum.join(F.broadcast(cells), F.col("energy") <= F.col("seen")).groupBy("mass", "seen").agg(F.max("share").alias("at"))
+    points = upper.groupBy("mass").agg(F.array_sort(F.collect_list("at")).alias("at"))
+    totals = spectrum.groupBy(F.col("mass").alias("m_")).agg((F.sum("rate") * step).alias("total"))
+    both = totals.join(points, F.col("m_") == F.col("mass"), "left").select(F.col("m_").alias("mass"), "total", F.coalesce("at", F.array().cast("array<double>")).alias("at"))
+
+    def limits(parts):
+        for rows in parts:
+            widest = [np.diff(np.concatenate([[0.0], at, [1.0]])) for at in rows["at"]]
+            expected = np.array([gap_upper_limit(g, confidence) for g in widest], float)
+            yield pd.DataFrame({"mass": rows["mass"], "expected": expected, "cross_section": expected / (exposure * rows["total"])})
+
+    return both.mapInPandas(limits, "mass double, expected double, cross_section double")

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pulselake.functions.fits import fit_pulse
 from pulselake.operators.spectra import stacked
 
 
@@ -91,3 +92,78 @@ def peak_counts(traces: DataFrame, ident: str, value: str, head: int, sigma: flo
 def filtered(traces: DataFrame, ident: str, value: str, transfer: np.ndarray) -> DataFrame:
     """y: traces through a transfer function."""
     return per_batch(traces, ident, value, {"y": "array<double>"}, lambda x: [np.fft.irfft(np.fft.rfft(x) * transfer, x.shape[1])])
+
+
+def template_fits(traces: DataFrame, ident: str, value: str, template: np.ndarray, order: int, reach: int, truncation: float | None = None, head: int = 8) -> DataFrame:
+    """height, shift, rms: as `array_fit`, with shifts between samples and, given a truncation level, without the samples from the first
+    to the last that stand over it (above the mean of the first `head`).
+
+    Whole shifts are tried first; a parabola through the best one's residual and its neighbours' gives the part of a sample.
+    """
+    n = len(template)
+    base, at = np.vander(np.linspace(-1, 1, n), order + 1, increasing=True), np.arange(n)
+
+    def solved(x: np.ndarray, use: np.ndarray, by: float) -> tuple[float, float]:
+        a = np.column_stack([np.interp(at - by, at, template), base])[use]
+        c = np.linalg.lstsq(a, x[use], rcond=None)[0]
+        return float(c[0]), float(((a @ c - x[use]) ** 2).mean())
+
+    def fit(rows: np.ndarray) -> list[np.ndarray]:
+        out = []
+        for x in rows:
+            use = np.ones(n, bool)
+            over = np.flatnonzero(x - x[:head].mean() > truncation) if truncation is not None else []
+            if len(over) and over[-1] - over[0] + 1 < n - order - 2:
+                use[over[0] : over[-1] + 1] = False
+            tried = {by: solved(x, use, by) for by in range(-reach, reach + 1)}
+            best = min(tried, key=lambda by: (tried[by][1], by))
+            by, found = float(best), tried[best]
+            if -reach < best < reach:
+                left, middle, right = (tried[best + d][1] for d in (-1, 0, 1))
+                bend = left - 2 * middle + right
+                if bend > 0:
+                    between = best + (left - right) / (2 * bend)
+                    other = solved(x, use, between)
+                    by, found = (between, other) if other[1] <= found[1] else (by, found)
+            out.append((found[0], by, np.sqrt(found[1])))
+        return [np.array(c, float) for c in zip(*out, strict=True)]
+
+    return per_batch(traces, ident, value, {"height": "double", "shift": "double", "rms": "double"}, fit)
+
+
+def pulse_fits(traces: DataFrame, ident: str, value: str, step_ms: float, onset: tuple[float, float] = (-10.0, 5.0)) -> DataFrame:
+    """numbers (t0, A_n, A_t, tau_n, tau_in, tau_t; milliseconds from a quarter of the record) and rms of the pulse through each trace."""
+
+    def fit(rows: np.ndarray) -> list[np.ndarray]:
+        t = (np.arange(rows.shape[1]) - rows.shape[1] // 4) * step_ms
+        found = [fit_pulse(x, t, onset=onset) for x in rows]
+        return [np.array([f[0] for f in found]), np.array([f[1] for f in found])]
+
+    return per_batch(traces, ident, value, {"numbers": "array<double>", "rms": "double"}, fit)
+
+
+def peak_triggers(traces: DataFrame, ident: str, value: str, lag: int, threshold: float, ahead: int, mean: float | None = None, variance: float | None = None, fixed: float = 0.0) -> DataFrame:
+    """places, heights: samples over `threshold` deviations of the `lag` samples before them (of the first `lag` ones at the begin, or of a
+    given start). The highest of the next `ahead` samples is the peak, and as many samples are blocked; its height is over the
+    mean and two deviations."""
+
+    def find(x: np.ndarray) -> list[np.ndarray]:
+        n, length = x.shape
+        frames = np.lib.stride_tricks.sliding_window_view(x, lag, axis=1)
+        means = np.concatenate([np.repeat(frames[:, :1].mean(axis=2) if mean is None else np.full((n, 1), mean), lag, axis=1), frames[:, :-1].mean(axis=2)], axis=1)
+        spread = np.concatenate([np.repeat(frames[:, :1].var(axis=2, ddof=1) if variance is None else np.full((n, 1), variance), lag, axis=1), frames[:, :-1].var(axis=2, ddof=1)], axis=1)
+        sd = np.sqrt(np.full_like(spread, fixed) if fixed > 0 else spread)
+        out = [np.empty(n, object) for _ in range(2)]
+        for row in range(n):
+            places, heights, at = [], [], 0
+            over = np.flatnonzero(x[row] - means[row] > threshold * sd[row])
+            while (k := np.searchsorted(over, at)) < len(over):
+                i = int(over[k])
+                peak = i + int(x[row, i : i + ahead].argmax())
+                places.append(peak)
+                heights.append(float(x[row, peak] - 2 * sd[row, i] - means[row, i]))
+                at = i + ahead
+            out[0][row], out[1][row] = places, heights
+        return out
+
+    return per_batch(traces, ident, value, {"places": "array<long>", "heights": "array<double>"}, find)

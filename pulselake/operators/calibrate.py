@@ -2,50 +2,107 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pulselake.operators.ordered import gap_islands
+from pulselake.operators.ordered import gap_islands, last_known
 
 
-def pulser_fits(pulses: DataFrame, gap: int, unit: float) -> DataFrame:
-    """channel, island, t_first, t_last, tpa, slope, intercept: a straight line through the heights of each amplitude in each run of pulses.
+def pulser_fits(pulses: DataFrame, gap: int, unit: float, saturation: float | None = None, exclude: tuple[float, ...] = ()) -> DataFrame:
+    """channel, island, t_first, t_last, tpa, slope, intercept, n, mean_x, sxx, residual: a straight line through the heights of each amplitude in each run of pulses.
 
-    pulses: channel, t, id, tpa, value. Runs end at gaps over `gap`; lines are over (t - t_first) / unit.
+    pulses: channel, t, id, tpa, value. Runs end at gaps over `gap`; lines are over (t - t_first) / unit. Of a run, amplitudes from the
+    first one on whose mean height reaches `saturation` are left out, as are those of `exclude`. residual: deviation about the line.
     """
     runs = gap_islands(pulses, "channel", "t", "id", gap)
     spans = runs.groupBy("channel", "island").agg(F.min("t").alias("t_first"), F.max("t").alias("t_last"))
     joined = runs.join(spans, ["channel", "island"])
+    if exclude:
+        joined = joined.where(~F.round("tpa", 4).isin([round(e, 4) for e in exclude]))
     hours = (F.col("t") - F.col("t_first")) / unit
-    fits = joined.groupBy("channel", "island", "t_first", "t_last", "tpa").agg(F.regr_slope("value", hours).alias("s_"), F.avg("value").alias("m_"), F.avg(hours).alias("h_"))
+    fits = joined.groupBy("channel", "island", "t_first", "t_last", "tpa").agg(
+        F.regr_slope("value", hours).alias("s_"), F.avg("value").alias("m_"), F.avg(hours).alias("h_"), F.count("value").alias("n"), F.regr_sxx("value", hours).alias("sxx"), F.regr_syy("value", hours).alias("syy_"), F.regr_sxy("value", hours).alias("sxy_")
+    )
+    if saturation is not None:
+        first = fits.where(F.col("m_") >= saturation).groupBy(F.col("channel").alias("c_"), F.col("island").alias("i_")).agg(F.min("tpa").alias("first_"))
+        fits = fits.join(first, F.col("channel").eqNullSafe(F.col("c_")) & (F.col("island") == F.col("i_")), "left").where("first_ is null or tpa < first_").drop("c_", "i_", "first_")
     slope = F.coalesce("s_", F.lit(0.0))
-    return fits.select("channel", "island", "t_first", "t_last", "tpa", slope.alias("slope"), (F.col("m_") - slope * F.col("h_")).alias("intercept"))
+    residual = F.when(F.col("n") > 2, F.sqrt(F.greatest(F.col("syy_") - slope * F.col("sxy_"), F.lit(0.0)) / (F.col("n") - 2))).otherwise(0.0)
+    return fits.select("channel", "island", "t_first", "t_last", "tpa", slope.alias("slope"), (F.col("m_") - slope * F.col("h_")).alias("intercept"), "n", F.col("h_").alias("mean_x"), "sxx", residual.alias("residual"))
 
 
-def amplitudes(events: DataFrame, fits: DataFrame, unit: float) -> DataFrame:
-    """id, tpa: each event's height (channel, t, value) on the piecewise line through zero and its run's amplitudes at its time.
+def height_sigma(fit: Column, hours: Column) -> Column:
+    """Uncertainty of a line's height at a time: its own and that of single pulses about it, in quadrature."""
+    lever = 1 / fit["n"] + F.when(fit["sxx"] > 0, (hours - fit["mean_x"]) ** 2 / fit["sxx"]).otherwise(0.0)
+    return F.sqrt(fit["residual"] ** 2 * (1 + lever))
 
-    An event outside all runs takes the last run that began before it, or the first one. Above the highest
-    reference height the last piece goes on.
-    """
+
+def _with_knots(events: DataFrame, fits: DataFrame, unit: float, through_zero: bool) -> DataFrame:
+    """id, value and ks: (h, tpa, sigma) of the amplitudes of each event's run at its time, by height."""
     starts = fits.select("channel", F.col("t_first").alias("t"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("double").alias("value"), "island").distinct()
     both = starts.unionByName(events.select("channel", "t", "id", "value").withColumn("island", F.lit(None).cast("long")))
-    line = W.partitionBy("channel").orderBy("t", F.col("island").isNull()).rowsBetween(W.unboundedPreceding, 0)
-    placed = both.withColumn("run", F.coalesce(F.last("island", ignorenulls=True).over(line), F.lit(1))).where("id is not null").select("channel", "t", "id", "value", F.col("run").alias("island"))
-    knots = fits.groupBy("channel", "island", "t_first").agg(F.collect_list(F.struct("tpa", "slope", "intercept")).alias("fits"))
+    placed = last_known(both, "channel", "t", [F.col("island").isNull(), F.col("id")], F.col("island"), "run").where("id is not null")
+    earliest = fits.groupBy(F.col("channel").alias("c_")).agg(F.min("island").alias("least_"))
+    placed = placed.join(earliest, F.col("channel").eqNullSafe(F.col("c_"))).select("channel", "t", "id", "value", F.coalesce("run", "least_").alias("island"))
+    knots = fits.groupBy("channel", "island", "t_first").agg(F.collect_list(F.struct("tpa", "slope", "intercept", "n", "mean_x", "sxx", "residual")).alias("fits"))
     met = placed.join(knots, ["channel", "island"])
     hours = (F.col("t") - F.col("t_first")) / unit
-    ks = F.array_sort(F.concat(F.array(F.struct(F.lit(0.0).alias("h"), F.lit(0.0).alias("tpa"))), F.transform("fits", lambda f: F.struct((f["intercept"] + f["slope"] * hours).alias("h"), f["tpa"].alias("tpa")))))
-    met = met.withColumn("ks", ks)
+    ks = F.transform("fits", lambda f: F.struct((f["intercept"] + f["slope"] * hours).alias("h"), f["tpa"].alias("tpa"), height_sigma(f, hours).alias("sigma")))
+    zero = F.array(F.struct(F.lit(0.0).alias("h"), F.lit(0.0).alias("tpa"), F.lit(0.0).alias("sigma")))
+    return met.select("id", "value", F.array_sort(F.concat(zero, ks) if through_zero else ks).alias("ks"))
+
+
+def amplitudes(events: DataFrame, fits: DataFrame, unit: float) -> DataFrame:
+    """id, tpa, sigma: each event's height (channel, t, value) on the piecewise line through zero and its run's amplitudes at its time.
+
+    An event outside all runs takes the last run that began before it, or the first one. Above the highest
+    reference height the last piece goes on. sigma: the heights' uncertainty between the two knots, over the piece's slope.
+    """
+    met = _with_knots(events, fits, unit, True)
     at = F.least(F.greatest(F.size(F.filter("ks", lambda k: k["h"] <= F.col("value"))) - 1, F.lit(0)), F.size("ks") - 2)
     met = met.withColumn("a", F.get("ks", at)).withColumn("b", F.get("ks", at + 1))
-    run = F.col("b.h") - F.col("a.h")
-    return met.select("id", F.when(run != 0, F.col("a.tpa") + (F.col("value") - F.col("a.h")) * (F.col("b.tpa") - F.col("a.tpa")) / run).otherwise(F.col("a.tpa")).alias("tpa"))
+    run, rise = F.col("b.h") - F.col("a.h"), F.col("b.tpa") - F.col("a.tpa")
+    part = (F.col("value") - F.col("a.h")) / run
+    tpa = F.when(run != 0, F.col("a.tpa") + part * rise).otherwise(F.col("a.tpa"))
+    sigma = F.when(run != 0, F.abs(rise / run) * (F.col("a.sigma") + part * (F.col("b.sigma") - F.col("a.sigma")))).otherwise(0.0)
+    return met.select("id", tpa.alias("tpa"), sigma.alias("sigma"))
+
+
+def polynomial_amplitudes(events: DataFrame, fits: DataFrame, unit: float, order: int, through_zero: bool = True) -> DataFrame:
+    """id, tpa: as `amplitudes`, but on the polynomial of `order` in the height, fitted by least squares through the amplitudes of the run."""
+    kind = events.schema["id"].dataType.simpleString()
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in parts:
+            out = []
+            for value, ks in zip(rows["value"], rows["ks"]):
+                h, tpa = np.array([k["h"] for k in ks]), np.array([k["tpa"] for k in ks])
+                powers = np.arange(1 if through_zero else 0, order + 1)
+                fit = np.linalg.lstsq(h[:, None] ** powers, tpa, rcond=None)[0]
+                out.append(float((value**powers) @ fit))
+            yield pd.DataFrame({"id": rows["id"], "tpa": out})
+
+    return _with_knots(events, fits, unit, False).mapInPandas(run, f"id {kind}, tpa double")
+
+
+class EnergyCalibration:
+    """Heights to energies: fitted once to reference pulses, then called on events. cpe: energy of one unit of amplitude."""
+
+    def __init__(self, pulses: DataFrame, gap: int, unit: float, saturation: float | None = None, exclude: tuple[float, ...] = (), cpe: float = 1.0, order: int | None = None):
+        self.fits, self.unit, self.cpe, self.order = pulser_fits(pulses, gap, unit, saturation, exclude), unit, cpe, order
+
+    def __call__(self, events: DataFrame) -> DataFrame:
+        """id, tpa, energy and, for straight pieces, sigma and energy_sigma."""
+        if self.order:
+            return polynomial_amplitudes(events, self.fits, self.unit, self.order).withColumn("energy", F.col("tpa") * self.cpe)
+        found = amplitudes(events, self.fits, self.unit)
+        return found.withColumn("energy", F.col("tpa") * self.cpe).withColumn("energy_sigma", F.col("sigma") * self.cpe)
 
 
 def line_bands(points: DataFrame, key: str, x: str, y: str) -> DataFrame:
@@ -55,8 +112,25 @@ def line_bands(points: DataFrame, key: str, x: str, y: str) -> DataFrame:
     return g.withColumn("residual", F.sqrt(rest / (F.col("n") - 2))).drop("syy_", "sxy_").where("n > 2")
 
 
-def band_at(x: Column, z: float = 1.0) -> tuple[Column, Column, Column]:
-    """Value, half width of the confidence band and of the prediction band of a row of line_bands at x, for z deviations."""
+def student_quantile(confidence: float, n: int) -> float:
+    """The quantile of Student's t with n degrees of freedom that leaves (1 - confidence) / 2 above it, by bisection of its integral."""
+    norm = math.exp(math.lgamma((n + 1) / 2) - math.lgamma(n / 2)) / math.sqrt(n * math.pi)
+    # With x = sqrt(n) tan(a) the density is a power of the cosine.
+    grid = np.linspace(0, math.pi / 2, 20_001)
+    inside = np.concatenate([[0.0], np.cumsum((np.cos(grid[1:]) ** (n - 1) + np.cos(grid[:-1]) ** (n - 1)) / 2 * (grid[1] - grid[0]))]) * norm * math.sqrt(n)
+    return math.sqrt(n) * math.tan(float(np.interp(confidence / 2, inside, grid)))
+
+
+def student_column(confidence: float, degrees: Column, most: int = 200) -> Column:
+    """The same by a row's own degrees of freedom; beyond `most` it hardly changes and follows the normal one's expansion."""
+    known = F.array(*[F.lit(student_quantile(confidence, n)) for n in range(1, most + 1)])
+    z = NormalDist().inv_cdf((1 + confidence) / 2)
+    return F.when(degrees <= most, F.get(known, (degrees - 1).cast("int"))).otherwise(z + (z**3 + z) / (4 * degrees))
+
+
+def band_at(x: Column, z: float | Column = 1.0) -> tuple[Column, Column, Column]:
+    """Value, half width of the confidence band and of the prediction band of a row of line_bands at x, for z deviations (a number, or
+    `student_column` of n - 2)."""
     lever = 1 / F.col("n") + (x - F.col("mean_x")) ** 2 / F.col("sxx")
     return F.col("intercept") + F.col("slope") * x, z * F.col("residual") * F.sqrt(lever), z * F.col("residual") * F.sqrt(1 + lever)
 

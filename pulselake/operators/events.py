@@ -29,6 +29,41 @@ class EventSet:
             return self._with(self.df.join(idx.select("event_idx").distinct(), "event_idx", "left_semi"))
         return self._with(self.df.where(F.col("event_idx").isin(*idx)))
 
+    def count(self) -> int:
+        """Events, by their largest number: numbers run from 0."""
+        return (self.df.agg(F.max("event_idx")).first()[0] or -1) + 1 if self.df.head(1) else 0
+
+    def __getitem__(self, key) -> EventSet:
+        """events[channel, idx] or events[channel]: one channel, a list or slice of names; idx a number, a slice, a list of numbers or of
+        booleans, negative numbers from the end. A column is a mask over the rows."""
+        names, idx = key if isinstance(key, tuple) else (key, slice(None))
+        out = self if names == slice(None) or names is None else self.channels(*([names] if isinstance(names, (int, str)) else names))
+        if isinstance(idx, Column):
+            return out.where(idx)
+        if isinstance(idx, slice):
+            if idx == slice(None):
+                return out
+            step = idx.step or 1
+            low, high, _ = slice(idx.start, idx.stop, abs(step)).indices(self.count()) if step > 0 else (0, 0, 0)
+            if step < 0:
+                places = range(*idx.indices(self.count()))
+                low, high, step = (min(places, default=0), max(places, default=-1) + 1, -step)
+            return out.where((F.col("event_idx") >= low) & (F.col("event_idx") < high) & ((F.col("event_idx") - low) % step == 0))
+        idx = [idx] if isinstance(idx, int) and not isinstance(idx, bool) else list(idx)
+        if idx and all(isinstance(i, bool) for i in idx):
+            if len(idx) != self.count():
+                raise IndexError(f"{len(idx)} flags for {self.count()} events")
+            idx = [i for i, flag in enumerate(idx) if flag]
+        n = self.count() if any(i < 0 for i in idx) else None
+        places = [i + n if i < 0 else i for i in idx]
+        if any(i < 0 for i in places):
+            raise IndexError(f"no event {min(idx)} of {n}")
+        return out.events(places)
+
+    def __radd__(self, other) -> EventSet:
+        """So that sum() of several sets works."""
+        return self if other == 0 else NotImplemented
+
     def where(self, flag: Column) -> EventSet:
         return self._with(self.df.where(flag))
 
@@ -90,5 +125,13 @@ class LogicalCut:
     def kept_rows(self, df: DataFrame, key: str = "event_idx") -> DataFrame:
         return self.flagged(df, key).where("flag").drop("flag")
 
+    def cut_rows(self, df: DataFrame, key: str = "event_idx") -> DataFrame:
+        """What kept_rows leaves out."""
+        return self.flagged(df, key).where("not flag").drop("flag")
+
+    def numbers(self, df: DataFrame, kept: bool = True, key: str = "event_idx") -> DataFrame:
+        """The event numbers that pass the cut, or those that do not."""
+        return (self.kept_rows(df, key) if kept else self.cut_rows(df, key)).select(key).distinct()
+
     def counts(self, df: DataFrame, key: str = "event_idx") -> DataFrame:
         return self.flagged(df, key).agg(F.count(F.lit(1)).alias("total"), F.count_if("flag").alias("n_kept"))

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Runs of rows that one call of the dead-time fold gets.
+#: Runs of spans that one call of the trigger fold gets.
 RUNS = 512
 
 #: Microseconds of one key that are ordered together.
@@ -51,18 +51,38 @@ def numbered(df: DataFrame, key: str, time: str, ident: str, new: Column, name:
     return _with_carry(rows, key, ends).withColumn(name, F.col("count_") + F.coalesce("carry_", F.lit(0))).drop("count_", "carry_", "chunk_", "new_")
 
 
+def last_known(df: DataFrame, key: str, time: str, order: list, value: Column, name: str, chunk: int = CHUNK) -> DataFrame:
+    """df with `name`: the last `value` that is not null up to and with each row of its key, by time and then `order`; in chunks."""
+    rows, by = _in_chunks(df.withColumn("value_", value), key, time, chunk)
+    place = [F.col(time), *order]
+    ends = rows.where("value_ is not null").groupBy(*by).agg(F.max_by("value_", F.struct(*place)).alias("end_"))
+    every = rows.select(*by).distinct().withColumnsRenamed({key: "every_key_", "chunk_": "every_chunk_"})
+    ends = every.join(ends, F.col("every_key_").eqNullSafe(F.col(key)) & (F.col("every_chunk_") == F.col("chunk_")), "left")
+    line = W.partitionBy("every_key_").orderBy("every_chunk_").rowsBetween(W.unboundedPreceding, -1)
+    ends = ends.select(F.col("every_key_").alias(key), F.col("every_chunk_").alias("chunk_"), F.last("end_", ignorenulls=True).over(line).alias("carry_"))
+    rows = rows.withColumn("here_", F.last("value_", ignorenulls=True).over(W.partitionBy(*by).orderBy(*place).rowsBetween(W.unboundedPreceding, 0)))
+    return _with_carry(rows, key, ends).withColumn(name, F.coalesce("here_", "carry_")).drop("here_", "carry_", "chunk_", "value_")
+
+
 def gap_islands(df: DataFrame, key: str, time: str, ident: str, most: int, chunk: int = CHUNK) -> DataFrame:
     """df with island: runs of its key's rows without a gap over `most`, numbered from 1."""
     return numbered(since_previous(df, key, time, ident, chunk), key, time, ident, F.col("since_") > most, "island", chunk).drop("since_")
 
 
-def ranked(df: DataFrame, value: str, ident: str, name: str, chunk: int = 65536) -> DataFrame:
-    """df with `name`: its place, from 0, in the order of (value, ident). Both are whole numbers.
+def ranked(df: DataFrame, value: str, ident: str, name: str, chunk: int = 65536, ranges: int = 4096) -> DataFrame:
+    """df with `name`: its place, from 0, in the order of (value, ident), null values first. Both are whole numbers.
 
-    Places are counted within one value and range of ids; only the counts of the values, one row each, are summed in one task.
+    Places are counted within one value and range of ids; the counts of values are summed within `ranges` ranges of them, and only
+    the counts of those ranges in one task.
     """
-    sizes = df.groupBy(value).agg(F.count(F.lit(1)).alias("size_"))
-    sizes = sizes.select(F.col(value).alias("size_of_"), F.coalesce(F.sum("size_").over(W.orderBy(F.col(value).asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("below_"))
+    low, high = df.agg(F.min(value), F.max(value)).first()
+    width = max(1, -(-(high - low + 1) // ranges)) if low is not None else 1
+    part = F.coalesce(F.floor((F.col(value) - (low or 0)) / width), F.lit(-1))
+    sizes = df.groupBy(value).agg(F.count(F.lit(1)).alias("size_")).withColumn("range_", part)
+    whole = sizes.groupBy("range_").agg(F.sum("size_").alias("n_"))
+    whole = whole.select("range_", F.coalesce(F.sum("n_").over(W.orderBy("range_").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("ahead_"))
+    within = F.sum("size_").over(W.partitionBy("range_").orderBy(F.col(value).asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1))
+    sizes = sizes.withColumn("within_", within).join(whole, "range_").select(F.col(value).alias("size_of_"), (F.col("ahead_") + F.coalesce("within_", F.lit(0))).alias("below_"))
     inside = numbered(df, value, ident, ident, F.lit(True), "inside_", chunk)
     return inside.join(sizes, F.col(value).eqNullSafe(F.col("size_of_"))).withColumn(name, F.col("below_") + F.col("inside_") - 1).drop("below_", "inside_", "size_of_")
 
@@ -113,23 +133,75 @@ def rolling_zscore(df: DataFrame, key: str, order: tuple[str, str], value: str,
     return scored.where("own_").withColumn("z", z).drop("n_", "m_", "s_", "own_", "block_", "place_")
 
 
-def dead_time_fold(df: DataFrame, key: str, time: str, ident: str, block: int) -> DataFrame:
-    """The rows that start a dead time: the first of each key, then each first one at least `block` after the last start.
+def dead_time_fold(df: DataFrame, key: str, time: str, ident: str, block: int, closed: bool = False, chunk: int | None = None) -> DataFrame:
+    """The rows that start a dead time: the first of each key, then each first one at least `block` after the last start (more than that if `closed`).
 
-    Which rows these are hangs on all rows before, so the candidates of a key are folded in order by one task.
-    Runs apart by `block` or more do not touch each other: RUNS of them are a group, so a long stream is many tasks.
+    Which rows these are hangs on all rows before. A chunk of time is entered with the end of the last dead time, which lies
+    less than `block` past the chunk's begin, so the rows of that stretch and the first one after it are all that can start
+    first. For each of them the chunk says when its last dead time ends; one task per key chains these few rows, and the chunks
+    are then folded from where they are entered. A stream without a gap is many tasks.
     """
-    runs = gap_islands(df, key, time, ident, block - 1)
+    chunk = chunk or max(CHUNK, 64 * block)
+    side, kind, names = "right" if closed else "left", df.schema[key].dataType.simpleString(), df.columns
+    rows = df.withColumn("chunk_", F.floor(F.col(time) / chunk))
+
+    def summed(part: pd.DataFrame) -> pd.DataFrame:
+        t, at = np.sort(part[time].to_numpy()), int(part["chunk_"].iloc[0])
+        after = np.searchsorted(t, t + block, side)
+        last = np.where(after < len(t), after, np.arange(len(t)))
+        for _ in range(int(len(t)).bit_length()):
+            last = last[last]
+        first = np.unique(t, return_index=True)[1]
+        first = first[: np.searchsorted(t[first], at * chunk + block, "right") + 1]
+        return pd.DataFrame({"chunk_key_": [part[key].iloc[0]], "at": [at], "enter": [t[first].tolist()], "leave": [(t[last[first]] + block).tolist()]})
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([time, ident])
-        stamps, keep, at = rows[time].to_numpy(), [], 0
+    def chained(part: pd.DataFrame) -> pd.DataFrame:
+        part, free, out = part.sort_values("at").reset_index(drop=True), None, []
+        for enter, leave in zip(part["enter"], part["leave"]):
+            out.append(free)
+            i = 0 if free is None else int(np.searchsorted(enter, free, side))
+            free = int(leave[i]) if i < len(enter) else free
+        return pd.DataFrame({"chunk_key_": part["chunk_key_"], "at": part["at"], "free_": pd.array(out, "Int64")})
+
+    def fold(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values([time, ident])
+        stamps, keep, free = part[time].to_numpy(), [], part["free_"].iloc[0]
+        at = 0 if pd.isna(free) else int(np.searchsorted(stamps, int(free), side))
         while at < len(stamps):
             keep.append(at)
-            at = int(np.searchsorted(stamps, stamps[at] + block, "left"))
-        return rows.iloc[keep]
+            at = int(np.searchsorted(stamps, stamps[at] + block, side))
+        return part.iloc[keep][names]
+
+    told = rows.select(key, time, "chunk_").groupBy(key, "chunk_").applyInPandas(summed, f"chunk_key_ {kind}, at long, enter array<long>, leave array<long>")
+    entered = told.groupBy("chunk_key_").applyInPandas(chained, f"chunk_key_ {kind}, at long, free_ long")
+    met = rows.join(entered, F.col(key).eqNullSafe(F.col("chunk_key_")) & (F.col("chunk_") == F.col("at"))).drop("chunk_key_", "at")
+    return met.groupBy(key, "chunk_").applyInPandas(fold, df.schema)
+
+
+#: Rows of an exponential mean that are summed at once.
+STRETCH = 128
+
+
+def exponential_mean(x: np.ndarray, keep: float, start: float) -> np.ndarray:
+    """The means after each value: keep times the mean before and the rest of the value."""
+    n = -(-len(x) // STRETCH)
+    rows = np.zeros(n * STRETCH)
+    rows[: len(x)] = x
+    steps = np.arange(STRETCH)
+    share = np.tril((1 - keep) * keep ** np.maximum(steps[:, None] - steps, 0))
+    part, left = rows.reshape(n, STRETCH) @ share.T, keep ** (steps + 1)
+    for i in range(n):
+        part[i] += left * start
+        start = part[i, -1]
+    return part.reshape(-1)[: len(x)]
+
 
-    return runs.withColumn("island", F.floor(F.col("island") / RUNS)).groupBy(key, "island").applyInPandas(fold, runs.schema).drop("island")
+def averaged(df: DataFrame, key: str, order: tuple[str, str], value: str, down: int) -> DataFrame:
+    """key, place (from 0), first and last (times) and value: the mean of each `down` rows in a row of a key; a rest of fewer is left out."""
+    time, ident = order
+    rows = numbered(df.where(F.col(value).isNotNull()), key, time, ident, F.lit(True), "place_").withColumn("place", F.floor((F.col("place_") - 1) / down))
+    met = rows.groupBy(key, "place").agg(F.min(time).alias("first"), F.max(time).alias("last"), F.avg(value).alias("value"), F.count(F.lit(1)).alias("n_"))
+    return met.where(F.col("n_") == down).drop("n_")
 
 
 def exponential_trigger(df: DataFrame, key: str, order: tuple[str, str], value: str, short: float, long: float, sigma: float, block: int = 65536) -> DataFrame:
@@ -146,11 +218,10 @@ def exponential_trigger(df: DataFrame, key: str, order: tuple[str, str], value:
 
     def summed(part: pd.DataFrame) -> pd.DataFrame:
         v = part.sort_values("place_")[value].to_numpy(float)
-        base, fast, slow, flat, tilt, bend, left = v[0], 0.0, 0.0, 0.0, 0.0, 0.0, 1.0
-        for x in v - base:
-            off = x - slow
-            flat, tilt, bend = b * flat + (1 - b) * off * off, b * tilt - 2 * (1 - b) * off * left, b * bend + (1 - b) * left * left
-            fast, slow, left = a * fast + (1 - a) * x, b * slow + (1 - b) * x, b * left
+        base, x = v[0], v - v[0]
+        fast, means, left = exponential_mean(x, a, 0.0)[-1], exponential_mean(x, b, 0.0), b ** np.arange(len(x))
+        slow, off = means[-1], x - np.concatenate([[0.0], means[:-1]])
+        flat, tilt, bend = (exponential_mean(y, b, 0.0)[-1] for y in (off * off, -2 * off * left, left * left))
         return pd.DataFrame({"start_key_": [part[key].iloc[0]], "block": [part["block_"].iloc[0]], "n": [len(v)], "base": [base], "cf": [fast], "cs": [slow], "flat": [flat], "tilt": [tilt], "bend": [bend]})
 
     def chained(part: pd.DataFrame) -> pd.DataFrame:
@@ -168,13 +239,12 @@ def exponential_trigger(df: DataFrame, key: str, order: tuple[str, str], value:
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("place_").reset_index(drop=True)
         fast, slow, var = (float(part[c].iloc[0]) for c in ("fast0", "slow0", "var0"))
-        out = []
-        for v in part[value].to_numpy(float):
-            fast = a * fast + (1 - a) * v
-            fired = var > 0 and abs(fast - slow) > sigma * np.sqrt(var)
-            var, slow = b * var + (1 - b) * (v - slow) ** 2, b * slow + (1 - b) * v
-            out.append((fast, slow, fired))
-        part[["fast", "slow", "fired"]] = out
+        x = part[value].to_numpy(float)
+        means = exponential_mean(x, b, slow)
+        before = np.concatenate([[slow], means[:-1]])
+        spread = np.concatenate([[var], exponential_mean((x - before) ** 2, b, var)[:-1]])
+        part["fast"], part["slow"] = exponential_mean(x, a, fast), means
+        part["fired"] = (spread > 0) & (np.abs(part["fast"].to_numpy() - before) > sigma * np.sqrt(spread))
         return part[[*names, "fast", "slow", "fired"]]
 
     blocks = rows.select(key, "block_", "place_", value).groupBy(key, "block_").applyInPandas(summed, f"start_key_ {kind}, block long, n long, base double, cf double, cs double, flat double, tilt double, bend double")

@@ -62,3 +62,18 @@ def jump(x: Column, start: int, height: float, decay: float) -> Column:
 def saturated(x: Column, scale: float, slope: float) -> Column:
     """A logistic curve through zero."""
     return F.transform(x, lambda v: scale * (1 / (1 + F.exp(-slope * v)) - 0.5))
+
+
+def square_wave(x: Column, height: float, spans: list[tuple[int, int]]) -> Column:
+    """x with `height` added in each span of samples, ends included."""
+    return F.transform(x, lambda v, i: v + sum((F.when((i >= a) & (i <= b), float(height)).otherwise(0.0) for a, b in spans), F.lit(0.0)))
+
+
+def ramp_jump(x: Column, start: int, height: float, width: int) -> Column:
+    """x with a jump of `height` that takes `width` samples from `start` on."""
+    return F.transform(x, lambda v, i: v + height * F.least(F.greatest((i - start) / width, F.lit(0.0)), F.lit(1.0)))
+
+
+def scaled_back(x: Column, mean: float, sigma: float) -> Column:
+    """The value whose distance from the mean in deviations is x."""
+    return x * sigma + mean

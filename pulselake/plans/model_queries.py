@@ -37,7 +37,11 @@ def polynomial_baseline(spark, d):
     return out.select("vec_id", r6(F.get("coefficients", F.lit(0)), "c0"), r6(F.get("coefficients", F.lit(1)), "c1"), r6(F.col("rms"), "rms"))
 
 
-@query("cubic_baseline")
+_CUBIC = np.linalg.pinv(np.vander(np.arange(float(LENGTH)), 4, increasing=True))
+
+
+@query("cubic_baseline", f"""WITH {SQL_TRACES}, m AS (SELECT {[[float(v) for v in row] for row in _CUBIC]}::DOUBLE[][] AS p), c AS (SELECT vec_id, x, list_transform(p, lambda q: list_inner_product(q, x)) AS c FROM tr, m)
+SELECT vec_id, list_transform(c, lambda v: round(v, 9)) AS coefficients, round(sqrt(list_sum(list_transform(range(64), lambda i: (x[i + 1] - c[1] - c[2] * i - c[3] * i ** 2 - c[4] * i ** 3) ** 2))), 6) AS rms FROM c""")
 def cubic_baseline(spark, d):
     out = signal.polynomial_baseline(traces(spark, d), "vec_id", "x", 3, LENGTH)
     return out.select("vec_id", F.transform("coefficients", lambda c: F.round(c, 9)).alias("coefficients"), r6(F.col("rms"), "rms"))
@@ -55,7 +59,9 @@ def array_fit(spark, d):
     return out.select("vec_id", r6(F.col("height"), "height"), "shift", r6(F.col("rms"), "rms"))
 
 
-@query("peak_counts")
+@query("peak_counts", f"""WITH {SQL_TRACES}, o AS (SELECT vec_id, i, b[i + 1] > 2 * list_stddev_pop(x[1:8]) AS o, b[i] > 2 * list_stddev_pop(x[1:8]) AS p FROM (SELECT *, unnest(range(8, 64)) AS i FROM b)),
+f AS (SELECT vec_id, len(list_reduce(list([i] ORDER BY i), lambda acc, y: CASE WHEN y[1] >= acc[-1] + 6 THEN list_concat(acc, y) ELSE acc END)) AS n FROM o WHERE o AND NOT p GROUP BY vec_id)
+SELECT vec_id, coalesce(n, 0) AS n_peaks FROM tr LEFT JOIN f USING (vec_id)""")
 def peak_counts(spark, d):
     return signal.peak_counts(traces(spark, d), "vec_id", "x", HEAD, 2.0, 6)
 
@@ -63,7 +69,7 @@ def peak_counts(spark, d):
 @query("simulated_fit")
 def simulated_fit(spark, d):
     """Simulated events fitted with their own template: heights come back."""
-    n = max(200, table(spark, d, "events").count() // 10)
+    n = table(spark, d, "events").count()
     sim = simulate.simulate(spark, n, TEMPLATE, np.full(LENGTH // 2 + 1, 1e-4), (0.5, 2.0), 3, 11)
     fit = signal.array_fit(sim, "event_idx", "x", TEMPLATE, 1, 4)
     return sim.select("event_idx", r6(F.col("height"), "true_height"), F.col("shift").alias("true_shift")).join(fit.select("event_idx", r6(F.col("height"), "height"), "shift"), "event_idx")
@@ -86,13 +92,6 @@ def pulser_drift(spark, d):
     return calibrate.pulser_fits(pulses, 4 * HOUR, float(HOUR)).select("channel", "island", "tpa", r6(F.col("slope"), "slope"), r6(F.col("intercept"), "intercept"))
 
 
-@query("calibrated_amplitudes")
-def calibrated_amplitudes(spark, d):
-    pulses = records(spark, d).where("kind = 'purchase'").withColumn("tpa", F.floor("tpa").cast("double") + 1)
-    fitted = calibrate.pulser_fits(pulses, 4 * HOUR, float(HOUR))
-    return calibrate.amplitudes(records(spark, d).where("kind = 'view'"), fitted, float(HOUR)).select("id", r6(F.col("tpa"), "tpa"))
-
-
 @query("hash_split", "SELECT part, count(*) AS n FROM (SELECT CASE WHEN p < 0.6 THEN 'train' WHEN p < 0.8 THEN 'validation' ELSE 'test' END AS part FROM (SELECT CAST('0x' || substr(md5('1:' || event_id), 1, 8) AS BIGINT) / 4294967296.0 AS p FROM events)) GROUP BY part")
 def hash_split(spark, d):
     part = evaluate.split(F.col("event_id"), {"train": 0.6, "validation": 0.2, "test": 0.2})
@@ -123,18 +122,18 @@ def accuracy_by_label(spark, d):
     return evaluate.accuracy_by_label(table(spark, d, "labels"), "quality", "toxic").select("quality", "n", r6(F.col("accuracy"), "accuracy"))
 
 
-@query("aligned_triggers", f"WITH {SQL_RECORDS}, f AS (SELECT unnest(list_reduce(list([t] ORDER BY t), lambda acc, x: CASE WHEN x[1] >= acc[-1] + 600000000 THEN list_concat(acc, x) ELSE acc END)) AS t FROM r) SELECT min(id) AS id FROM f JOIN r USING (t) GROUP BY t")
+@query("aligned_triggers", f"WITH {SQL_RECORDS}, f AS (SELECT unnest(list_reduce(list([t] ORDER BY t), lambda acc, x: CASE WHEN x[1] > acc[-1] + 600000000 THEN list_concat(acc, x) ELSE acc END)) AS t FROM r) SELECT min(id) AS id FROM f JOIN r USING (t) GROUP BY t")
 def aligned_triggers(spark, d):
-    """The triggers of all channels as one line, each blocking those within ten minutes after it."""
+    """The triggers of all channels as one line, each blocking those up to ten minutes after it."""
     every = records(spark, d).select("t", "id").withColumn("line", F.lit(0))
-    return ordered.dead_time_fold(every, "line", "t", "id", 600_000_000).select("id")
+    return ordered.dead_time_fold(every, "line", "t", "id", 600_000_000, closed=True).select("id")
 
 
-@query("event_set_algebra", f"WITH {SQL_TRACES}, u AS (SELECT vec_id AS event_idx, b FROM b WHERE label < 5 UNION ALL SELECT vec_id + 1 + (SELECT max(vec_id) FROM tr WHERE label < 5), b FROM b WHERE label >= 5) SELECT event_idx, round(list_max(b), 6) AS top FROM u WHERE event_idx % 3 = 0")
+@query("event_set_algebra", f"WITH {SQL_TRACES}, u AS (SELECT vec_id AS event_idx, b FROM b WHERE label < 5 UNION ALL SELECT vec_id + 1 + (SELECT max(vec_id) FROM tr WHERE label < 5), b FROM b WHERE label >= 5) SELECT event_idx, round(list_max(b), 6) AS top FROM u WHERE b[1] < 0.5")
 def event_set_algebra(spark, d):
     x = traces(spark, d).withColumn("channel", F.lit(0)).withColumnRenamed("vec_id", "event_idx")
     sets = [EventSet(x.where(c).drop("label"), 40, LENGTH) for c in ("label < 5", "label >= 5")]
-    both = (sets[0] + sets[1]).with_processing(lambda c: A.remove_constant(c, HEAD)).where(F.col("event_idx") % 3 == 0)
+    both = (sets[0] + sets[1]).with_processing(lambda c: A.remove_constant(c, HEAD)).where(F.get("x", F.lit(0)) < 0.5)
     return both.apply(top=lambda c: F.round(F.array_max(c), 6)).drop("channel")
 
 

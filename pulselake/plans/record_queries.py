@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -107,7 +109,11 @@ ORACLES["dead_time_fold"] = f"""WITH {SQL_RECORDS}, f AS (SELECT channel, unnest
 SELECT min(id) AS id, channel FROM f JOIN r USING (channel, t) GROUP BY channel, t"""
 
 
-@query("exponential_trigger")
+@query("exponential_trigger", f""", o AS (SELECT id, channel, value, row_number() OVER (PARTITION BY channel ORDER BY t, id) AS n FROM r), e AS (
+ SELECT id, channel, n, value AS fast, value AS slow, 0.0::DOUBLE AS var, false AS fired FROM o WHERE n = 1 UNION ALL
+ SELECT o.id, o.channel, o.n, {math.exp(-1 / 5)!r} * fast + {1 - math.exp(-1 / 5)!r} * value, {math.exp(-1 / 50)!r} * slow + {1 - math.exp(-1 / 50)!r} * value, {math.exp(-1 / 50)!r} * var + {1 - math.exp(-1 / 50)!r} * (value - slow) ** 2,
+  var > 0 AND abs({math.exp(-1 / 5)!r} * fast + {1 - math.exp(-1 / 5)!r} * value - slow) > 2 * sqrt(var) FROM e JOIN o ON o.channel = e.channel AND o.n = e.n + 1)
+SELECT id, round(fast, 6) AS fast, round(slow, 6) AS slow, fired FROM e""")
 def exponential_trigger(spark, d):
     out = O.exponential_trigger(records(spark, d).select("channel", "t", "id", "value"), "channel", ["t", "id"], "value", 5.0, 50.0, 2.0)
     return out.select("id", r6(F.col("fast"), "fast"), r6(F.col("slow"), "slow"), "fired")
@@ -301,16 +307,6 @@ def logistic_saturation(spark, d):
     return kind(spark, d, "purchase").select("id", r6(10 / (1 + F.exp(-0.05 * (F.col("value") - 60))) - F.lit(10) / (1 + F.exp(F.lit(3.0))), "height"))
 
 
-@query("decimated_frame", "SELECT id, value FROM r WHERE id >= 200 AND id < 4200 AND (id - 200) % 10 = 0")
-def decimated_frame(spark, d):
-    return records(spark, d).where((F.col("id") >= 200) & (F.col("id") < 4200) & ((F.col("id") - 200) % 10 == 0)).select("id", "value")
-
-
-@query("channel_sum_stream", "SELECT t // 60000000 AS slot, round(sum(value), 6) AS total, count(DISTINCT channel) AS n_channels FROM r GROUP BY 1")
-def channel_sum_stream(spark, d):
-    return records(spark, d).groupBy(F.floor(F.col("t") / MINUTE).alias("slot")).agg(r6(F.sum("value"), "total"), F.count_distinct("channel").alias("n_channels"))
-
-
 #: The heights of the records in order, as one stream in chunks.
 CHUNK, RECORD = 512, 32
 
@@ -332,8 +328,11 @@ def filter_trigger(spark, d):
 
 @query("deviation_trigger")
 def deviation_trigger(spark, d):
-    found = triggering.triggers(_stream(spark, d), CHUNK, RECORD, 2.5, triggering.deviation_score)
-    return found.select("channel", "place", r6(F.col("height"), "height"))
+    """Records that stand out from those before them, with the height of the pulse around them where the stream holds it whole."""
+    stream = _stream(spark, d)
+    found = triggering.triggers(stream, CHUNK, RECORD, 2.5, triggering.deviation_score)
+    heights = triggering.pulse_heights(stream, found.select("channel", "place"), CHUNK, RECORD)
+    return found.join(heights, ["channel", "place"], "left").select("channel", "place", r6(F.col("height"), "score"), r6(F.col("pulse_height"), "pulse_height"))
 
 
 @query("chunk_windows", "SELECT a.id, round(sum(b.value), 6) AS area, round(arg_max(b.value, b.id), 6) AS last_sample FROM r a JOIN r b ON a.kind = 'purchase' AND b.id >= a.id - 8 AND b.id < a.id + 24 GROUP BY a.id HAVING count(*) = 32")

@@ -33,6 +33,46 @@ class Groups:
         df = self.spark.read.parquet(f"{self.path}/{group}/v{versions[-1]}")
         return df.select(*columns) if columns else df
 
+    def create(self) -> None:
+        """Makes the folder, without groups."""
+        self._fs.mkdirs(self._hadoop(self.path))
+
+    def exists(self) -> bool:
+        return self._fs.exists(self._hadoop(self.path))
+
+    def location(self, group: str) -> str:
+        """Where the current version of a group lies; KeyError if there is none."""
+        versions = self._versions(group)
+        if not versions:
+            raise KeyError(group)
+        return f"{self.path}/{group}/v{versions[-1]}"
+
+    def content(self, *groups: str) -> DataFrame:
+        """group, column, type, n (rows), length (of arrays in the first row) of all or some groups; counted by Spark, one row a column."""
+        rows = []
+        for group in groups or self.keys():
+            df = self.get(group)
+            n, first = df.count(), df.first()
+            rows += [(group, name, kind, n, len(first[name]) if first and isinstance(first[name], list) else None) for name, kind in df.dtypes]
+        return self.spark.createDataFrame(rows, "group string, column string, type string, n long, length int")
+
+    def derived(self, group: str, name: str, of: str = "mainpar", key: str = "event_idx") -> DataFrame:
+        """key, channel and a derived column: a field of a stored struct, or a difference of its times (length_rise, length_peak,
+        length_decay, length_firsthalfdecay, length_secondhalfdecay)."""
+        times = {"length_rise": ("t_rise", "t_zero"), "length_peak": ("t_decaystart", "t_rise"), "length_decay": ("t_end", "t_decaystart"), "length_firsthalfdecay": ("t_half", "t_decaystart"), "length_secondhalfdecay": ("t_end", "t_half")}
+        df = self.get(group)
+        if name in df.columns:
+            value = F.col(name)
+        elif name in times:
+            value = F.col(f"{of}.{times[name][0]}") - F.col(f"{of}.{times[name][1]}")
+        else:
+            value = F.col(f"{of}.{name}")
+        return df.select(*[c for c in (key, "channel") if c in df.columns], value.alias(name))
+
+    def repack(self, group: str, files: int) -> None:
+        """The same rows in `files` files."""
+        self.put(group, self.get(group).repartition(files))
+
     def put(self, group: str, df: DataFrame) -> None:
         """Writes a group anew; the version before stays until the new one is whole."""
         versions = self._versions(group)
@@ -68,3 +108,34 @@ class Groups:
             shifted.append(df.withColumn(key, F.col(key) + at).withColumn("origin", F.lit(name)))
             at += (top + 1) if top is not None else 0
         self.put(group, reduce(DataFrame.unionByName, shifted))
+
+
+def properties(parts: list[tuple[str, DataFrame]]) -> DataFrame:
+    """origin, column, type, n of each part, as a table."""
+    spark = parts[0][1].sparkSession
+    return spark.createDataFrame([(name, c, kind, df.count()) for name, df in parts for c, kind in df.dtypes], "origin string, column string, type string, n long")
+
+
+def inconsistencies(parts: list[tuple[str, DataFrame]]) -> list[str]:
+    """What keeps parts from being merged: columns that some lack, and columns of several types."""
+    kinds: dict[str, dict[str, list[str]]] = {}
+    for name, df in parts:
+        for c, kind in df.dtypes:
+            kinds.setdefault(c, {}).setdefault(kind, []).append(name)
+    found = []
+    for c, by in sorted(kinds.items()):
+        have = {n for names in by.values() for n in names}
+        lacking = [name for name, _ in parts if name not in have]
+        found += [f"{c} is missing in {', '.join(lacking)}"] if lacking else []
+        found += [f"{c} has types {', '.join(sorted(by))}"] if len(by) > 1 else []
+    return found
+
+
+def available(df: DataFrame) -> bool:
+    """Whether all files that a DataFrame reads are still there."""
+    spark = df.sparkSession
+    for file in df.inputFiles():
+        path = spark._jvm.org.apache.hadoop.fs.Path(file)
+        if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            return False
+    return True

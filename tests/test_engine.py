@@ -334,3 +334,435 @@ def test_exponential_means_cross_blocks(spark, block):
         var, slow = b * var + (1 - b) * (x - slow) ** 2, b * slow + (1 - b) * x
         assert abs(got[i][0] - fast) < 1e-8 and abs(got[i][1] - slow) < 1e-8 and got[i][2] == fired
     assert got[900] == (None, None, None) and sum(1 for g in got.values() if g[2]) > 3
+
+
+@pytest.mark.parametrize("closed", [False, True])
+@pytest.mark.parametrize("chunk", [100, 130, 1000, 10**6])
+def test_dead_times_cross_chunks(spark, closed, chunk):
+    rng = np.random.default_rng(11)
+    rows = [(int(k), int(t), i) for i, (k, t) in enumerate(zip(rng.integers(0, 2, 500), rng.integers(0, 4000, 500)))]
+    rows += [(0, 10_000, 900), (0, 10_100, 901), (0, 10_200, 902)]
+    df = spark.createDataFrame(rows, "k long, t long, id long")
+    want = []
+    for key in (0, 1):
+        last = None
+        for k, t, i in sorted(rows, key=lambda r: (r[1], r[2])):
+            if k == key and (last is None or (t > last + 100 if closed else t >= last + 100)):
+                want.append(i)
+                last = t
+    got = [r.id for r in ordered.dead_time_fold(df, "k", "t", "id", 100, closed, chunk).collect()]
+    assert sorted(got) == sorted(want) and (902 in got and 901 not in got) == closed or not closed
+
+
+@pytest.mark.parametrize("chunk", [1, 40, 10_000])
+def test_last_known_value_crosses_chunks(spark, chunk):
+    rng = np.random.default_rng(5)
+    rows = [(int(k), int(t), i, int(v) if v > 3 else None) for i, (k, t, v) in enumerate(zip(rng.integers(0, 2, 150), rng.integers(0, 300, 150), rng.integers(0, 9, 150)))]
+    df = spark.createDataFrame(rows, "k long, t long, id long, v long")
+    got = {r.id: r.last for r in ordered.last_known(df, "k", "t", [F.col("id")], F.col("v"), "last", chunk).collect()}
+    want, last = {}, {}
+    for k, t, i, v in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
+        last[k] = v if v is not None else last.get(k)
+        want[i] = last[k]
+    assert got == want
+
+
+def test_ranks_over_wide_values(spark):
+    rng = np.random.default_rng(6)
+    rows = [(int(v), i) for i, v in enumerate(rng.integers(-(2**40), 2**40, 300))] + [(7, 900), (7, 901), (None, 902)]
+    got = {r.id: r.place for r in ordered.ranked(spark.createDataFrame(rows, "v long, id long"), "v", "id", "place").collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert got == {i: n for n, (_, i) in enumerate(order)}
+
+
+def plain_main(x, down, search, edge, smooth):
+    """One trace at a time, from the definition."""
+    length = len(x)
+    offset = np.mean(x[: length // 8])
+    if down == 1:
+        padded = np.concatenate([[x[0]] * (smooth // 2), x, [x[-1]] * (smooth - 1 - smooth // 2)])
+        s = np.array([padded[i : i + smooth].mean() for i in range(length)]) - offset
+    else:
+        s = np.array([x[i * down : (i + 1) * down].mean() for i in range(length // down)]) - offset
+    low, high = search[0] // down, search[1] // down
+    drift = (s[-(edge // down) :].mean() - s[: edge // down].mean()) / length
+    peak = max(range(low, high), key=lambda i: s[i] - drift * i)
+    level = s[peak]
+    zero = max((i for i in range(peak) if s[i] < 0.2 * level), default=0)
+    rise = min((i for i in range(zero, len(s)) if s[i] > 0.8 * level), default=zero)
+    end = min((i for i in range(peak, len(s)) if s[i] < 0.368 * level), default=len(s) - 1)
+    half = max((i for i in range(end + 1) if s[i] > 0.736 * level), default=end)
+    falls = max((i for i in range(half + 1) if s[i] > 0.9 * level), default=half)
+    return [s[low:high].max(), *[i * down for i in (zero, rise, peak, falls, half, end)], offset, drift]
+
+
+@pytest.mark.parametrize("down", [1, 4])
+def test_main_parameters_follow_the_definition(spark, down):
+    from pulselake.functions import parameters
+
+    rng, t = np.random.default_rng(2), np.arange(256.0)
+    x = np.array([h * fits.pulse_shape(t, 70, 1, 0.5, 3, 9, 40) + rng.normal(0, 0.02, 256) + rng.normal() for h in rng.uniform(0.5, 5, 30)])
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "i long, x array<double>")
+    got = {r.i: list(r)[1:10] for r in parameters.main_parameters(df, "i", "x", (40, 140), down, 32, 6).collect()}
+    assert all(got[i] == pytest.approx(plain_main(row, down, (40, 140), 32, 6)) for i, row in enumerate(x))
+    flat = spark.createDataFrame([(0, (1.0 + 0.001 * t + 1e-5 * t**2).tolist())], "i long, x array<double>")
+    bent = parameters.main_parameters(flat, "i", "x", (40, 60), 1, 32, 6, True).first()
+    assert bent.quadratic_drift == pytest.approx(1e-5, rel=0.05)
+    skewed = parameters.window_skew(np.array([[1.0, 2.0, 5.0, 1.0]]))[0]
+    d = np.array([1, 2, 5, 1]) / 9
+    mu = (np.arange(4) @ d) / 4
+    sg = ((np.arange(4) - mu) ** 2 @ d) / 4
+    assert skewed == pytest.approx((((np.arange(4) - mu) / sg) ** 3 @ d) / 4)
+
+
+def test_filters_of_longer_records():
+    from pulselake.functions import parameters
+
+    kernel = np.exp(-np.arange(64) / 5.0)
+    long = np.fft.irfft(parameters.longer_filter(np.fft.rfft(kernel), 256))
+    assert long[:32] == pytest.approx(kernel[:32]) and long[-32:] == pytest.approx(kernel[32:]) and abs(long[32:-32]).max() < 1e-12
+    assert parameters.longer_noise(np.ones(33), 256) == pytest.approx(np.ones(129) * 4)
+    assert parameters.filter_norm(kernel, np.ones(33)) == pytest.approx(1 / np.sum(np.abs(np.fft.rfft(kernel)) ** 2))
+
+
+def test_array_fits_against_plain_least_squares(spark):
+    from pulselake.functions import signal
+
+    rng, n = np.random.default_rng(3), 64
+    template = fits.pulse_shape(np.arange(float(n)), 16, 1, 0.5, 2, 6, 15)
+    x = [1.7 * np.roll(template, s) + 0.2 + rng.normal(0, 0.01, n) for s in (-2, 0, 3)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i long, x array<double>")
+    base = np.vander(np.linspace(-1, 1, n), 2, increasing=True)
+    for r in signal.array_fit(df, "i", "x", template, 1, 4).collect():
+        tried = []
+        for by in range(-4, 5):
+            moved = np.array([template[min(max(k - by, 0), n - 1)] for k in range(n)])
+            a = np.column_stack([moved, base])
+            c = np.linalg.lstsq(a, x[r.i], rcond=None)[0]
+            tried.append((np.sqrt(np.mean((a @ c - x[r.i]) ** 2)), by, c[0]))
+        rms, by, height = min(tried)
+        assert (r.shift, r.height, r.rms) == (by, pytest.approx(height), pytest.approx(rms))
+    between = [2.0 * np.interp(np.arange(n) - 1.5, np.arange(n), template), np.minimum(4 * template, 1.5)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(between)], "i long, x array<double>")
+    got = {r.i: r for r in signal.template_fits(df, "i", "x", template, 0, 4, 1.4).collect()}
+    assert got[0].shift == pytest.approx(1.5, abs=0.2) and got[0].height == pytest.approx(2.0, rel=0.1)
+    assert got[1].height == pytest.approx(4.0, rel=0.05)
+
+
+def test_principal_components_against_plain_algebra(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(80, 3)) @ rng.normal(size=(3, 10)) + rng.normal(0, 0.01, (80, 10))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i long, x array<double>")
+    centred = x - x.mean(axis=0)
+    u, s, _ = np.linalg.svd(centred, full_matrices=False)
+    for r in evaluate.principal_components(df, "i", "x", 2).collect():
+        assert np.abs(r.pc) == pytest.approx(np.abs(u[r.i, :2] * s[:2]), abs=1e-6)
+        rest = centred[r.i] - (u[:, :2] * s[:2])[r.i] @ np.linalg.svd(centred, full_matrices=False)[2][:2]
+        assert r.error == pytest.approx(np.sqrt(np.mean(rest**2)), abs=1e-6)
+
+
+def test_simulated_heights_come_back(spark):
+    rows = catalog.QUERIES["simulated_fit"](spark, SF).collect()
+    assert len(rows) == 1000 and all(abs(r.height - r.true_height) < 0.05 * r.true_height + 0.05 and abs(r["shift"] - r.true_shift) <= 1 for r in rows)
+
+
+def test_pulse_and_saturation_fits_find_known_parameters(spark):
+    from pulselake.functions import signal
+
+    t = (np.arange(256) - 64) * 0.4
+    x = fits.pulse_shape(t, -0.5, 3.0, 1.0, 8.0, 1.0, 30.0)
+    got = signal.pulse_fits(spark.createDataFrame([(0, x.tolist())], "i long, x array<double>"), "i", "x", 0.4).first()
+    assert got.rms < 0.02 * x.max() and abs(got.numbers[0] + 0.5) < 0.5
+    a = np.linspace(0.1, 10, 30)
+    found = fits.fit_saturation(a, fits.saturation_curve(a, 8.0, 1.2, 0.9, 0.4, 1.5))
+    assert fits.saturation_curve(a, *found) == pytest.approx(fits.saturation_curve(a, 8.0, 1.2, 0.9, 0.4, 1.5), abs=0.05)
+
+
+def test_poisson_quantiles():
+    from pulselake.operators import cuts
+
+    assert [cuts.poisson_quantile(q, 3.0) for q in (0.04, 0.05, 0.5, 0.99)] == [0, 1, 3, 8]
+    assert cuts.poisson_quantile(0.5, 0.0) == 0 and cuts.normal_cdf(1.959964) == pytest.approx(0.975)
+
+
+def test_event_indexing(spark):
+    from pulselake.operators.events import EventSet
+
+    x = spark.createDataFrame([(c, i, [float(i), float(c)]) for c in (0, 1) for i in range(10)], "channel int, event_idx long, x array<double>")
+    e = EventSet(x, 40, 2)
+    numbers = lambda s: sorted({(r.channel, r.event_idx) for r in s.df.collect()})
+    for key in (slice(None), slice(2, 7), slice(-4, None), slice(None, None, 3), slice(8, 2, -2), [1, -1], 4, -2):
+        want = np.arange(10)[key]
+        assert numbers(e[1, key]) == [(1, int(i)) for i in np.sort(np.atleast_1d(want))], key
+    assert numbers(e[[0, 1], [True] + [False] * 8 + [True]]) == [(0, 0), (0, 9), (1, 0), (1, 9)]
+    assert numbers(e[0]) == [(0, i) for i in range(10)] and numbers(e[0, F.col("event_idx") > 7]) == [(0, 8), (0, 9)]
+    with pytest.raises(IndexError):
+        e[0, [-11]]
+    with pytest.raises(IndexError):
+        e[0, [True]]
+    assert EventSet(x.limit(0), 40, 2).count() == 0 and sum([e, e]).count() == 20
+    with pytest.raises(ValueError):
+        e + EventSet(x, 20, 2)
+
+
+def test_streams(spark, tmp_path):
+    from pulselake.sources.streams import open_stream
+
+    data = {name: (np.arange(1000) * k % 700 - 300).astype("<i2") for name, k in (("a", 1), ("b", 3))}
+    for name, v in data.items():
+        v.tofile(f"{tmp_path}/{name}.csmpl")
+    s = open_stream(spark, "int16", {n: f"{tmp_path}/{n}.csmpl" for n in data}, 5_000, 40, 128, (-32768.0, 32768.0))
+    assert s.keys() == ["a", "b"] and s.time.length == 1000 and s.time[3] == 5_120 and s.time[-1] == 5_000 + 999 * 40
+    for key in (slice(100, 400), slice(None, 10), slice(-20, None), slice(3, 900, 50), 7, -1):
+        assert s["b", key].first().samples == np.atleast_1d(data["b"][key]).tolist()
+    whole = {r.start: r.samples for r in s.sum().chunks.collect()}
+    assert [v for k in sorted(whole) for v in whole[k]] == (data["a"].astype(int) + data["b"]).tolist()
+    with pytest.raises(IndexError):
+        s["a", 1000]
+    with pytest.raises(IndexError):
+        s.time[1000]
+    at = spark.createDataFrame([(5_000,), (5_079,), (44_999,), (None,)], "t long")
+    assert [r.p for r in at.select(s.time.place_of(F.col("t")).alias("p")).collect()] == [0, 1, 999, None]
+    with pytest.raises(Exception, match="outside the stream"):
+        spark.createDataFrame([(45_000,)], "t long").select(s.time.place_of(F.col("t"))).collect()
+    assert spark.createDataFrame([(4_999,)], "t long").select(s.time.place_of(F.col("t"), False).alias("p")).first().p is None
+    asked = spark.createDataFrame([("a", 500), ("a", 1), ("a", 995)], "channel string, place long")
+    assert [r.place for r in s.windows(asked, 16, 4).collect()] == [500]
+    padded = {r.place: r.window for r in s.windows(asked, 16, 4, pad=True).collect()}
+    assert padded == {p: [float(data["a"][min(max(i, 0), 999)]) for i in range(p - 4, p + 12)] for p in (500, 1, 995)}
+    with pytest.raises(ValueError):
+        open_stream(spark, "other", {}, 0, 40)
+    word = 1 << 6 | 1 << 7
+    rows = np.array([(i, 2 * i) for i in range(300)], np.dtype([("ADC1", "<i2"), ("ADC2", "<i2")]))
+    (tmp_path / "a.bin").write_bytes(np.array([(1, 0, 1, word, 7)], interleaved.HEADER).tobytes() + rows.tobytes())
+    wide = open_stream(spark, "interleaved", str(tmp_path / "a.bin"), 0, 40, 64)
+    assert wide.keys() == ["ADC1", "ADC2"] and wide["ADC2", 100].first().samples[0] == pytest.approx(200 * interleaved.SWING / 2**16)
+
+
+def test_pulser_triggers(spark):
+    from pulselake.sources.streams import Stream, StreamTime
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(0, 0.01, 4000)
+    places = [700, 1600, 2900]
+    for p, h in zip(places, (1.0, 2.0, 3.0)):
+        x[p : p + 20] += h
+    chunks = spark.createDataFrame([("dac", s, x[s : s + 500].tolist()) for s in range(0, 4000, 500)], "channel string, start long, samples array<double>")
+    found = sorted(Stream(chunks, 500, StreamTime(0, 40, 4000)).pulser_triggers(30.0, 64).collect(), key=lambda r: r.place)
+    assert len(found) == 3 and all(abs(r.place - p) < 20 and abs(r.tpa - h) < 0.1 for r, p, h in zip(found, places, (1.0, 2.0, 3.0)))
+
+
+def triggered_file(tmp_path, n=24):
+    layout = records.triggered_layout(32)
+    data = np.zeros(n, records.dtype_of(layout))
+    data["detector_nmbr"] = np.where(np.arange(n) % 5 == 4, 2, np.arange(n) % 2)
+    data["trig_count"] = np.arange(n) // 2
+    data["abs_time_s"], data["abs_time_mus"] = 100 + np.arange(n), 7
+    data["time_low"] = np.arange(n) * 10_000_000
+    data["test_pulse_amplitude"] = np.array([0, 0, -1, -1, 1, 1, 20, 20])[np.arange(n) % 8]
+    data["samples"] = np.arange(32 * n).reshape(n, 32)
+    data.tofile(f"{tmp_path}/a.rdt")
+    lines = ["Timeofday at start  [s]: 100", "Timeofday at start [us]: 0", "Timeofday at stop   [s]: 200", "Timeofday at stop  [us]: 5", "Measuring time    [h] : 0.5", "Integers in header             : 7", "DVM channels                   : 0", "Record length                  : 32", "Time base [us]                 : 40"]
+    (tmp_path / "a.par").write_text("\n".join(lines))
+    return data
+
+
+def test_channels_of_triggered_files(spark, tmp_path):
+    data = triggered_file(tmp_path)
+    rows = records.read_triggered(spark, f"{tmp_path}/a.rdt", f"{tmp_path}/a.par")
+    tuples = {}
+    for count in set(data["trig_count"].tolist()):
+        key = tuple(sorted(set(data["detector_nmbr"][data["trig_count"] == count].tolist())))
+        tuples[key] = tuples.get(key, 0) + 1
+    got = {tuple(r.channels): r.n for r in records.channel_tuples(rows).collect()}
+    singles = {(c,): len(set(data["trig_count"][data["detector_nmbr"] == c].tolist())) for c in (0, 1, 2)}
+    assert got == {k: v for k, v in tuples.items() if len(k) > 1} | singles
+    assert [r.tpa for r in records.amplitudes_of(rows).collect()] == [-1.0, 0.0, 1.0, 20.0]
+    both = records.events_of(rows, [0, 1]).orderBy("event_idx", "channel").collect()
+    counts = [c for c in range(12) if tuple(sorted(set(data["detector_nmbr"][data["trig_count"] == c].tolist()))) == (0, 1)]
+    assert [(r.event_idx, r.channel) for r in both] == [(i, c) for i in range(len(counts)) for c in (0, 1)]
+    assert both[2].x == data["samples"][2 * counts[1]].astype(float).tolist()
+    assert records.clock_frequency(rows) == pytest.approx(1e7)
+    assert [r.record for r in records.first_records(rows, 3).collect()] == [0, 1, 2]
+
+
+def test_runs_are_converted_and_included(spark, tmp_path):
+    triggered_file(tmp_path)
+    g = Groups(spark, f"{tmp_path}/m")
+    assert not g.exists()
+    g.create()
+    assert g.exists() and g.keys() == []
+    assert records.convert(spark, f"{tmp_path}/a.rdt", f"{tmp_path}/a.par", g, [0, 1]) == ["events", "testpulses", "controlpulses", "noise"]
+    n = g.get("events").count()
+    assert n and g.location("events").endswith("v1")
+    content = {(r.group, r.column): (r.n, r.length) for r in g.content().collect()}
+    assert content["events", "x"] == (n, 32) and {k for k, _ in content} == {"events", "noise", "testpulses", "controlpulses"}
+    g.get("events").write.parquet(f"{tmp_path}/more")
+    more = spark.read.parquet(f"{tmp_path}/more")
+    records.include(g, "events", more, "second")
+    records.include(g, "events", more, "second")
+    assert g.get("events").groupBy("origin").count().count() == 2 and g.get("events").count() == 2 * n
+    g.repack("events", 1)
+    assert g.get("events").rdd.getNumPartitions() == 1
+    with pytest.raises(KeyError):
+        g.location("none")
+
+
+def test_derived_columns_and_consistency(spark, tmp_path):
+    from pulselake.sources import groups
+
+    g = Groups(spark, f"{tmp_path}/m")
+    df = spark.createDataFrame([(0, 0, (1.5, 10, 14, 20, 25, 40)), (0, 1, (2.5, 11, 15, 22, 30, 50))], "channel int, event_idx long, mainpar struct<pulse_height: double, t_zero: long, t_rise: long, t_decaystart: long, t_half: long, t_end: long>")
+    g.put("events", df)
+    take = lambda name: [r[name] for r in g.derived("events", name).orderBy("event_idx").collect()]
+    assert take("pulse_height") == [1.5, 2.5] and take("length_rise") == [4, 4] and take("length_secondhalfdecay") == [15, 20] and take("length_decay") == [20, 28]
+    parts = [("a", df), ("b", df.drop("channel")), ("c", df.withColumn("event_idx", F.col("event_idx").cast("int")))]
+    assert groups.inconsistencies(parts) == ["channel is missing in b", "event_idx has types bigint, int"] and groups.inconsistencies(parts[:1]) == []
+    assert {(r.origin, r.n) for r in groups.properties(parts).collect()} == {("a", 2), ("b", 2), ("c", 2)}
+    written = spark.read.parquet(g.location("events"))
+    assert groups.available(written)
+    g.drop("events")
+    assert not groups.available(written)
+
+
+def test_stamps_and_offsets(spark, tmp_path):
+    np.array([(1000, 0, 0), (5000, 1, 1), (9000, 0, 0)], records.dtype_of(records.STAMPS)).tofile(f"{tmp_path}/a.dig_stamps")
+    offset = records.clock_offset(records.read_records(spark, f"{tmp_path}/a.dig_stamps", records.STAMPS))
+    assert offset == 3000
+    rows = np.array([(3000, 0.5, 0), (3000 + 36_000_000_000, 0.5, 0), (3000 + 72_000_000_000, 20.0, 1)], records.dtype_of(records.TEST_STAMPS))
+    rows.tofile(f"{tmp_path}/a.test_stamps")
+    read = lambda **k: sorted((round(r.hours, 6), r.tpa, r.tpch) for r in records.test_stamps(spark, f"{tmp_path}/a.test_stamps", offset, **k).collect())
+    assert read() == [(1.0, 0.5, 0), (2.0, 20.0, 1)] and read(control=True) == [(2.0, 20.0, 1)] and read(control=False) == read(channels=[0]) == [(1.0, 0.5, 0)]
+    files = spark.createDataFrame([("0", "bck_001", 0, "2020-01-02 03:04:05"), ("0", "bck_001", 1, "2021-01-01 00:00:00")], "CH string, LABEL string, TYPE int, CREATED string")
+    assert records.start_time(files, "0", "bck_001") == 1577934245 and records.start_time(files, "9", "bck_001") is None
+
+
+def test_unsigned_numbers_of_64_bits(spark, tmp_path):
+    values = [0, 1, 2**63, 2**64 - 1]
+    np.array(values, "<u8").tofile(f"{tmp_path}/u.bin")
+    assert [int(r.v) for r in records.read_records(spark, f"{tmp_path}/u.bin", [("v", "<u8", 1)]).orderBy("record").collect()] == values
+
+
+def test_simulated_classes(spark, tmp_path):
+    from pulselake.operators import sampler
+
+    s = sampler.Settings(length=512, saturation=False)
+    for label, kind in sampler.CLASSES.items():
+        rows = sampler.sample_events(spark, label, 6, s, 3).orderBy("event_idx").collect()
+        again = sampler.sample_events(spark, label, 3, s, 3, first=2).orderBy("event_idx").collect()
+        assert [r.x for r in rows[2:5]] == [r.x for r in again], label
+        counts = {n for n, _ in kind.pulses}
+        assert all(len(r.x) == 512 and len(r.heights) in counts and np.isfinite(r.x).all() for r in rows), label
+        assert all(any(a <= r.onsets[0] <= b for a, b in kind.onsets) for r in rows if r.onsets), label
+    with pytest.raises(KeyError):
+        sampler.class_of("no such")
+    rng = np.random.default_rng(1)
+    assert 0.1 <= (lambda a, k, c, q, b, nu: a + (k - a) / c ** (1 / nu))(*sampler.drawn_saturation(rng)) <= 10
+    decay = sampler.drawn_decay(rng, 0.65, 0.05)
+    assert fits.pulse_shape(np.array([-0.1625]), *decay)[0] >= 0.05
+    t = np.linspace(-1, 1, 201)
+    assert sampler.square(t, 2.0, [(-0.5, 0.0)]).sum() == pytest.approx(2.0 * 51) and sampler.step(t, 0.0, -3.0, 0.5)[-1] == -3.0
+    shapes = sampler.drawn_shapes(rng, np.full(4000, 0.89))
+    assert shapes.shape == (6, 4000) and shapes[1] == pytest.approx(0.89 / 0.705) and abs(shapes[3].mean() - (112.64 - 0.134 * 38.04)) < 2
+    power = sampler.drawn_noise_power(rng, 512, 25_000.0, 0.003)
+    noise_rows = np.array([sampler.superposed_noise(rng, power, 0.05) for _ in range(200)])
+    assert (np.abs(np.fft.rfft(noise_rows)) ** 2).mean(axis=0)[1:-1] == pytest.approx(power[1:-1], rel=0.6)
+    g = Groups(spark, f"{tmp_path}/sim")
+    sampler.sample_sets(spark, g, {"events": ("Event Pulse", 5), "noise": ("Noise", 4)}, s)
+    assert g.get("events").count() == 5 and g.get("noise").where("size(heights) = 0").count() == 4
+
+
+def test_datasets(spark, tmp_path):
+    from pulselake.operators import datasets
+
+    df = spark.createDataFrame([(c, i, float(10 * c + i), [1.0 * i, 2.0 * i, 3.0]) for c in (0, 1) for i in range(50)], "channel int, event_idx long, ph double, mp array<double>")
+    wide = datasets.samples(df, {"ph": None, "mp": 2}, [0, 1])
+    assert wide.columns == ["event_idx", "ph_ch0", "mp_ch0_fe0", "mp_ch0_fe1", "ph_ch1", "mp_ch1_fe0", "mp_ch1_fe1"]
+    row = wide.where("event_idx = 7").first()
+    assert (row.ph_ch0, row.ph_ch1, row.mp_ch1_fe1) == (7.0, 17.0, 14.0)
+    split = datasets.Splits(wide, {"train": 0.6, "test": 0.4})
+    sizes = [split.part(n).count() for n in ("train", "test")]
+    assert sum(sizes) == 50 and min(sizes) > 5
+    batches = list(split.batches("train", 8))
+    assert sum(len(b["ph_ch0"]) for b in batches) == sizes[0] and all(len(b["ph_ch0"]) == 8 for b in batches[:-1])
+    with pytest.raises(KeyError):
+        split.part("none")
+    models = datasets.Models("a test")
+    models.add(0, lambda rows: rows.sum(axis=1), (np.zeros(3), np.ones(3)))
+    models.add(1, lambda rows: rows[:, 0])
+    models.rename(1, 5)
+    models.rename(5, 1)
+    got = {(r.channel, r.event_idx): r.prediction for r in models.predict(df, "mp").collect()}
+    assert got[0, 4] == 15.0 and got[1, 4] == 4.0 and len(got) == 100
+
+
+def test_saved_models_come_back(spark, tmp_path):
+    from functools import partial
+
+    from pulselake.operators import datasets
+
+    models = datasets.Models("kept")
+    models.add(2, partial(np.sum, axis=1))
+    models.save(spark, f"{tmp_path}/models")
+    back = datasets.Models.load(spark, f"{tmp_path}/models")
+    assert back.info == "kept" and back.models[2](np.ones((2, 3))).tolist() == [3.0, 3.0]
+
+
+def test_evaluation_sets(spark):
+    from pulselake.operators import datasets
+
+    df = spark.createDataFrame([(c, i, [float(i)], i % 3) for c in (0, 1) for i in range(30)], "channel int, event_idx long, features array<double>, label int")
+    e = datasets.Evaluation().add_events(df, 0).add_events(df, 1, only=[1, 2, 3], only_labelled=True)
+    assert {(r.file_nbr, r.n) for r in e.df.groupBy("file_nbr").agg(F.count(F.lit(1)).alias("n")).collect()} == {(0, 30), (1, 2)}
+    pred = e.df.select("file_nbr", "event_idx", (F.col("event_idx") % 3).cast("int").alias("prediction"))
+    e = e.with_prediction("rule", pred)
+    assert all(r.label == r.prediction for r in e.confusion("rule").collect())
+    assert e.predictions("rule", "train").count() + e.predictions("rule", "test").count() == e.predictions("rule").count() == 32
+    with pytest.raises(ValueError):
+        e.with_prediction("rule", pred)
+    with pytest.raises(KeyError):
+        e.predictions("none")
+    with pytest.raises(ValueError):
+        e.with_features(pred.limit(1).withColumn("features", F.array(F.lit(1.0))))
+    other = e.with_features(e.df.select("file_nbr", "event_idx", F.array(F.lit(2.0)).alias("features")))
+    assert {tuple(r.features) for r in other.df.collect()} == {(2.0,)}
+
+
+def test_limits_over_masses(spark):
+    masses = recoil.log_masses(1.0, 100.0, 5)
+    assert masses[0] == 1.0 and masses[-1] == pytest.approx(100.0) and len(masses) == 5
+    parts, step = {16: 0.22, 40: 0.14, 184: 0.64}, 20.0 / 200
+    spectrum = recoil.spectra(spark, parts, masses, 0.0, 20.0, 200)
+    one = {round(r.energy, 6): r.rate for r in recoil.recoil_spectrum(spark, parts, masses[3], 0.0, 20.0, 200).collect()}
+    assert all(r.rate == pytest.approx(one[round(r.energy, 6)]) for r in spectrum.where(F.abs(F.col("mass") - masses[3]) < 1e-9).collect())
+    half = spark.createDataFrame([(0.0, 0.5), (20.0, 0.5)], "energy double, efficiency double")
+    cut = {(r.mass, round(r.energy, 6)): r.rate for r in recoil.spectra(spark, parts, masses, 0.0, 20.0, 200, half).collect()}
+    assert all(cut[r.mass, round(r.energy, 6)] == pytest.approx(0.5 * r.rate) for r in spectrum.collect())
+    seen = spark.createDataFrame([(0.5,), (3.0,), (9.0,)], "energy double")
+    limits = recoil.upper_limits(spectrum, seen, 10.0, step).orderBy("mass").collect()
+    for r in limits:
+        rows = sorted((s.energy, s.share, s.rate) for s in spectrum.where(F.abs(F.col("mass") - r.mass) < 1e-9).collect())
+        at = [0.0, *[max((sh for e, sh, _ in rows if e <= v), default=0.0) for v in (0.5, 3.0, 9.0)], 1.0]
+        assert r.expected == pytest.approx(fits.gap_upper_limit(np.diff(at)), rel=1e-6)
+        assert r.cross_section == pytest.approx(r.expected / (10.0 * step * sum(x[2] for x in rows)))
+    none = recoil.upper_limits(spectrum, seen.limit(0), 10.0, step).collect()
+    assert all(r.expected == pytest.approx(-math.log(0.1), rel=0.05) for r in none)
+
+
+def test_student_quantiles():
+    from pulselake.operators import calibrate
+
+    for confidence, n, want in ((0.95, 1, 12.7062), (0.95, 5, 2.5706), (0.9, 30, 1.6973), (0.68, 3, 1.1889)):
+        assert calibrate.student_quantile(confidence, n) == pytest.approx(want, abs=2e-3)
+
+
+def test_calibration_by_polynomials(spark):
+    from pulselake.operators import calibrate
+
+    pulses = spark.createDataFrame([(0, 1000 * k + 10 * j, 100 * k + j, float(k), 2.0 * k + 0.01 * k * k) for j in range(5) for k in (1, 2, 3, 4)], "channel long, t long, id long, tpa double, value double")
+    events = spark.createDataFrame([(0, 2500, i, v) for i, v in enumerate((1.0, 2.5, 5.0))], "channel long, t long, id long, value double")
+    straight = calibrate.EnergyCalibration(pulses, 10**9, 1.0, cpe=3.0)(events).orderBy("id").collect()
+    curved = calibrate.EnergyCalibration(pulses, 10**9, 1.0, cpe=3.0, order=2)(events).orderBy("id").collect()
+    for a, b, v in zip(straight, curved, (1.0, 2.5, 5.0)):
+        want = (-2 + math.sqrt(4 + 0.04 * v)) / 0.02
+        assert a.tpa == pytest.approx(want, abs=0.02) and b.tpa == pytest.approx(want, abs=0.01) and a.energy == pytest.approx(3 * a.tpa) and a.energy_sigma >= 0
