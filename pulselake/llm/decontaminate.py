@@ -31,8 +31,8 @@ RAREST = 3
 #: Bytes of the smaller side up to which a join broadcasts it.
 BROADCAST_BYTES = 16 << 20
 APART = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: A word of a text whose letters are not lower-cased yet.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: The same for a text whose letters are not lower-cased.
+APART_MIXED = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words_of(text: Column) -> Column:
@@ -124,7 +124,7 @@ def decontaminate(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", tex
     found = stored(alignments(index, looked, size), "alignments")
     hits = stored(hits_of(read.withColumn("sig", F.xxhash64("text")), found, looked, size), "hits")
     n_bytes = hits.agg(F.sum(64 + 4 * F.size("hits") + 32 * F.size("items"))).first()[0] or 0
-    sized = read.select("*", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"), F.xxhash64("text").alias("sig"))
+    sized = read.select("*", F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), APART_MIXED, -1), "")).cast("long").alias("n_words"), F.xxhash64("text").alias("sig"))
     joined = sized.alias("d").join(small(hits, n_bytes).alias("h"), F.col("d.id").eqNullSafe(F.col("h.id")) & (F.col("d.sig") == F.col("h.sig")), "left")
     none = lambda kind: F.array().cast(f"array<{kind}>")
     return joined.select("d.id", "d.text", "n_words", F.coalesce("hits", none("int")).alias("hits"), F.coalesce("items", none("string")).alias("items"))
