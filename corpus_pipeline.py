@@ -9,48 +9,67 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulselake.llm.common import stored, table
+from pulselake.llm.common import fresh, stored, table
 
 #: Toxicity from which a document is rejected.
 REJECTED = 0.3
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that score REJECTED or more; the machine learns from all labelled documents of the table."""
+    """Drops documents that score REJECTED or more; the machine learns from all labelled documents of the table.
+
+    A null or empty text scores lowest and stays if the machine has seen both labels; equal rows are judged alike.
+    """
     from pulselake.llm.toxicity import scored, train_from
 
     model = train_from(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return scored(docs, model).where(F.col("score_") < REJECTED).select(*docs.columns)
+    name = fresh("score_", docs)
+    return scored(docs, model, name=name).where(F.col(name) < REJECTED).select(*[f"`{c}`" for c in docs.columns])
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops lines that an earlier document holds; every document stays, with what is left of its text."""
+    """Drops lines that an earlier document holds; every document stays, with what is left of its text.
+
+    A null text stays null; rows without an id lose and hold no lines; rows with one id are one document.
+    """
     from pulselake.llm.line_runs import dedup_lines
 
-    kept = dedup_lines(docs)
-    changed = F.col("n_dropped_") > 0
-    kept = kept.withColumn("text", F.when(changed, F.col("kept_")).otherwise(F.col("text")))
-    return kept.withColumn("n_chars", F.when(changed, F.length("kept_").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    left, n_lines, n_dropped = added = tuple(fresh(n, docs) for n in ("kept_", "n_lines_", "n_dropped_"))
+    kept = dedup_lines(docs, added=added)
+    changed = F.col(n_dropped) > 0
+    value = {"text": F.when(changed, F.col(left)).otherwise(F.col("text")), "n_chars": F.when(changed, F.length(left).cast("long")).otherwise(F.col("n_chars"))}
+    return kept.select(*[value.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each SimHash component."""
-    from pulselake.llm.simhash import near_duplicates
+    """Keeps one document of each SimHash component: the one with the smallest doc_id.
+
+    Null ids come last, so a group without an id keeps one row too; of rows with that id, and of equal rows, one stays.
+    Texts without words have fingerprint zero and are one group like any other.
+    """
+    from pulselake.llm.simhash import one_of_each
 
-    kept = near_duplicates(docs).where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    return one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that benchmark passages make up 5% of or more."""
-    from pulselake.llm.decontaminate import decontaminate, verdict
+    """Drops documents that hold any window of a benchmark item.
 
-    dirty = verdict(decontaminate(docs, table(spark, sf_dir, "benchmark"))).where("contaminated").select(F.col("id").alias("dirty_id"))
-    return docs.join(dirty, F.col("doc_id").eqNullSafe(F.col("dirty_id")), "left_anti")
+    Rows with one id are judged each by its text; texts without words hold none and stay; an empty benchmark drops nothing.
+    """
+    from pulselake.llm.decontaminate import decontaminate
+
+    dirty = decontaminate(docs, table(spark, sf_dir, "benchmark")).where(F.size("hits") > 0)
+    dirty = dirty.select("id", F.xxhash64("text").alias("sig")).alias("x")
+    same = F.col("d.doc_id").eqNullSafe(F.col("x.id")) & (F.xxhash64("d.text") == F.col("x.sig"))
+    return docs.alias("d").join(dirty, same, "left_anti")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes words of, with how many."""
+    """The documents that the mix takes words of, with how many.
+
+    Texts without words take none and go; a null source is one source; equal rows are mixed each for itself.
+    """
     from pulselake.llm.mixture import mix
 
     mixed = mix(docs)
