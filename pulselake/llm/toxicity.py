@@ -45,6 +45,8 @@ LANDMARKS, UNITS = 240, 6000
 ROUNDS, HARDEST = 4, 5
 DECAY, SPAN, WIDTH = 0.6, 6, 24
 LETTERS = 32
+#: The end of the code points that hold letters; what comes after are marks and private use.
+LAST_LETTER = 0x33480
 SINGLES = re.compile(r"(?<!\S)(?:\S[\s]){3,}\S(?!\S)")
 SENTENCES = re.compile(r"[.!?\n]+")
 #: Scores of words that a task remembers; the table is emptied when it is full, which costs time only.
@@ -52,8 +54,8 @@ REMEMBERED = 150_000
 
 
 def _letter_table() -> np.ndarray:
-    """Code point to letter class: a-z are 1-26, accents fall away, other letters share 27-31, the rest is 0."""
-    table = np.zeros(0x3000, np.uint8)
+    """Code point to letter class: a-z are 1-26, accents and widths fall away, other letters share 27-31, the rest is 0."""
+    table = np.zeros(LAST_LETTER, np.uint8)
     for point in range(len(table)):
         base = unicodedata.normalize("NFKD", chr(point).lower())[:1]
         if "a" <= base <= "z":
@@ -206,8 +208,9 @@ def _logistic_fit(m: np.ndarray, t: np.ndarray, weight: np.ndarray) -> tuple[flo
     return float(a), float(b)
 
 
-def distinct_texts(ids: list[np.ndarray], names: list[str], bands: int = 10, width: int = 4, least: int = 7) -> list[int]:
-    """One text of each family of copies, exact or near: texts (arrays of word ids) that agree on all smallest hashes of their long words in any of some bands."""
+def distinct_texts(ids: list[np.ndarray], names: list[str], bands: int = 10, width: int = 4, least: int = 7, alike: float = 0.5) -> list[int]:
+    """One text of each family of copies, exact or near: texts (sorted arrays of word ids) that share `alike` of their words. Pairs are sought
+    among texts that agree on all smallest hashes of their long words in any of some bands; each text is held against the family's first."""
     parent = list(range(len(ids)))
 
     def root(i: int) -> int:
@@ -227,7 +230,10 @@ def distinct_texts(ids: list[np.ndarray], names: list[str], bands: int = 10, wid
         for b in range(bands):
             j = seen.setdefault((b, least_of[width * b : width * (b + 1)].tobytes()), i)
             low, high = sorted((root(i), root(j)))
-            parent[high] = low
+            if low != high:
+                both = len(np.intersect1d(words, ids[j], assume_unique=True))
+                if both >= alike * (len(words) + len(ids[j]) - both):
+                    parent[high] = low
     return [i for i in range(len(ids)) if root(i) == i]
 
 
