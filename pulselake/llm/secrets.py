@@ -3,14 +3,15 @@
 A candidate is a run of at least MIN_LENGTH key characters in a word; a word has as many as it has such runs. Whole values
 of any length and characters are candidates too: those assigned to a credential word (in quotes they may go on over several words),
 the two words after one, and the password of user:password@host. A candidate's features are its length, shares of digits,
-upper and lower case and signs, changes between character kinds, distinct characters, vowels, how much of it
+upper and lower case and signs, how often each kind of character follows each other kind, distinct characters, vowels, how much of it
 dictionary words cover, signs of a path or address around it, credential words in its own word and
 the two before, whether it is assigned to one, and whether it is a part of a web token. The dictionary is the DICTIONARY most frequent lower-case words of the corpus, counted over all
 documents.
 
 The forest is trained on labelled findings: (id, at, place, label) rows that name candidates. Where no findings have been
 labelled by hand, `labelled_by_rule` labels candidates whose form settles them either way and leaves the rest
-out. At most TRAIN_FINDINGS of each label train it, those with the smallest hashes.
+out, and `planted` adds texts that were made with a secret or with a look-alike in them, whose labels are known from how they were made
+and not from their features. At most TRAIN_FINDINGS of each label (of the tables, and as many planted ones) train it, those with the smallest hashes.
 
 Defined results: a null or empty text has no candidates; rows with equal ids give their candidates row by row; null
 ids pass through; candidates of one label only make a forest impossible and every score is that label; an
@@ -28,7 +29,7 @@ from pulselake.llm.common import stored
 
 MIN_LENGTH = 16
 SURE_LENGTH = 8
-DICTIONARY = 150
+DICTIONARY = 1000
 TRAIN_FINDINGS = 2000
 RUN = r"[A-Za-z0-9+/_\-]{" + str(MIN_LENGTH) + ",}"
 CREDENTIAL = r"(?i)(passw|pwd|secret|token|api.?key|access.?key|auth|bearer|credential)"
@@ -48,7 +49,10 @@ OPENED_WORD = r"""^[=:>]*(["'`][^"'`]*)$"""
 #: The value that a word after a credential word holds.
 QUOTED_WORD = r"""(?s)^[=:>]*[\[({]*\\?(["'`])(.+?)(?<!\\)\\?\1"""
 BARE_WORD = r"""^[=:>]*[\\"'`(\[{<]*(.*?)[\\"'`,;)}\]>]*$"""
-FEATURES = ["length", "digits", "upper", "lower", "signs", "changes", "distinct", "vowels", "hex", "covered", "path", "named", "near", "assigned", "quoted", "given", "part"]
+KINDS = {"lower": "a-z", "upper": "A-Z", "digit": "0-9", "sign": "^A-Za-z0-9"}
+#: A feature for each pair of kinds of characters: how often the second follows the first.
+TRANSITIONS = {f"{a}_{b}": f"[{x}](?=[{y}])" for a, x in KINDS.items() for b, y in KINDS.items() if a != b}
+FEATURES = ["length", "digits", "upper", "lower", "signs", *TRANSITIONS, "distinct", "vowels", "hex", "covered", "path", "named", "near", "assigned", "quoted", "given", "part"]
 TREES, DEPTH, SEED = 30, 6, 7
 
 
@@ -108,14 +112,13 @@ def features(found: DataFrame, words: list[str]) -> DataFrame:
     value, size = F.col("value"), F.length("value")
     share = lambda pattern: F.regexp_count(value, F.lit(pattern)) / size
     known = "|".join(sorted(map(re.escape, words), key=lambda w: (-len(w), w))) or "(?!)"
-    kinds = r"[a-z](?=[^a-z])|[A-Z](?=[^A-Z])|[0-9](?=[^0-9])|[^A-Za-z0-9](?=[A-Za-z0-9])"
     columns = {
         "length": F.log2(size),
         "digits": share("[0-9]"),
         "upper": share("[A-Z]"),
         "lower": share("[a-z]"),
         "signs": share("[^A-Za-z0-9]"),
-        "changes": share(kinds),
+        **{name: share(pattern) for name, pattern in TRANSITIONS.items()},
         "distinct": F.size(F.array_distinct(F.split(value, ""))) / size,
         "vowels": share("[aeiouAEIOU]"),
         "hex": F.rlike(value, F.lit("^[0-9a-fA-F]+$")),
@@ -138,15 +141,79 @@ def labelled_by_rule(found: DataFrame) -> DataFrame:
     return found.select("id", "at", "place", label.alias("label")).where("label is not null")
 
 
-def fit(featured: DataFrame, findings: DataFrame, most: int = TRAIN_FINDINGS):
-    """A forest (or the only label) from labelled findings (id, at, place, label)."""
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import VectorAssembler
+#: Texts made with a secret (1) or a look-alike (0); {hex}, {key}, {upper}, {short} and {number} stand for made-up values, the one after "!" is labelled.
+MADE = [
+    (1, "export AWS_SECRET_ACCESS_KEY=!{key}40 before the run"), (1, "found !AKIA{upper}16 in the log"), (1, "remote uses !ghp_{key}36 for pulls"), (1, 'set password = "!{short}10" in the file'),
+    (1, "connect to postgres://app:!{short}12@db.example.org/main at night"), (1, 'body {{"api_key":"!{hex}32","n":3}} was sent'), (1, "header Authorization: Bearer !{key}64 expires soon"), (1, "the secret token is !{hex}40 for now"),
+    (1, "client_secret: !{key}24"), (1, "signing key material !{key}44"), (1, "auth_token=!{hex}24&user=bob"), (1, "db_passwd='!{short}9' # old"),
+    (0, "commit !{hex}40 fixed the build"), (0, "checksum of the archive is !{hex}32 as listed"), (0, "see /usr/share/doc/!some-long-path-name-{number}4/readme for more"), (0, "https://example.org/articles/!what-we-learned-from-{number}5-runs online"),
+    (0, "the word !internationalization is long"), (0, "order number !{number}16 was shipped"), (0, "reset your password !instructions follow by mail"), (0, "the token !economy grew in the city"),
+    (0, "image data !iVBORw0KGgo{key}60 was inlined"), (0, "request !{hex}32 took long"), (0, "call +49 !{number}17 for help"), (0, "class !navigation-header-collapsed-item is set"), (0, "revision !{hex}20 and build {number}6"), (0, "auth !failed for the third time"),
+]
 
+
+def planted(docs: DataFrame, each: int = TRAIN_FINDINGS // 10) -> tuple[DataFrame, DataFrame]:
+    """(id, text), (id, label, value): `each` texts of every kind of MADE with other values, and what is planted in them. Values come from hashes of
+    the texts' numbers, so every run makes the same. Ids are below zero."""
+    forms = [(i, label, text) for i, (label, text) in enumerate(MADE)]
+    rows = docs.sparkSession.range(len(forms) * each).select((-F.col("id") - 1).alias("id"), (F.col("id") % len(forms)).cast("int").alias("form"))
+    digest = lambda k: F.sha2(F.concat_ws(":", F.lit(str(k)), F.col("id").cast("string")), 512)
+    base = lambda k: F.regexp_replace(F.base64(F.unhex(digest(k))), "[+/=]", "")
+    made = {
+        "hex": digest(1),
+        "key": base(2),
+        "upper": F.translate(F.upper(base(3)), "0189", "ABCD"),
+        "short": F.concat(F.substring(base(4), 1, 4), F.element_at(F.split(F.lit("& ! $ ~ . @ % ?"), " "), (F.pmod(F.hash("id"), F.lit(8)) + 1).cast("int")), F.substring(F.conv(F.substring(digest(5), 1, 12), 16, 10), 1, 3), F.substring(base(6), 1, 8)),
+        "number": F.concat(F.conv(F.substring(digest(7), 1, 12), 16, 10), F.conv(F.substring(digest(8), 1, 12), 16, 10)),
+    }
+    texts, values, labels = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("double")
+    for i, label, text in forms:
+        parts, value, taken = [], [], False
+        for piece in re.split(r"(\{\w+\}\d+)", text.replace("{{", "\0").replace("}}", "\1")):
+            field_of = re.fullmatch(r"\{(\w+)\}(\d+)", piece)
+            before, mark, plain = piece.partition("!")
+            plain = plain if mark else before
+            plain = plain.replace("\0", "{").replace("\1", "}")
+            if mark:
+                parts.append(F.lit(before.replace("\0", "{").replace("\1", "}")))
+                taken = True
+            column = F.substring(made[field_of[1]], 1, int(field_of[2])) if field_of else F.lit(plain)
+            parts.append(column)
+            if taken is True and (field_of or plain):
+                if field_of:
+                    value.append(column)
+                else:
+                    head = re.match(r"""[^\s"'&@#]*""", plain)[0]
+                    value.append(F.lit(head))
+                    taken = len(head) == len(plain)
+        at = F.col("form") == i
+        texts, values, labels = F.when(at, F.concat(*parts)).otherwise(texts), F.when(at, F.concat(*value)).otherwise(values), F.when(at, F.lit(float(label))).otherwise(labels)
+    out = rows.select("id", "form", texts.alias("text"), labels.alias("label"), values.alias("value"))
+    return out.select("id", "text"), out.select("id", "label", "value")
+
+
+def labelled_rows(featured: DataFrame, findings: DataFrame, most: int = TRAIN_FINDINGS) -> DataFrame:
+    """label and FEATURES of the labelled findings (id, at, place, label), at most so many of each label: those with the smallest hashes."""
     known = findings.select(F.col("id").alias("f_id"), F.col("at").alias("f_at"), F.col("place").alias("f_place"), F.col("label").cast("double").alias("label")).where("label in (0, 1)")
     rows = featured.join(known, F.col("id").eqNullSafe(F.col("f_id")) & (F.col("at") == F.col("f_at")) & (F.col("place") == F.col("f_place")))
     order = [F.xxhash64("value", "id", "at", "place"), "value", "id", "at", "place"]
-    rows = stored(rows.where("label = 1").orderBy(*order).limit(most).unionByName(rows.where("label = 0").orderBy(*order).limit(most)).select("label", *FEATURES), "findings")
+    return rows.where("label = 1").orderBy(*order).limit(most).unionByName(rows.where("label = 0").orderBy(*order).limit(most)).select("label", *FEATURES)
+
+
+def planted_rows(docs: DataFrame, words: list[str], each: int = TRAIN_FINDINGS // 10) -> DataFrame:
+    """id, label and FEATURES of what is planted in made-up texts, where it is a candidate. words: the dictionary."""
+    texts, labels = planted(docs, each)
+    featured = features(candidates(texts, "id"), words).alias("f")
+    met = featured.join(labels.alias("l"), (F.col("f.id") == F.col("l.id")) & (F.col("f.value") == F.col("l.value")))
+    return met.select("f.id", "l.label", *[f"f.{c}" for c in FEATURES])
+
+
+def fit(rows: DataFrame):
+    """A forest (or the only label) from rows of label and FEATURES."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = stored(rows, "findings")
     labels = [r["label"] for r in rows.select("label").distinct().collect()]
     if len(labels) < 2:
         return labels[0] if labels else 0.0
@@ -168,9 +235,12 @@ def judged(featured: DataFrame, model) -> DataFrame:
 def scan(docs: DataFrame, findings: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", keep: float = 0.5) -> DataFrame:
     """id, at, place, value, score, is_secret of every candidate; is_secret is false for what the forest removes."""
     found = stored(candidates(docs, id_col, text_col), "candidates")
-    featured = features(found, dictionary(docs, text_col))
-    model = fit(featured, labelled_by_rule(found) if findings is None else findings)
-    return judged(featured, model).select("id", "at", "place", "value", "score", (F.col("score") >= keep).alias("is_secret"))
+    words = dictionary(docs, text_col)
+    featured = features(found, words)
+    rows = labelled_rows(featured, labelled_by_rule(found) if findings is None else findings)
+    if findings is None:
+        rows = rows.unionByName(planted_rows(docs, words).drop("id"))
+    return judged(featured, fit(rows)).select("id", "at", "place", "value", "score", (F.col("score") >= keep).alias("is_secret"))
 
 
 def redacted(docs: DataFrame, scanned: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:

@@ -591,6 +591,23 @@ def test_secret_scan_takes_whole_values(spark):
     assert redacted(docs.where("doc_id = 1002"), taken).first().text == 'password: "[SECRET]" end'
 
 
+def test_planted_findings_are_told_apart(spark, docs):
+    """Trained on four fifths of the planted findings, judged on the rest: other values, the same kinds of text."""
+    from pulselake.llm import secrets
+
+    texts, labels = secrets.planted(docs, 4)
+    made = {r.id: (r.text, r.label, r.value) for r in texts.join(labels, "id").collect()}
+    assert len(made) == 4 * len(secrets.MADE) and all(v and v in t and "!" not in t.replace(v, "") for t, _, v in made.values())
+    assert len({v for _, y, v in made.values() if y}) == sum(1 for _, y, _ in made.values() if y)
+    rows = secrets.planted_rows(docs, ["the", "was", "for"], 20).cache()
+    assert rows.where("label = 1").select("id").distinct().count() == 20 * sum(y for y, _ in secrets.MADE)
+    held = F.pmod(F.xxhash64("id"), F.lit(5)) == 0
+    model = secrets.fit(rows.where(~held).drop("id"))
+    out = secrets.judged(rows.where(held), model).select("label", (F.col("score") >= 0.5).alias("out")).collect()
+    hit, wrong = sum(r.label == 1 and r.out for r in out), sum(r.label == 0 and r.out for r in out)
+    assert hit >= 0.9 * sum(r.label == 1 for r in out) and wrong <= 0.1 * sum(r.label == 0 for r in out)
+
+
 EMPTY = {"documents": DOCS, "benchmark": "item_id long, text string", "labels": "doc_id long, quality int, toxic int", "pages": "page_id long, url string, html string", "embeddings": "vec_id long, embedding array<float>, label int"}
 
 
