@@ -6,6 +6,7 @@ All are higher-order SQL functions, so they run in the JVM next to the scan and
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,6 +28,11 @@ def places(n: int) -> Column:
     return F.sequence(F.lit(0), F.lit(n - 1))
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once for a row, also where f uses it for every sample."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def head_mean(x: Column, n: int) -> Column:
     """Mean of the first n samples."""
     return mean(F.slice(x, 1, n))
@@ -34,7 +40,7 @@ def head_mean(x: Column, n: int) -> Column:
 
 def remove_constant(x: Column, n: int) -> Column:
     """x without the mean of its first n samples."""
-    return F.transform(x, lambda v: v - head_mean(x, n))
+    return let(head_mean(x, n), lambda m: F.transform(x, lambda v: v - m))
 
 
 def line_fit(x: Column, n: int) -> Column:
@@ -47,8 +53,7 @@ def line_fit(x: Column, n: int) -> Column:
 
 def remove_line(x: Column, n: int) -> Column:
     """x without the straight line through its first n samples."""
-    fit = line_fit(x, n)
-    return F.transform(x, lambda v, i: v - (fit["intercept"] + fit["slope"] * i))
+    return let(line_fit(x, n), lambda fit: F.transform(x, lambda v, i: v - (fit["intercept"] + fit["slope"] * i)))
 
 
 def block_means(x: Column, length: int, factor: int) -> Column:
@@ -89,6 +94,48 @@ def box_car(x: Column, length: int, width: int) -> Column:
     return F.transform(places(length), lambda i: F.aggregate(F.sequence(F.lit(-before), F.lit(width - 1 - before)), F.lit(0.0), lambda a, d: a + at(i, d)) / width)
 
 
+def power(x: Column) -> Column:
+    """Sum of squares."""
+    return total(F.transform(x, lambda v: v * v))
+
+
+def deviation(x: Column) -> Column:
+    """Population standard deviation of the samples."""
+    return let(mean(x), lambda m: F.sqrt(power(F.transform(x, lambda v: v - m)) / F.size(x)))
+
+
+def line_residual(x: Column, n: int) -> Column:
+    """Root of the summed squares of the first n samples about their straight line."""
+    return F.sqrt(power(F.slice(remove_line(x, n), 1, n)))
+
+
+def min_max_scaled(x: Column) -> Column:
+    """From 0 to 1."""
+    ends = F.struct(F.array_min(x).alias("low"), F.array_max(x).alias("high"))
+    return let(ends, lambda e: F.transform(x, lambda v: (v - e["low"]) / (e["high"] - e["low"])))
+
+
+def standardised(x: Column) -> Column:
+    """In deviations from the trace's own mean."""
+    both = F.struct(mean(x).alias("m"), deviation(x).alias("s"))
+    return let(both, lambda b: F.transform(x, lambda v: (v - b["m"]) / b["s"]))
+
+
+def one_hot(code: Column, codes: list[int]) -> Column:
+    """An array with a one at the place of the code among `codes`, and one more place for all others."""
+    return F.array(*[(code == c).cast("int") for c in codes], F.coalesce((~code.isin(codes)).cast("int"), F.lit(0)))
+
+
+def close_pairs(x: Column, most: float) -> Column:
+    """Number of pairs of samples (in both orders, and of each with itself) closer than `most`."""
+    return F.aggregate(x, F.lit(0), lambda n, a: n + F.size(F.filter(x, lambda c: F.abs(a - c) < most)))
+
+
+def recurrence(x: Column, length: int, most: float) -> Column:
+    """The matrix of close pairs as rows of zeros and ones."""
+    return F.transform(places(length), lambda i: F.transform(x, lambda v: (F.abs(v - F.get(x, i)) < most).cast("int")))
+
+
 def first_where(test: Column, low: Column, high: Column) -> Column:
     """First place in [low, high) of an array of booleans that holds, else null."""
     return F.get(F.filter(F.sequence(low, F.greatest(low, high - 1)), lambda i: F.get(test, i) & (i < high)), F.lit(0))

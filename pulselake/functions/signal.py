@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulselake.functions.fits import fit_pulse
-from pulselake.operators.spectra import stacked
+from pulselake.operators.spectra import stacked, whole
 
 
 def per_batch(traces: DataFrame, ident: str, value: str, schema: dict[str, str], f: Callable[[np.ndarray], list[np.ndarray]]) -> DataFrame:
-    """ident and the columns that f makes of a matrix of traces, each as long as it has rows."""
+    """ident and the columns that f makes of a matrix of traces, each as long as it has rows. Traces that lack samples have no row."""
     kind = traces.schema[ident].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -23,7 +23,7 @@ def per_batch(traces: DataFrame, ident: str, value: str, schema: dict[str, str],
                 columns = [pa.array(c.tolist()) if c.ndim > 1 else pa.array(c) for c in f(stacked(batch.column(1)))]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[ident, *schema])
 
-    read = traces.select(ident, value).where(F.col(value).isNotNull())
+    read = traces.select(ident, value).where(whole(value))
     return read.mapInArrow(run, ", ".join([f"{ident} {kind}", *[f"{k} {v}" for k, v in schema.items()]]))
 
 

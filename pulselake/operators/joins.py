@@ -1,4 +1,4 @@
-"""Joins of records by time: coincidence windows, nearest record, window cut-out. Times are whole microseconds.
+"""Joins of records by time: coincidence windows, nearest record. Times are whole microseconds.
 
 Range conditions are joined on time buckets, so they shuffle on a hash instead of comparing all pairs.
 """
@@ -58,16 +58,6 @@ def exclude_near(triggers: DataFrame, pulses: DataFrame, key: str, most: int) ->
     return joined.select(*triggers.columns, (F.col("hit").isNull() & F.coalesce(F.col("t").between(F.col("first"), F.col("last")), F.lit(False))).alias("keep"))
 
 
-def windows(samples: DataFrame, triggers: DataFrame, length: int, before: int) -> DataFrame:
-    """id, window: the samples (i, v) in [place - before, place - before + length) of each trigger (id, place), where all are there."""
-    width = length
-    left = triggers.select("id", (F.col("place") - before).alias("low")).withColumn("bucket_", F.explode(F.sequence(F.floor(F.col("low") / width), F.floor((F.col("low") + length - 1) / width))))
-    right = samples.withColumn("bucket_", F.floor(F.col("i") / width))
-    met = left.join(right, "bucket_").where((F.col("i") >= F.col("low")) & (F.col("i") < F.col("low") + length))
-    cut = met.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("w")).where(F.size("w") == length)
-    return cut.select("id", F.transform("w", lambda s: s["v"]).alias("window"))
-
-
 def coincident_channels(records: DataFrame, key: str, channel: str) -> DataFrame:
     """channels, n: the channel tuples that fired under one trigger count, and how often."""
     fired = records.groupBy(key).agg(F.array_sort(F.collect_set(channel)).alias("channels"))

@@ -9,10 +9,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pulselake.functions import arrays as A
+from pulselake.functions import curves
+from pulselake.operators import analysis as R
 from pulselake.operators import calibrate, evaluate, triggering
 from pulselake.operators import joins as J
 from pulselake.operators import ordered as O
 from pulselake.plans.tables import SQL_RECORDS, records, table
+from pulselake.sources.streams import StreamTime
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -45,16 +48,14 @@ def adc_round_trip(spark, d):
 
 @query("stamps_to_time", ", m AS (SELECT min(t) AS t0 FROM r) SELECT id, round((t - t0) / 3600000000.0, 6) AS hours, t // 1000000 AS time_s, t % 1000000 AS time_mus FROM r, m")
 def stamps_to_time(spark, d):
-    r = records(spark, d).withColumn("one", F.lit(1))
-    start = r.groupBy("one").agg(F.min("t").alias("t0"))
-    return r.join(start, "one").select("id", r6((F.col("t") - F.col("t0")) / HOUR, "hours"), F.floor(F.col("t") / SECOND).alias("time_s"), (F.col("t") % SECOND).alias("time_mus"))
+    return R.with_hours(records(spark, d)).select("id", r6(F.col("hours"), "hours"), "time_s", "time_mus")
 
 
 @query("stream_time_index", "SELECT id, (t - 1704067200000000) // 40 AS place, 1704067200000000 + ((t - 1704067200000000) // 40) * 40 AS stamp FROM r")
 def stream_time_index(spark, d):
-    start, step = 1_704_067_200_000_000, 40
-    place = F.floor((F.col("t") - start) / step)
-    return records(spark, d).select("id", place.alias("place"), (place * step + start).alias("stamp"))
+    time = StreamTime(1_704_067_200_000_000, 40, 1 << 62)
+    place = time.place_of(F.col("t"))
+    return records(spark, d).select("id", place.alias("place"), time.stamp_of(place).alias("stamp"))
 
 
 @query("coincidence_inside", "SELECT b.id AS b_id, a.id AS a_id FROM r a JOIN r b ON a.kind = 'purchase' AND b.kind = 'view' AND b.t >= a.t - 5000000 AND b.t < a.t + 20000000")
@@ -88,8 +89,9 @@ def coincident_channels(spark, d):
 
 @query("trigger_windows", "SELECT a.id, round(sum(b.value), 6) AS area, round(max(b.value), 6) AS top, count(*) AS n FROM r a JOIN r b ON a.kind = 'purchase' AND b.id >= a.id - 8 AND b.id < a.id + 24 GROUP BY a.id HAVING count(*) = 32")
 def trigger_windows(spark, d):
-    cut = J.windows(records(spark, d).select(F.col("id").alias("i"), F.col("value").alias("v")), kind(spark, d, "purchase").select("id", F.col("id").alias("place")), 32, 8)
-    return cut.select("id", r6(A.total(F.col("window")), "area"), r6(F.array_max("window"), "top"), F.size("window").cast("long").alias("n"))
+    asked = kind(spark, d, "purchase").select(F.lit(0).alias("channel"), F.col("id").alias("place"))
+    cut = triggering.cut_windows(_stream(spark, d), asked, CHUNK, 32, 8)
+    return cut.select(F.col("place").alias("id"), r6(A.total(F.col("window")), "area"), r6(F.array_max("window"), "top"), F.size("window").cast("long").alias("n"))
 
 
 _Z = "z AS (SELECT *, CASE WHEN count(value) OVER w = 20 AND stddev_pop(value) OVER w > 0 THEN (value - avg(value) OVER w) / stddev_pop(value) OVER w END AS z FROM r WINDOW w AS (PARTITION BY channel ORDER BY t, id ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))"
@@ -143,8 +145,7 @@ def test_pulse_stability(spark, d):
 
 @query("outside_band", "SELECT id, NOT (tpa BETWEEN 1 AND 9 AND value BETWEEN 10 + 2 * tpa AND 60 + 5 * tpa) AS is_outside FROM r")
 def outside_band(spark, d):
-    x, y = F.col("tpa"), F.col("value")
-    return records(spark, d).select("id", (~(x.between(1, 9) & y.between(10 + 2 * x, 60 + 5 * x))).alias("is_outside"))
+    return records(spark, d).select("id", curves.outside(F.col("tpa"), F.col("value"), [1.0, 9.0], [12.0, 28.0], [65.0, 105.0]).alias("is_outside"))
 
 
 @query("logical_cut_counts", "SELECT channel, count(*) AS total, count(*) FILTER (ok) AS n_kept, count(*) FILTER (NOT ok) AS n_cut FROM (SELECT channel, value > 20 AND tpa < 8 AND kind <> 'error' AS ok FROM r) GROUP BY channel")
@@ -163,8 +164,7 @@ def forced_flags(spark, d):
 @query("start_stop_by_origin", "SELECT o_orderpriority AS origin, min(epoch_us(o_orderdate)) AS t_first, max(epoch_us(o_orderdate)) AS t_last, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS first_key, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS last_key FROM orders GROUP BY 1")
 def start_stop_by_origin(spark, d):
     t = F.unix_micros(F.col("o_orderdate").cast("timestamp"))
-    ordered = table(spark, d, "orders").select(F.col("o_orderpriority").alias("origin"), F.struct(t.alias("t"), F.col("o_orderkey").alias("k")).alias("s"))
-    return ordered.groupBy("origin").agg(F.min("s").alias("a"), F.max("s").alias("b")).select("origin", F.col("a.t").alias("t_first"), F.col("b.t").alias("t_last"), F.col("a.k").alias("first_key"), F.col("b.k").alias("last_key"))
+    return R.start_stop(table(spark, d, "orders").withColumnRenamed("o_orderpriority", "origin"), "origin", t, "o_orderkey")
 
 
 _ISLES = "g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY channel ORDER BY t, id) > 1800000000 OR lag(t) OVER (PARTITION BY channel ORDER BY t, id) IS NULL THEN 1 ELSE 0 END AS new FROM r), i AS (SELECT *, CAST(sum(new) OVER (PARTITION BY channel ORDER BY t, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS island FROM g)"
@@ -187,12 +187,8 @@ _KNOTS = "k AS (SELECT *, lead(h) OVER (ORDER BY h) AS h2, lead(tpa) OVER (ORDER
 
 @query("pulser_predict", f", {_KNOTS} SELECT r.id, round(k.tpa + (r.value - h) * (tpa2 - k.tpa) / (h2 - h), 6) AS tpa_equivalent FROM r JOIN k ON r.kind = 'view' AND r.value >= h AND r.value < h2")
 def pulser_predict(spark, d):
-    knots = kind(spark, d, "purchase").groupBy("tpa").agg((F.count(F.lit(1)) / 1000.0).alias("c")).select("tpa", (20 * F.col("tpa") + F.col("c")).alias("h"))
-    line = W.orderBy("h")
-    knots = knots.withColumn("h2", F.lead("h").over(line)).withColumn("tpa2", F.lead("tpa").over(line)).where("h2 is not null")
-    filed = knots.withColumn("b", F.explode(F.sequence(F.floor(F.col("h") / 2), F.floor(F.col("h2") / 2))))
-    met = kind(spark, d, "view").select("id", "value", F.floor(F.col("value") / 2).alias("b")).join(filed, "b").where("value >= h and value < h2")
-    return met.select("id", r6(F.col("tpa") + (F.col("value") - F.col("h")) * (F.col("tpa2") - F.col("tpa")) / (F.col("h2") - F.col("h")), "tpa_equivalent"))
+    knots = kind(spark, d, "purchase").groupBy("tpa").agg((F.count(F.lit(1)) / 1000.0).alias("c")).select((20 * F.col("tpa") + F.col("c")).alias("h"), F.col("tpa").alias("at"))
+    return R.between_knots(kind(spark, d, "view"), "value", knots, 2.0).select("id", r6(F.col("at"), "tpa_equivalent"))
 
 
 _LY = "SELECT p.l_orderkey, round({}, 6) AS {} FROM lineitem p JOIN lineitem l ON p.l_orderkey = l.l_orderkey AND p.l_linenumber = 1 AND l.l_linenumber = 2"
@@ -205,7 +201,7 @@ def _channels(spark, d):
 
 @query("light_correction", ", z AS (" + _LY.format("0.1 * l.l_extendedprice + 0.9 * p.l_extendedprice", "energy") + ") SELECT * FROM z")
 def light_correction(spark, d):
-    return _channels(spark, d).select("l_orderkey", r6(0.1 * F.col("l") + 0.9 * F.col("p"), "energy"))
+    return _channels(spark, d).select("l_orderkey", r6(curves.mixed_energy(F.col("p"), F.col("l"), 0.1), "energy"))
 
 
 @query("light_yield", ", z AS (" + _LY.format("l.l_extendedprice / p.l_extendedprice", "light_yield") + ") SELECT * FROM z")
@@ -215,30 +211,31 @@ def light_yield(spark, d):
 
 @query("efficiency_histogram", "SELECT CAST(floor(value / 25) AS BIGINT) AS bin, count(*) AS n_all, count(*) FILTER (tpa < 5) AS n_left, round(count(*) FILTER (tpa < 5) / count(*), 6) AS efficiency FROM r GROUP BY 1")
 def efficiency_histogram(spark, d):
-    binned = records(spark, d).groupBy(F.floor(F.col("value") / 25).alias("bin")).agg(F.count(F.lit(1)).alias("n_all"), F.count_if(F.col("tpa") < 5).alias("n_left"))
-    return binned.withColumn("efficiency", F.round(F.col("n_left") / F.col("n_all"), 6))
+    out = R.efficiency(records(spark, d), F.col("value"), 25.0, F.col("tpa") < 5)
+    return out.withColumn("efficiency", F.round("efficiency", 6))
 
 
 @query("density_2d", "SELECT CAST(floor(l_quantity / 5) AS BIGINT) AS x, CAST(floor(l_extendedprice / 5000) AS BIGINT) AS y, count(*) AS n, round(log10(count(*)), 6) AS log_n FROM lineitem GROUP BY 1, 2")
 def density_2d(spark, d):
-    return table(spark, d, "lineitem").groupBy(F.floor(F.col("l_quantity") / 5).alias("x"), F.floor(F.col("l_extendedprice") / 5000).alias("y")).agg(F.count(F.lit(1)).alias("n"), r6(F.log10(F.count(F.lit(1))), "log_n"))
+    out = R.density(table(spark, d, "lineitem"), F.col("l_quantity"), F.col("l_extendedprice"), 5.0, 5000.0)
+    return out.withColumn("log_n", F.round("log_n", 6))
 
 
 @query("histogram_by_kind", "SELECT kind, CAST(floor(value / 10) AS BIGINT) AS bin, count(*) AS n FROM r GROUP BY 1, 2")
 def histogram_by_kind(spark, d):
-    return records(spark, d).groupBy("kind", F.floor(F.col("value") / 10).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return R.histogram(records(spark, d), F.col("value"), 10.0, ["kind"])
 
 
 @query("resolution", "SELECT tpa, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS sd, round(stddev_pop(value) * tpa / avg(value), 6) AS resolution FROM r WHERE kind = 'purchase' GROUP BY tpa")
 def resolution(spark, d):
-    g = kind(spark, d, "purchase").groupBy("tpa").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("m"), F.stddev_pop("value").alias("s"))
-    return g.select("tpa", "n", r6(F.col("m"), "mean"), r6(F.col("s"), "sd"), r6(F.col("s") * F.col("tpa") / F.col("m"), "resolution"))
+    out = R.resolution(kind(spark, d, "purchase"), "tpa", "value")
+    return out.select("tpa", "n", r6(F.col("mean"), "mean"), r6(F.col("sd"), "sd"), r6(F.col("resolution"), "resolution"))
 
 
 @query("exposure", "SELECT channel, round(sum(CASE WHEN p IS NOT NULL THEN least(t - p, 600000000) END) / 3600000000.0, 6) AS live_hours, count(*) FILTER (t - p > 600000000) AS n_gaps FROM (SELECT channel, t, lag(t) OVER (PARTITION BY channel ORDER BY t, id) AS p FROM r WHERE kind = 'click') GROUP BY channel")
 def exposure(spark, d):
-    since = O.since_previous(kind(spark, d, "click"), "channel", "t", "id").withColumnRenamed("since_", "since")
-    return since.groupBy("channel").agg(r6(F.sum(F.when(F.col("since").isNotNull(), F.least(F.col("since"), F.lit(600 * SECOND)))) / HOUR, "live_hours"), F.count_if(F.col("since") > 600 * SECOND).alias("n_gaps"))
+    live = R.exposure(kind(spark, d, "click"), "channel", "t", "id", 600 * SECOND)
+    return live.select("channel", r6(F.col("live_hours"), "live_hours"), "n_gaps")
 
 
 @query("largest_gap", "SELECT channel, round(max(value - p), 6) AS gap FROM (SELECT channel, value, lag(value, 1, 0) OVER (PARTITION BY channel ORDER BY value, id) AS p FROM r) GROUP BY channel")
@@ -249,8 +246,7 @@ def largest_gap(spark, d):
 
 @query("noise_rate_curve", ", h AS (SELECT CAST(floor(value / 5) AS BIGINT) AS bin, count(*) AS n FROM r WHERE kind = 'error' GROUP BY 1) SELECT bin, n, CAST(sum(n) OVER (ORDER BY bin DESC) AS BIGINT) AS n_above FROM h")
 def noise_rate_curve(spark, d):
-    h = kind(spark, d, "error").groupBy(F.floor(F.col("value") / 5).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    return h.withColumn("n_above", F.sum("n").over(W.orderBy(F.col("bin").desc()).rowsBetween(W.unboundedPreceding, 0)))
+    return R.counts_above(kind(spark, d, "error"), F.col("value"), 5.0)
 
 
 @query("noise_gaps", "SELECT channel, id, t - p - 120000000 AS room FROM (SELECT channel, id, t, lag(t) OVER (PARTITION BY channel ORDER BY t, id) AS p FROM r) WHERE t - p >= 240000000")
@@ -259,14 +255,26 @@ def noise_gaps(spark, d):
     return since.where(F.col("since") >= 240 * SECOND).select("channel", "id", (F.col("since") - 120 * SECOND).alias("room"))
 
 
+@query("noise_windows", """SELECT channel, p + 120000000 + i * 60000000 AS start FROM (SELECT *, unnest(range((t - p - 240000000) // 60000000)) AS i FROM (SELECT channel, t, lag(t) OVER (PARTITION BY channel ORDER BY t, id) AS p FROM r) WHERE t - p >= 300000000)""")
+def noise_windows(spark, d):
+    return R.noise_windows(records(spark, d), "channel", "t", "id", 60 * SECOND, 120 * SECOND)
+
+
+@query("routed_records", """, a AS (SELECT l_orderkey, list(l_tax * 100) AS a FROM lineitem GROUP BY 1) SELECT l_orderkey, CASE WHEN len(list_filter(a, lambda v: v > 7)) > 0 THEN 'control pulse' WHEN len(list_filter(a, lambda v: v > 3 AND v <= 7)) > 0 THEN 'test pulse' ELSE 'particle' END AS any_class,
+ CASE WHEN len(list_filter(a, lambda v: v > 7)) = len(a) THEN 'control pulse' WHEN len(list_filter(a, lambda v: v > 3 AND v <= 7)) = len(a) THEN 'test pulse' ELSE 'particle' END AS every_class FROM a""")
+def routed_records(spark, d):
+    tpas = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.col("l_tax") * 100).alias("a"))
+    return tpas.select("l_orderkey", R.class_of_amplitudes(F.col("a"), 3.0, 7.0).alias("any_class"), R.class_of_amplitudes(F.col("a"), 3.0, 7.0, True).alias("every_class"))
+
+
 @query("confusion_matrix", "SELECT quality, count(*) FILTER (toxic = 0) AS predicted_0, count(*) FILTER (toxic = 1) AS predicted_1 FROM labels GROUP BY quality")
 def confusion_matrix(spark, d):
-    return table(spark, d, "labels").groupBy("quality").agg(F.count_if(F.col("toxic") == 0).alias("predicted_0"), F.count_if(F.col("toxic") == 1).alias("predicted_1"))
+    return R.confusion(table(spark, d, "labels"), "quality", "toxic", [0, 1])
 
 
 @query("label_distribution", "SELECT quality, toxic, count(*) AS n FROM labels GROUP BY 1, 2")
 def label_distribution(spark, d):
-    return table(spark, d, "labels").groupBy("quality", "toxic").agg(F.count(F.lit(1)).alias("n"))
+    return R.label_counts(table(spark, d, "labels"), "quality", "toxic")
 
 
 @query("accuracy_by_height", ", h AS (SELECT toxic = 1 - quality AS hit, n_chars, (row_number() OVER (ORDER BY n_chars, doc_id) - 1) // 40 AS bin FROM labels JOIN documents USING (doc_id)) SELECT bin, count(*) AS n, round(avg(n_chars), 6) AS mean_height, round(avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM h GROUP BY bin")
@@ -298,8 +306,7 @@ def moment_peaks(spark, d):
 
 @query("record_classes", "SELECT CASE WHEN tpa = 0 THEN 'particle' WHEN tpa <= 5 THEN 'test pulse' ELSE 'control pulse' END AS class, count(*) AS n, round(avg(value), 6) AS mean FROM r GROUP BY 1")
 def record_classes(spark, d):
-    name = F.when(F.col("tpa") == 0, "particle").when(F.col("tpa") <= 5, "test pulse").otherwise("control pulse")
-    return records(spark, d).groupBy(name.alias("class")).agg(F.count(F.lit(1)).alias("n"), r6(F.avg("value"), "mean"))
+    return records(spark, d).groupBy(R.class_of_amplitude(F.col("tpa"), 5.0).alias("class")).agg(F.count(F.lit(1)).alias("n"), r6(F.avg("value"), "mean"))
 
 
 @query("logistic_saturation", "SELECT id, round(10 / (1 + exp(-0.05 * (value - 60))) - 10 / (1 + exp(0.05 * 60)), 6) AS height FROM r WHERE kind = 'purchase'")

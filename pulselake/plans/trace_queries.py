@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pulselake.functions import arrays as A
+from pulselake.operators import analysis as R
 from pulselake.operators import spectra as S
 from pulselake.plans.tables import HEAD, LENGTH, SEARCH, SQL_TRACES, table, traces
 
@@ -56,7 +57,7 @@ def mp_full(spark, d):
 @query("remove_baseline_constant", "SELECT vec_id, round(list_sum(list_transform(b, lambda v: v * v)), 6) AS power, round(b[64], 6) AS last_sample FROM b")
 def remove_baseline_constant(spark, d):
     y = traces(spark, d).select("vec_id", A.remove_constant(F.col("x"), HEAD).alias("y"))
-    return y.select("vec_id", r6(A.total(F.transform("y", lambda v: v * v)), "power"), r6(F.get("y", F.lit(63)), "last_sample"))
+    return y.select("vec_id", r6(A.power(F.col("y")), "power"), r6(F.get("y", F.lit(63)), "last_sample"))
 
 
 _LINE = ", u AS (SELECT vec_id, any_value(x) AS x, regr_slope(v, i) AS slope, regr_intercept(v, i) AS intercept, regr_syy(v, i) - regr_slope(v, i) * regr_sxy(v, i) AS ssr FROM (SELECT vec_id, x, unnest(range(8)) AS i, unnest(x[1:8]) AS v FROM tr) GROUP BY vec_id)"
@@ -70,9 +71,8 @@ def remove_baseline_linear(spark, d):
 
 @query("fit_baseline_rms", _LINE + " SELECT vec_id, round(list_avg(x[1:8]), 6) AS level, round(list_stddev_pop(x[1:8]), 6) AS sd, round(sqrt(greatest(ssr, 0)), 6) AS line_rms FROM u")
 def fit_baseline_rms(spark, d):
-    y = traces(spark, d).select("vec_id", F.slice(F.col("x"), 1, HEAD).alias("h"), F.slice(A.remove_line(F.col("x"), HEAD), 1, HEAD).alias("rest"))
-    square = lambda c: A.total(F.transform(c, lambda v: v * v))
-    return y.select("vec_id", r6(A.mean(F.col("h")), "level"), r6(F.sqrt(A.mean(F.transform("h", lambda v: (v - A.mean(F.col("h"))) * (v - A.mean(F.col("h")))))), "sd"), r6(F.sqrt(square("rest")), "line_rms"))
+    y = traces(spark, d).select("vec_id", "x", F.slice(F.col("x"), 1, HEAD).alias("h"))
+    return y.select("vec_id", r6(A.mean(F.col("h")), "level"), r6(A.deviation(F.col("h")), "sd"), r6(A.line_residual(F.col("x"), HEAD), "line_rms"))
 
 
 @query("downsample_mean", "SELECT vec_id, CAST(i AS INTEGER) AS i, round(list_avg(x[4 * i + 1 : 4 * i + 4]), 6) AS v FROM (SELECT vec_id, x, unnest(range(16)) AS i FROM tr)")
@@ -115,11 +115,8 @@ def shift_trace(spark, d):
 p AS (SELECT *, list_position(a, list_max(a)) AS pos FROM q) SELECT pair, CAST(pos - 1 AS INTEGER) AS at_sample, round(list_max(a), 6) AS ph, round(list_max(c[greatest(1, pos - 4) : least(64, pos + 4)]), 6) AS ph_other FROM p""")
 def correlated_height(spark, d):
     y = traces(spark, d).select(F.floor(F.col("vec_id") / 2).alias("pair"), (F.col("vec_id") % 2).alias("side"), A.remove_constant(F.col("x"), HEAD).alias("y"))
-    both = y.groupBy("pair").agg(F.max(F.when(F.col("side") == 0, F.col("y"))).alias("a"), F.max(F.when(F.col("side") == 1, F.col("y"))).alias("c"))
-    both = both.withColumn("at", F.array_position("a", F.array_max("a")).cast("int"))
-    low = F.greatest(F.lit(1), F.col("at") - 4)
-    near = F.slice("c", low, F.least(F.lit(LENGTH), F.col("at") + 4) - low + 1)
-    return both.select("pair", (F.col("at") - 1).alias("at_sample"), r6(F.array_max("a"), "ph"), r6(F.array_max(near), "ph_other"))
+    out = R.correlated_heights(y, "pair", "side", "y", 0, [1], 4)
+    return out.select("pair", "at_sample", r6(F.col("ph"), "ph"), r6(F.col("ph_1"), "ph_other"))
 
 
 @query("additional_parameters", """SELECT vec_id, round(list_max(b), 6) AS top, round(list_min(b), 6) AS bottom, round(list_avg(b), 6) AS mean, round(list_var_pop(b), 6) AS var,
@@ -141,6 +138,26 @@ def noise_power(spark, d):
     return S.noise_power(traces(spark, d).withColumn("one", F.lit(1)), "one", "x", HEAD).select("k", r6(F.col("nps"), "nps"))
 
 
+_CUT = ", q AS (SELECT quantile_cont(list_stddev_pop(b), 0.7) AS lim FROM b), b2 AS (SELECT b.* FROM b, q WHERE list_stddev_pop(b) <= lim)"
+
+
+@query("quiet_noise_power", _CUT + _DFT.replace("FROM b)", "FROM b2)") + " SELECT k, round(avg(re * re + im * im), 6) AS nps FROM w GROUP BY k")
+def quiet_noise_power(spark, d):
+    kept = S.quiet(traces(spark, d).withColumn("one", F.lit(1)), "x", HEAD, 0.7)
+    return S.noise_power(kept, "one", "x", HEAD).select("k", r6(F.col("nps"), "nps"))
+
+
+_SCALE = (sum(v * v for v in _WEIGHTS) / LENGTH) ** 0.5
+
+
+@query("windowed_noise_power", f", b2 AS (SELECT vec_id, label, list_transform(range(64), lambda i: b[i + 1] * ({_WEIGHTS}::DOUBLE[])[i + 1] / {_SCALE!r}) AS b FROM b)" + _DFT.replace("FROM b)", "FROM b2)") + " SELECT k, round(avg(re * re + im * im), 6) AS nps FROM w GROUP BY k")
+def windowed_noise_power(spark, d):
+    import numpy as np
+
+    x = traces(spark, d).withColumn("one", F.lit(1))
+    return S.noise_power(x, "one", "x", HEAD, np.array(_WEIGHTS)).select("k", r6(F.col("nps"), "nps"))
+
+
 @query("noise_power_by_label", _DFT + " SELECT label, k, round(avg(re * re + im * im), 6) AS nps FROM w GROUP BY label, k")
 def noise_power_by_label(spark, d):
     return S.noise_power(traces(spark, d), "label", "x", HEAD).select("label", "k", r6(F.col("nps"), "nps"))
@@ -151,7 +168,24 @@ def mean_pulse_by_label(spark, d):
     return S.mean_pulse(traces(spark, d), "label", "x", HEAD).select("label", "k", r6(F.col("sev"), "sev"))
 
 
-@query("matched_amplitudes")
+_ANGLE = "2 * pi() * k * (j - 16) / 64"
+
+
+@query("recurrence_rows", "SELECT vec_id, i, CAST(list_sum(list_transform(range(64), lambda j: (j + 1) * CASE WHEN abs(x[j + 1] - x[i + 1]) < 0.1 THEN 1 ELSE 0 END)) AS BIGINT) AS weight FROM (SELECT vec_id, x, CAST(unnest(range(64)) AS INTEGER) AS i FROM tr)")
+def recurrence_rows(spark, d):
+    rows = traces(spark, d).select("vec_id", F.posexplode(A.recurrence(F.col("x"), LENGTH, 0.1)).alias("i", "row"))
+    return rows.select("vec_id", "i", F.aggregate(F.transform("row", lambda v, j: v * (j + 1)), F.lit(0), lambda a, v: a + v).cast("long").alias("weight"))
+
+
+_OF = _DFT + f""", nps AS (SELECT k, avg(re * re + im * im) AS n FROM w GROUP BY k), m AS (SELECT i, avg(v) AS m FROM (SELECT unnest(range(64)) AS i, unnest(b) AS v FROM b) GROUP BY i), s AS (SELECT i, m / (SELECT max(m) FROM m) AS s FROM m),
+st AS (SELECT k, sum(s * cos(2 * pi() * i * k / 64)) AS a, -sum(s * sin(2 * pi() * i * k / 64)) AS c FROM s, (SELECT unnest(range(33)) AS k) GROUP BY k),
+g AS (SELECT j, sum(CASE WHEN k IN (0, 32) THEN 1 ELSE 2 END * CASE WHEN k > 0 THEN 1 / n ELSE 0 END * (a * cos({_ANGLE}) + c * sin({_ANGLE}))) / 64 AS g FROM st JOIN nps USING (k), (SELECT unnest(range(64)) AS j) GROUP BY j),
+gl AS (SELECT list(g ORDER BY j) AS g FROM g), sl AS (SELECT list(s ORDER BY i) AS s FROM s),
+top AS (SELECT max(y) AS t FROM (SELECT unnest(list_transform(range(64), lambda i: list_sum(list_transform(range(64), lambda j: g[j + 1] * s[1 + (i - j + 64) % 64])))) AS y FROM gl, sl)),
+f AS (SELECT vec_id, list_transform(range(64), lambda i: list_sum(list_transform(range(64), lambda j: g[j + 1] / t * x[1 + (i - j + 64) % 64]))) AS y FROM tr, gl, top)"""
+
+
+@query("matched_amplitudes", _OF + " SELECT vec_id, round(list_max(y[9:56]), 6) AS amplitude, CAST(list_position(y[9:56], list_max(y[9:56])) + 7 AS BIGINT) AS place FROM f")
 def matched_amplitudes(spark, d):
     import numpy as np
 
@@ -164,18 +198,16 @@ def matched_amplitudes(spark, d):
 
 @query("normalised_features", "SELECT vec_id, round((list_max(x) - list_min(x)), 6) AS span, round(list_avg(list_transform(x, lambda v: (v - list_min(x)) / (list_max(x) - list_min(x)))), 6) AS mean_scaled, round((x[1] - list_avg(x)) / list_stddev_pop(x), 6) AS first_z FROM tr")
 def normalised_features(spark, d):
-    y = traces(spark, d).withColumn("low", F.array_min("x")).withColumn("high", F.array_max("x")).withColumn("m", A.mean(F.col("x")))
-    scaled = A.mean(F.transform("x", lambda v: (v - F.col("low")) / (F.col("high") - F.col("low"))))
-    sd = F.sqrt(A.mean(F.transform("x", lambda v: (v - F.col("m")) * (v - F.col("m")))))
-    return y.select("vec_id", r6(F.col("high") - F.col("low"), "span"), r6(scaled, "mean_scaled"), r6((F.get("x", F.lit(0)) - F.col("m")) / sd, "first_z"))
+    x = F.col("x")
+    return traces(spark, d).select("vec_id", r6(F.array_max(x) - F.array_min(x), "span"), r6(A.mean(A.min_max_scaled(x)), "mean_scaled"), r6(F.get(A.standardised(x), F.lit(0)), "first_z"))
 
 
 @query("recurrence_share", "SELECT vec_id, CAST(len(list_filter(flatten(list_transform(x, lambda a: list_transform(x, lambda c: abs(a - c) < 0.1))), lambda t: t)) AS INTEGER) AS n_close FROM tr")
 def recurrence_share(spark, d):
-    close = F.aggregate(F.col("x"), F.lit(0), lambda n, a: n + F.size(F.filter(F.col("x"), lambda c: F.abs(a - c) < 0.1)))
-    return traces(spark, d).select("vec_id", close.alias("n_close"))
+    return traces(spark, d).select("vec_id", A.close_pairs(F.col("x"), 0.1).alias("n_close"))
 
 
 @query("one_hot_labels", "SELECT vec_id, CASE WHEN label = 0 THEN 1 ELSE 0 END AS is_0, CASE WHEN label = 1 THEN 1 ELSE 0 END AS is_1, CASE WHEN label > 1 THEN 1 ELSE 0 END AS is_more FROM tr")
 def one_hot_labels(spark, d):
-    return table(spark, d, "embeddings").select("vec_id", *[c.cast("int").alias(n) for n, c in (("is_0", F.col("label") == 0), ("is_1", F.col("label") == 1), ("is_more", F.col("label") > 1))])
+    hot = table(spark, d, "embeddings").select("vec_id", A.one_hot(F.col("label"), [0, 1]).alias("h"))
+    return hot.select("vec_id", *[F.get("h", F.lit(i)).alias(n) for i, n in enumerate(("is_0", "is_1", "is_more"))])

@@ -766,3 +766,32 @@ def test_calibration_by_polynomials(spark):
     for a, b, v in zip(straight, curved, (1.0, 2.5, 5.0)):
         want = (-2 + math.sqrt(4 + 0.04 * v)) / 0.02
         assert a.tpa == pytest.approx(want, abs=0.02) and b.tpa == pytest.approx(want, abs=0.01) and a.energy == pytest.approx(3 * a.tpa) and a.energy_sigma >= 0
+
+
+def test_traces_that_lack_samples(spark):
+    from pulselake.functions import signal
+
+    x = [[1.0, 2.0, 4.0, 1.0], None, [1.0, None, 2.0, 3.0], [0.0, 1.0, 0.0, 1.0]]
+    df = spark.createDataFrame(list(enumerate(x)), "i long, x array<double>").withColumn("one", F.lit(1))
+    assert [r.i for r in signal.lags(df, "i", "x", np.array([0.0, 1.0, 0.0, 0.0])).orderBy("i").collect()] == [0, 3]
+    want = np.mean([np.abs(np.fft.rfft(np.array(x[i]) - np.mean(x[i][:2]))) ** 2 for i in (0, 3)], axis=0)
+    assert [r.nps for r in spectra.noise_power(df, "one", "x", 2).orderBy("k").collect()] == pytest.approx(list(want))
+    with pytest.raises(Exception, match="samples in one table"):
+        signal.lags(spark.createDataFrame([(0, [1.0]), (1, [1.0, 2.0])], "i long, x array<double>").coalesce(1), "i", "x", np.array([1.0])).collect()
+
+
+def test_reports(spark):
+    from pulselake.operators import analysis
+
+    df = spark.createDataFrame([(e, c, [float(e), float(c), 5.0 - c]) for e in range(3) for c in (0, 1, 2) if not (e == 2 and c == 1)], "e long, c int, x array<double>")
+    got = analysis.correlated_heights(df, "e", "c", "x", 0, [1, 2], 1).orderBy("e").collect()
+    assert [tuple(r) for r in got] == [(0, 2, 5.0, 4.0, 3.0), (1, 2, 5.0, 4.0, 3.0)]
+    pulses = spark.createDataFrame([(0, i * 3_600_000_000, i) for i in range(5)] + [(0, 40 * 3_600_000_000, 9)], "c int, t long, id long")
+    live = analysis.exposure(pulses, "c", "t", "id", 7_200_000_000, 2.0).first()
+    assert (live.live_hours, live.n_gaps, live.kg_days) == (6.0, 1, 0.5)
+    some = analysis.noise_windows(pulses, "c", "t", "id", 60_000_000, 0, 0.5)
+    every = analysis.noise_windows(pulses, "c", "t", "id", 60_000_000, 0).count()
+    starts = sorted(r.start for r in some.collect())
+    assert every == 240 + 36 * 60 and 0.4 * every < len(starts) < 0.6 * every and min(b - a for a, b in zip(starts, starts[1:])) >= 60_000_000
+    labels = analysis.blank_labels(df.select(F.col("c").alias("channel"), F.col("e").alias("event_idx")))
+    assert labels.count() == 8 and labels.where("label <> 0").count() == 0
