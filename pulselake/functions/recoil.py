@@ -93,6 +93,13 @@ def spectra(spark: SparkSession, parts: dict[int, float], masses: list[float], l
     return rated.select("mass", "energy", "rate", (F.sum("rate").over(line.rowsBetween(W.unboundedPreceding, 0)) / F.sum("rate").over(W.partitionBy("mass"))).alias("share"))
 
 
+def read_numbers(spark: SparkSession, path: str, names: tuple[str, ...]) -> DataFrame:
+    """Columns of numbers from text files with white space between them: ("energy",) of observed events, ("energy", "efficiency") of a cut."""
+    parts = F.split(F.trim("value"), r"\s+")
+    rows = spark.read.text(path).where("trim(value) <> '' and not startswith(trim(value), '#')")
+    return rows.select(*[F.get(parts, F.lit(i)).cast("double").alias(n) for i, n in enumerate(names)])
+
+
 def log_masses(low: float, high: float, steps: int) -> list[float]:
     return [low * (high / low) ** (i / (steps - 1)) for i in range(steps)]
 

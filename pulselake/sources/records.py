@@ -210,7 +210,7 @@ def channel_tuples(triggered: DataFrame) -> DataFrame:
 
 def amplitudes_of(triggered: DataFrame) -> DataFrame:
     """tpa: the distinct test pulse amplitudes in order."""
-    return triggered.select(F.round("test_pulse_amplitude", 4).alias("tpa")).distinct().orderBy("tpa")
+    return triggered.select(F.round(F.col("test_pulse_amplitude").cast("double"), 4).alias("tpa")).distinct().orderBy("tpa")
 
 
 def events_of(triggered: DataFrame, channels: list[int]) -> DataFrame:

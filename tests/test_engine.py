@@ -795,3 +795,31 @@ def test_reports(spark):
     assert every == 240 + 36 * 60 and 0.4 * every < len(starts) < 0.6 * every and min(b - a for a, b in zip(starts, starts[1:])) >= 60_000_000
     labels = analysis.blank_labels(df.select(F.col("c").alias("channel"), F.col("e").alias("event_idx")))
     assert labels.count() == 8 and labels.where("label <> 0").count() == 0
+
+
+def test_made_up_runs_are_read_back(spark, tmp_path):
+    from pulselake.sources import sample_files
+    from pulselake.sources.streams import open_stream
+
+    run = sample_files.Run()
+    paths = sample_files.write_run(str(tmp_path), "r", run)
+    rows = records.read_triggered(spark, paths["rdt"], paths["par"])
+    assert [r.tpa for r in records.amplitudes_of(rows).collect()] == [-1.0, 0.0, 0.1, 0.3, 0.5, 1.0, 3.0, 10.0]
+    assert {tuple(r.channels) for r in records.channel_tuples(rows).collect()} == {(0,), (1,), (0, 1)}
+    pulses = sample_files.pulses(run)
+    assert rows.count() == 2 * sum(a <= 10 for _, a in pulses)
+    control = records.read_control(spark, paths["con"])
+    assert sorted({round(r.hours * 3600, 3) for r in control.collect()}) == [round(t, 3) for t, a in pulses if a > 10]
+    offset = records.clock_offset(records.read_records(spark, paths["dig_stamps"], records.STAMPS))
+    assert offset == run.offset
+    stamps = records.test_stamps(spark, paths["test_stamps"], offset, channels=[0], control=False)
+    assert [round(r.hours * 3600, 3) for r in stamps.orderBy("hours").collect()] == [round(t, 3) for t, a in pulses if 0 < a < 10.1]
+    stream = open_stream(spark, "int16", {"0": paths["ch0"], "1": paths["ch1"]}, run.start * 1_000_000, 40, 8192)
+    places = stamps.select(F.lit("0").alias("channel"), F.round(F.col("hours") * 3600 * run.rate).cast("long").alias("place"), "tpa")
+    tops = {round(r.tpa, 4): r.top for r in stream.windows(places, run.length, run.length // 4).select("tpa", F.array_max("window").alias("top")).collect()}
+    assert all(abs(top - 8 * tpa / (tpa + 8)) < 0.03 for tpa, top in tops.items()) and len(tops) == 6
+
+
+def test_number_files(spark, tmp_path):
+    (tmp_path / "e.txt").write_text("# energy efficiency\n0.5 0.1\n 2.0\t0.9 \n\n")
+    assert sorted(map(tuple, recoil.read_numbers(spark, f"{tmp_path}/e.txt", ("energy", "efficiency")).collect())) == [(0.5, 0.1), (2.0, 0.9)]
