@@ -92,6 +92,103 @@ def triggers(chunks: DataFrame, size: int, length: int, threshold: float, score:
     return runs.groupBy("channel", F.floor(F.col("island") / RUNS)).applyInPandas(fold, f"channel {kind}, place long, height double")
 
 
+def sliding_peaks(x: np.ndarray, width: int) -> np.ndarray:
+    """Place of the highest (the first of equal ones) of the `width` samples from each place on, where there are so many: from the running
+    highest of blocks of that width, forwards and backwards."""
+    n = len(x) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    padded = np.full(-(-len(x) // width) * width, -np.inf)
+    padded[: len(x)] = x
+    rows, at = padded.reshape(-1, width), np.arange(len(padded)).reshape(-1, width)
+
+    def running(v: np.ndarray, where: np.ndarray, later_wins: bool) -> np.ndarray:
+        top = np.maximum.accumulate(v, axis=1)
+        before = np.concatenate([np.full((len(v), 1), -np.inf), top[:, :-1]], axis=1)
+        new = (v >= before) if later_wins else (v > before)
+        new[:, 0] = True
+        last = np.maximum.accumulate(np.where(new, np.arange(v.shape[1]), 0), axis=1)
+        return np.take_along_axis(where, last, axis=1)
+
+    ahead = running(rows, at, False).reshape(-1)
+    behind = running(rows[:, ::-1], at[:, ::-1], True)[:, ::-1].reshape(-1)
+    left, right = behind[:n], ahead[width - 1 : width - 1 + n]
+    return np.where(padded[left] >= padded[right], left, right)
+
+
+def record_triggers(chunks: DataFrame, size: int, length: int, threshold: float, overlap: float = 0.125, block: int | None = None) -> DataFrame:
+    """channel, place, height: the stream is looked at in records that overlap, each without the mean of its first half overlap. Where the highest
+    sample between the overlaps passes the threshold, the record is moved so that this sample is the first one searched, the highest
+    sample then is the trigger, and the next record is searched from `block` samples (a record, if not given) after it on.
+
+    Where a record begins hangs on all before it. For each place at which a chunk can be entered it says where the search leaves it; these
+    are chained, one row a chunk, and the chunks are then searched from where they are entered.
+    """
+    edge, head, block = int(length * overlap), int(length * overlap / 2), block or length
+    if not 0 < overlap <= 0.25 or head < 1 or block < length:
+        raise ValueError("the overlap must be over 0 and up to a quarter, with a sample in its half, and the block a record at least")
+    if size < 2 * length:
+        raise ValueError(f"chunks of {size} samples are shorter than two records of {length}")
+    width, kind = length - 2 * edge, chunks.schema["channel"].dataType.simpleString()
+
+    def steps(x: np.ndarray, skip: int, start: int, n: int, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each place of the chunk: the next one, the trigger on the way (or -1) and its height; places from the chunk's first sample."""
+        x = x[skip:]
+        last = max(0, min(n, total - length - start))
+        sums = np.concatenate([[0.0], np.cumsum(x)])
+        peaks = sliding_peaks(x, width)
+        at = np.arange(last)
+        level = lambda p: (sums[p + head] - sums[p]) / head
+        peak = peaks[at + edge]
+        passed = x[peak] - level(at) > threshold
+        moved = peak - edge
+        inside = passed & (start + moved < total - length)
+        again = np.where(inside, moved, 0)
+        second = peaks[again + edge]
+        place = np.where(inside, second, -1)
+        step = np.where(passed, np.where(inside, second - edge + block, n + 2 * length + block), at + width)
+        return step, place, np.where(inside, x[second] - level(again), 0.0)
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most = 2 * width + block
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                step, _, _ = steps(np.array(row["x"], float), row["skip"], row["start"], row["n"], row["total"])
+                to = np.minimum(step, len(step))
+                last = np.where(to < len(step), to, np.arange(len(step)))
+                for _ in range(len(step).bit_length()):
+                    last = last[last]
+                out.append((row["channel"], row["start"], (row["start"] + step[last])[:most].tolist()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], batch.schema.field("channel").type), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.list_(pa.int64()))], names=["channel", "start", "leave"])
+
+    def chained(part: pd.DataFrame) -> pd.DataFrame:
+        part, at, out = part.sort_values("start").reset_index(drop=True), 0, []
+        for start, leave in zip(part["start"], part["leave"]):
+            out.append(at)
+            if start <= at < start + len(leave):
+                at = int(leave[at - start])
+        return pd.DataFrame({"chain_": part["channel"], "start_": part["start"], "enter": out})
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                step, place, height = steps(np.array(row["x"], float), row["skip"], row["start"], row["n"], row["total"])
+                at = row["enter"] - row["start"]
+                while 0 <= at < len(step):
+                    if place[at] >= 0:
+                        out.append((row["channel"], row["start"] + int(place[at]), float(height[at])))
+                    at = int(step[at])
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], batch.schema.field("channel").type), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.float64())], names=["channel", "place", "height"])
+
+    near = with_neighbours(chunks, size, 2 * length)
+    leaves = near.mapInArrow(told, f"channel {kind}, start long, leave array<long>")
+    enters = leaves.groupBy("channel").applyInPandas(chained, f"chain_ {kind}, start_ long, enter long")
+    met = near.join(enters, F.col("channel").eqNullSafe(F.col("chain_")) & (F.col("start") == F.col("start_"))).drop("chain_", "start_")
+    return met.mapInArrow(search, f"channel {kind}, place long, height double")
+
+
 def filter_score(transfer: np.ndarray) -> Score:
     """The stream convolved with the impulse response of a transfer function of a record."""
 

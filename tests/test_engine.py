@@ -823,3 +823,36 @@ def test_made_up_runs_are_read_back(spark, tmp_path):
 def test_number_files(spark, tmp_path):
     (tmp_path / "e.txt").write_text("# energy efficiency\n0.5 0.1\n 2.0\t0.9 \n\n")
     assert sorted(map(tuple, recoil.read_numbers(spark, f"{tmp_path}/e.txt", ("energy", "efficiency")).collect())) == [(0.5, 0.1), (2.0, 0.9)]
+
+
+def test_sliding_peaks():
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 6, 203).astype(float)
+    for width in (1, 2, 7, 50, 203):
+        assert triggering.sliding_peaks(x, width).tolist() == [i + int(np.argmax(x[i : i + width])) for i in range(203 - width + 1)]
+    assert len(triggering.sliding_peaks(x, 204)) == 0
+
+
+@pytest.mark.parametrize("size", [64, 70, 333, 5000])
+@pytest.mark.parametrize("block", [None, 50])
+def test_record_triggers_do_not_depend_on_chunks(spark, size, block):
+    rng, length, n, overlap, threshold = np.random.default_rng(8), 32, 3011, 0.125, 3.0
+    x = rng.normal(0, 1, n)
+    for at in rng.integers(0, n - 12, 50):
+        x[at : at + 12] += rng.uniform(2, 9) * np.exp(-np.arange(12) / 4)
+    edge, head, want, cur, again = 4, 2, [], 0, False
+    while cur < n - length:
+        trace = x[cur : cur + length] - x[cur : cur + head].mean()
+        peak = int(np.argmax(trace[edge:-edge]))
+        value = trace[edge + peak]
+        if again:
+            want.append((cur + edge + peak, value))
+            cur, again = cur + peak + (block or length), False
+        elif value > threshold:
+            cur, again = cur + peak, True
+        else:
+            cur += length - 2 * edge
+    chunks = spark.createDataFrame([(c, s, x[s : s + size].tolist()) for c in (1, 2) for s in range(0, n, size)], "channel long, start long, samples array<double>")
+    got = sorted((r.channel, r.place, r.height) for r in triggering.record_triggers(chunks, size, length, threshold, overlap, block).collect())
+    assert [(c, p) for c, p, _ in got] == [(c, p) for c in (1, 2) for p, _ in want] and len(want) > 30
+    assert [h for _, _, h in got] == pytest.approx([h for _ in (1, 2) for _, h in want])
