@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pulselake.functions import arrays as A
 from pulselake.operators.ordered import RUNS, gap_islands
 
 Score = Callable[[np.ndarray, int], np.ndarray]
@@ -235,3 +236,114 @@ def pulse_heights(chunks: DataFrame, found: DataFrame, size: int, length: int) -
     cut = cut_windows(chunks, found, size, length, length // 4)
     head = F.aggregate(F.slice("window", 1, length // 8), F.lit(0.0), lambda a, v: a + v) / (length // 8)
     return cut.withColumn("pulse_height", F.array_max(F.slice("window", length // 5 + 1, 2 * length // 5 - length // 5)) - head).drop("window")
+
+
+def median_filtered(x: np.ndarray, width: int = 51) -> np.ndarray:
+    """The median of `width` samples around each one; beyond the ends are zeros."""
+    return np.median(np.lib.stride_tricks.sliding_window_view(np.pad(x, width // 2), width), axis=1)
+
+
+def highest_filtered(length: int, edge: int, transfer: np.ndarray | None, down: int, window: bool, square: bool) -> Callable[[np.ndarray, int], tuple[int, float]]:
+    """Place and height of a record's highest sample between its edges, from a given one on: averaged over `down` samples, squared if asked for,
+    without the mean of its first half edge, then through a transfer function (under a window) or a running median."""
+    n, rim = length // down, edge // down
+    taper = np.array(A.tukey(n)) if window else np.ones(n)
+
+    def highest(record: np.ndarray, blocked: int) -> tuple[int, float]:
+        x = record.reshape(n, down).mean(axis=1)
+        x = x**2 if square else x
+        x = x - x[: rim // 2].mean()
+        y = median_filtered(x) if transfer is None else np.fft.irfft(np.fft.rfft(x * taper) * transfer, n)
+        first = max(rim, blocked // down)
+        at = first + int(y[first : n - rim].argmax())
+        return at * down, float(y[at])
+
+    return highest
+
+
+class RecordSearch:
+    """The search along one stretch of a stream. `at` is the record to look at next, `blocked` the number of its first samples that cannot
+    trigger; no more samples are held than the records still to come need."""
+
+    def __init__(self, highest: Callable[[np.ndarray, int], tuple[int, float]], start: int, length: int, edge: int, block: int, threshold: float):
+        self.highest, self.length, self.edge, self.block, self.threshold = highest, length, edge, block, threshold
+        self.held, self.base, self.at, self.blocked = np.zeros(0), start, start + length, 0
+
+    def end(self) -> int:
+        return self.base + len(self.held)
+
+    def _record(self) -> np.ndarray:
+        return self.held[self.at - self.base : self.at - self.base + self.length]
+
+    def _look(self) -> tuple[int, float, int, int] | None:
+        """What the next record triggers, if anything; moves on to the one after it."""
+        found = None
+        if self.blocked < self.length - self.edge:
+            place, height = self.highest(self._record(), self.blocked)
+            if height > self.threshold:
+                self.at += place - self.edge - 1
+                if self.at + self.length > self.end():
+                    return None
+                place, height = self.highest(self._record(), self.blocked)
+                if height > self.threshold:
+                    found = (self.at + place, height, self.at, self.blocked)
+                    self.blocked += place + self.block
+        step = self.length - 2 * self.edge
+        self.at, self.blocked = self.at + step, max(self.blocked - step, 0)
+        return found
+
+    def feed(self, samples: np.ndarray, last: bool = False) -> Iterator[tuple[int, float, int, int]]:
+        """place, height, record, blocked of each trigger that these samples settle; `last` says that none follow."""
+        self.held = np.concatenate([self.held, samples])
+        reach = self.length + 1 if last else 2 * self.length
+        while self.at + reach <= self.end():
+            found = self._look()
+            if found:
+                yield found
+        # A record that is looked at again may begin one sample earlier.
+        spent = min(max(self.at - 1 - self.base, 0), len(self.held))
+        self.held, self.base = self.held[spent:], self.base + spent
+
+
+def filtered_record_triggers(chunks: DataFrame, length: int, threshold: float, transfer: np.ndarray | None = None, overlap: float = 0.125, block: int | None = None, down: int = 1, window: bool = True, square: bool = False, by: tuple[str, ...] = ("channel",)) -> DataFrame:
+    """by, place, height, record, blocked: the stream is looked at in records that overlap, each filtered by itself. Where the highest sample
+    between the overlaps passes the threshold, the record is moved so that it comes first and searched again; what is highest then
+    triggers, and the next `block` samples (a record, if not given) cannot. The first record's length of a stream is left out.
+
+    Filtered heights hang on where a record begins, and that on all records before. So each stream is one task that reads its chunks in
+    order and holds few records at a time; name the files in `by` to have one for each file. Where samples are missing between two
+    chunks the search begins anew; records with a null sample find nothing; null chunks are skipped.
+    """
+    edge, block = int(length * overlap), block or length
+    if not 0 < overlap <= 0.25 or edge // down < 2 or length % down:
+        raise ValueError("the overlap must be over 0 and up to a quarter, with two samples at least, and the record a multiple of them")
+    highest = highest_filtered(length, edge, transfer, down, window, square)
+    kinds = [f"`{c}` {chunks.schema[c].dataType.simpleString()}" for c in by]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search, key = None, None
+
+        def told(rows: list, schema: pa.Schema) -> pa.RecordBatch:
+            keys = [pa.array([r[0][i] for r in rows], schema.field(c).type) for i, c in enumerate(by)]
+            rest = [pa.array([r[1][i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.float64(), pa.int64(), pa.int64()))]
+            return pa.RecordBatch.from_arrays([*keys, *rest], names=[*by, "place", "height", "record", "blocked"])
+
+        schema = None
+        for batch in batches:
+            rows, schema = [], batch.schema
+            names = list(zip(*[batch.column(c).to_pylist() for c in by], strict=True))
+            starts, samples = batch.column("start").to_pylist(), batch.column("samples")
+            for i, start in enumerate(starts):
+                x = samples[i].values.to_numpy(zero_copy_only=False).astype(float)
+                if search is None or names[i] != key or start != search.end():
+                    if search is not None:
+                        rows += [(key, f) for f in search.feed(np.zeros(0), last=True)]
+                    search, key = RecordSearch(highest, start, length, edge, block, threshold), names[i]
+                rows += [(key, f) for f in search.feed(x)]
+            yield told(rows, schema)
+        if search is not None:
+            yield told([(key, f) for f in search.feed(np.zeros(0), last=True)], schema)
+
+    ordered = chunks.select(*by, F.col("start").cast("long").alias("start"), F.col("samples").cast("array<double>").alias("samples")).where("size(samples) > 0")
+    ordered = ordered.repartition(*by).sortWithinPartitions(*by, "start")
+    return ordered.mapInArrow(run, ", ".join([*kinds, "place long, height double, record long, blocked long"]))

@@ -856,3 +856,65 @@ def test_record_triggers_do_not_depend_on_chunks(spark, size, block):
     got = sorted((r.channel, r.place, r.height) for r in triggering.record_triggers(chunks, size, length, threshold, overlap, block).collect())
     assert [(c, p) for c, p, _ in got] == [(c, p) for c in (1, 2) for p, _ in want] and len(want) > 30
     assert [h for _, _, h in got] == pytest.approx([h for _ in (1, 2) for _, h in want])
+
+
+@pytest.mark.parametrize("size", [64, 333, 5000])
+@pytest.mark.parametrize("transfer, down, square", [(True, 1, False), (True, 2, True), (False, 1, False)])
+def test_filtered_record_triggers_match_a_plain_search(spark, size, transfer, down, square):
+    rng, length, n, edge, threshold, block = np.random.default_rng(8), 64, 4011, 8, 2.0, 40
+    x = rng.normal(0, 0.5, n)
+    for at in rng.integers(0, n - 12, 50):
+        x[at : at + 12] += rng.uniform(2, 9) * np.exp(-np.arange(12) / 4)
+    pulse = np.exp(-np.arange(length // down) / 4)
+    tf = np.conj(np.fft.rfft(pulse)) / (pulse**2).sum() if transfer else None
+    taper = np.array(A.tukey(length // down))
+
+    def top(at, blocked):
+        rec = np.array([x[at + i : at + i + down].mean() for i in range(0, length, down)])
+        rec = rec**2 if square else rec
+        rec = rec - rec[: edge // down // 2].mean()
+        if tf is None:
+            padded = np.concatenate([np.zeros(25), rec, np.zeros(25)])
+            y = [np.median(padded[i : i + 51]) for i in range(len(rec))]
+        else:
+            y = np.fft.irfft(np.fft.rfft(rec * taper) * tf, len(rec))
+        allowed = range(max(edge // down, blocked // down), length // down - edge // down)
+        best = max(allowed, key=lambda i: (y[i], -i))
+        return best * down, float(y[best])
+
+    want, at, blocked = [], length, 0
+    limit = 0.3 if tf is None else threshold
+    while at < n - length:
+        if blocked < length - edge:
+            place, height = top(at, blocked)
+            if height > limit:
+                at += place - edge - 1
+                if at > n - length:
+                    break
+                place, height = top(at, blocked)
+                if height > limit:
+                    want.append((at + place, height, at, blocked))
+                    blocked += place + block
+        at, blocked = at + length - 2 * edge, max(blocked - length + 2 * edge, 0)
+    rows = [(c, s, x[s : s + size].tolist()) for c in (1, None) for s in range(0, n, size)] + [(1, -7, None), (2, 0, [])]
+    chunks = spark.createDataFrame(rows, "channel long, start long, samples array<double>")
+    got = triggering.filtered_record_triggers(chunks, length, limit, tf, block=block, down=down, square=square).collect()
+    for channel in (1, None):
+        mine = sorted((r.place, r.height, r.record, r.blocked) for r in got if r.channel == channel)
+        assert [(p, r, b) for p, _, r, b in mine] == [(p, r, b) for p, _, r, b in sorted(want)] and len(want) > 5
+        assert [h for _, h, _, _ in mine] == pytest.approx([h for _, h, _, _ in sorted(want)])
+    assert len(got) == 2 * len(want)
+    empty = triggering.filtered_record_triggers(chunks.where("false"), length, limit, tf)
+    assert empty.count() == 0
+
+
+def test_missing_samples_split_a_stream(spark):
+    x = np.zeros(600)
+    x[[150, 450]] = 9.0
+    pulse = np.exp(-np.arange(32) / 4)
+    tf = np.conj(np.fft.rfft(pulse)) / (pulse**2).sum()
+    rows = [(1, s, x[s : s + 100].tolist()) for s in (0, 100, 300, 400, 500)]
+    chunks = spark.createDataFrame(rows, "channel long, start long, samples array<double>")
+    assert sorted(r.place for r in triggering.filtered_record_triggers(chunks, 32, 3.0, tf).collect()) == [150, 450]
+    bad = spark.createDataFrame([(1, 0, [None if i == 150 else float(v) for i, v in enumerate(x)])], chunks.schema)
+    assert [r.place for r in triggering.filtered_record_triggers(bad, 32, 3.0, tf).collect()] == [450]
