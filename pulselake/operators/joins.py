@@ -50,9 +50,9 @@ def nearest(a: DataFrame, b: DataFrame, key: str, chunk: int = 3_600_000_000) ->
     return found.withColumn("pick", pick).where("pick is not null").select(F.col("id").alias("a_id"), F.col("pick.id").alias("b_id"), (F.col("pick.t") - F.col("t")).alias("dt"))
 
 
-def exclude_near(triggers: DataFrame, pulses: DataFrame, key: str, most: int) -> DataFrame:
+def exclude_near(triggers: DataFrame, pulses: DataFrame, key: str, most: int, chunk: int = 3_600_000_000) -> DataFrame:
     """triggers with keep: false for the trigger nearest to each pulse if closer than `most`, and outside the span of pulses."""
-    hit = nearest(pulses, triggers, key).where(F.abs("dt") < most).select(F.col("b_id").alias("id")).distinct().withColumn("hit", F.lit(True))
+    hit = nearest(pulses, triggers, key, chunk).where(F.abs("dt") < most).select(F.col("b_id").alias("id")).distinct().withColumn("hit", F.lit(True))
     span = pulses.groupBy(key).agg(F.min("t").alias("first"), F.max("t").alias("last"))
     joined = triggers.join(hit, "id", "left").join(span, key, "left")
     return joined.select(*triggers.columns, (F.col("hit").isNull() & F.coalesce(F.col("t").between(F.col("first"), F.col("last")), F.lit(False))).alias("keep"))

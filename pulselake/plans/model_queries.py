@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pulselake.functions import arrays as A
 from pulselake.functions import fits, signal
-from pulselake.operators import calibrate, evaluate, ordered, simulate
+from pulselake.operators import calibrate, evaluate, imports, ordered, simulate
 from pulselake.operators.events import EventSet, LogicalCut
 from pulselake.plans.tables import HEAD, LENGTH, SQL_RECORDS, SQL_TRACES, records, table, traces
 
@@ -53,7 +53,21 @@ def template_lags(spark, d):
     return signal.lags(traces(spark, d), "vec_id", "x", TEMPLATE)
 
 
-@query("array_fit")
+def _shift_tables(reach: int):
+    """For each shift of the template: the shift, the row that gives the height, and an orthonormal basis of what is fitted."""
+    base = np.vander(np.linspace(-1, 1, LENGTH), 2, increasing=True)
+    for by in range(-reach, reach + 1):
+        moved = TEMPLATE[np.clip(np.arange(LENGTH) - by, 0, LENGTH - 1)]
+        a = np.column_stack([moved, base])
+        yield by, np.linalg.pinv(a)[0].tolist(), np.linalg.qr(a)[0].T.tolist()
+
+
+_SHIFTS = ", ".join(f"({by}, {height}::DOUBLE[], {basis}::DOUBLE[][])" for by, height, basis in _shift_tables(4))
+
+
+@query("array_fit", f"""WITH {SQL_TRACES}, k(shift, h, basis) AS (VALUES {_SHIFTS}), c AS (SELECT vec_id, x, shift, list_inner_product(h, x) AS height, list_transform(basis, lambda q: list_inner_product(q, x)) AS part, basis FROM tr, k),
+e AS (SELECT vec_id, shift, height, sqrt(list_avg(list_transform(range(64), lambda i: (x[i + 1] - basis[1][i + 1] * part[1] - basis[2][i + 1] * part[2] - basis[3][i + 1] * part[3]) ** 2))) AS rms FROM c)
+SELECT vec_id, round(height, 6) AS height, shift, round(rms, 6) AS rms FROM e QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY rms, shift) = 1""")
 def array_fit(spark, d):
     out = signal.array_fit(traces(spark, d), "vec_id", "x", TEMPLATE, 1, 4)
     return out.select("vec_id", r6(F.col("height"), "height"), "shift", r6(F.col("rms"), "rms"))
@@ -129,6 +143,17 @@ def aligned_triggers(spark, d):
     return ordered.dead_time_fold(every, "line", "t", "id", 600_000_000, closed=True).select("id")
 
 
+_LEADS = "f AS (SELECT unnest(list_reduce(list([t] ORDER BY t), lambda acc, x: CASE WHEN x[1] > acc[-1] + 600000000 THEN list_concat(acc, x) ELSE acc END)) AS t FROM r)"
+
+
+@query("aligned_amplitudes", f"""WITH {SQL_RECORDS}, {_LEADS}, l AS (SELECT min(id) AS id, t FROM f JOIN r USING (t) GROUP BY t),
+a AS (SELECT l.id, r.channel, r.tpa FROM l, r QUALIFY row_number() OVER (PARTITION BY l.id, r.channel ORDER BY abs(r.t - l.t), r.t, r.id) = 1)
+SELECT id, list(tpa ORDER BY channel) AS tpas FROM a GROUP BY id""")
+def aligned_amplitudes(spark, d):
+    """Triggers of all channels in one line, each with the amplitude of the nearest trigger of every channel."""
+    return imports.aligned_amplitudes(records(spark, d), 600_000_000).select("id", "tpas")
+
+
 @query("event_set_algebra", f"WITH {SQL_TRACES}, u AS (SELECT vec_id AS event_idx, b FROM b WHERE label < 5 UNION ALL SELECT vec_id + 1 + (SELECT max(vec_id) FROM tr WHERE label < 5), b FROM b WHERE label >= 5) SELECT event_idx, round(list_max(b), 6) AS top FROM u WHERE b[1] < 0.5")
 def event_set_algebra(spark, d):
     x = traces(spark, d).withColumn("channel", F.lit(0)).withColumnRenamed("vec_id", "event_idx")

@@ -324,7 +324,15 @@ def _stream(spark, d):
     return cut.select("channel", "start", F.transform("s", lambda r: r["value"]).alias("samples"))
 
 
-@query("filter_trigger")
+#: From scores s(id, y): each place over the threshold with its record's peak (q), then the chain of records from the first one on (c).
+_CHAIN = """n AS (SELECT count(*) AS n FROM r), o AS (SELECT id FROM s, n WHERE y > {0} AND id >= 32 AND id < n - 33),
+p AS (SELECT o.id, first(s.id ORDER BY s.y DESC, s.id) AS peak, max(s.y) AS y FROM o JOIN s ON s.id >= o.id AND s.id < o.id + 32 GROUP BY o.id),
+q AS (SELECT p.*, o.id AS later FROM p ASOF LEFT JOIN o ON p.peak + 17 <= o.id), c AS (SELECT min(id) AS id FROM q UNION ALL SELECT later FROM c JOIN q USING (id) WHERE later IS NOT NULL)"""
+_RESPONSE = np.fft.irfft(np.conj(np.fft.rfft(np.exp(-np.arange(RECORD) / 4.0))) * (np.arange(RECORD // 2 + 1) > 0), RECORD)
+
+
+@query("filter_trigger", f""", s AS (SELECT id, list_inner_product(list(value) OVER (ORDER BY id ROWS 31 PRECEDING), {[float(v) for v in _RESPONSE[::-1]]}::DOUBLE[]) AS y FROM r QUALIFY count(*) OVER (ORDER BY id ROWS 31 PRECEDING) = 32), {_CHAIN.format(60)}
+SELECT 0 AS channel, peak AS place, round(y, 6) AS height FROM c JOIN q USING (id)""")
 def filter_trigger(spark, d):
     """Records whose stream, through a matched filter of a decaying pulse, passes a threshold; tested against a plain loop."""
     transfer = np.conj(np.fft.rfft(np.exp(-np.arange(RECORD) / 4.0)))
@@ -333,7 +341,9 @@ def filter_trigger(spark, d):
     return found.select("channel", "place", r6(F.col("height"), "height"))
 
 
-@query("deviation_trigger")
+@query("deviation_trigger", f""", s AS (SELECT id, value, CASE WHEN stddev_pop(value) OVER w > 0 THEN (value - avg(value) OVER w) / stddev_pop(value) OVER w ELSE -1e300 END AS y FROM r WINDOW w AS (ORDER BY id ROWS BETWEEN 32 PRECEDING AND 1 PRECEDING)), {_CHAIN.format(2.5)},
+h AS (SELECT q.peak, max(s.value) FILTER (s.id BETWEEN q.peak - 2 AND q.peak + 3) - avg(s.value) FILTER (s.id < q.peak - 4) AS height FROM q JOIN s ON s.id >= q.peak - 8 AND s.id < q.peak + 24 GROUP BY q.id, q.peak HAVING count(*) = 32)
+SELECT 0 AS channel, peak AS place, round(y, 6) AS score, round(height, 6) AS pulse_height FROM c JOIN q USING (id) LEFT JOIN (SELECT DISTINCT * FROM h) AS h USING (peak)""")
 def deviation_trigger(spark, d):
     """Records that stand out from those before them, with the height of the pulse around them where the stream holds it whole."""
     stream = _stream(spark, d)
