@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pulselake.functions import arrays as A
 from pulselake.functions import curves
 from pulselake.operators import analysis as R
-from pulselake.operators import calibrate, evaluate, triggering
+from pulselake.operators import calibrate, evaluate, imports, triggering
 from pulselake.operators import joins as J
 from pulselake.operators import ordered as O
 from pulselake.plans.tables import SQL_RECORDS, records, table
@@ -359,6 +359,29 @@ def chunk_windows(spark, d):
     return cut.select(F.col("place").alias("id"), r6(A.total(F.col("window")), "area"), r6(F.element_at("window", -1), "last_sample"))
 
 
+_IMPORTED = """, v AS (SELECT * FROM r WHERE kind = 'view' AND tpa >= 0.5), z AS (SELECT a.id, row_number() OVER (PARTITION BY v.id ORDER BY abs(a.id - v.id), a.id) AS place, abs(a.id - v.id) AS apart FROM v JOIN r a ON a.kind = 'purchase' AND abs(a.id - v.id) < 3),
+e AS (SELECT 'events' AS kind, id, CAST(NULL AS DOUBLE) AS tpa FROM r WHERE kind = 'purchase' AND id NOT IN (SELECT id FROM z WHERE place = 1) AND id BETWEEN (SELECT min(id) FROM v) AND (SELECT max(id) FROM v)
+ UNION ALL SELECT CASE WHEN tpa >= 9 THEN 'controlpulses' ELSE 'testpulses' END, id, tpa FROM v), k AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY id) - 1 AS event_idx FROM e)
+SELECT k.kind, event_idx, k.id AS place, k.tpa, round(CASE WHEN k.kind <> 'controlpulses' THEN sum(r.value) END, 6) AS area, round(CASE WHEN k.kind = 'controlpulses' THEN max(r.value) - avg(r.value) FILTER (r.id < k.id - 4) END, 6) AS pulse_height
+FROM k JOIN r ON r.id >= k.id - 8 AND r.id < k.id + 24 GROUP BY k.kind, event_idx, k.id, k.tpa HAVING count(*) = 32"""
+
+
+@query("imported_events", _IMPORTED)
+def imported_events(spark, d):
+    """A stream's purchases as triggers and its views as the pulser's stamps: events, test pulses and control pulses with their windows."""
+    found = imports.sorted_triggers(kind(spark, d, "purchase").select(F.col("id").alias("place"), "id"), kind(spark, d, "view").select(F.col("id").alias("place"), "tpa"), 3, 0.5, 9.0)
+    cut = imports.imported_events(_stream(spark, d), CHUNK, found, RECORD)
+    return cut.select("kind", "event_idx", "place", "tpa", r6(A.total(F.col("event")), "area"), r6(F.col("pulse_height"), "pulse_height"))
+
+
+@query("filtered_record_trigger")
+def filtered_record_trigger(spark, d):
+    """Records of a stream, each filtered by itself, that pass a threshold; tested against a plain search."""
+    transfer = np.conj(np.fft.rfft(np.exp(-np.arange(RECORD) / 4.0)))
+    found = triggering.filtered_record_triggers(_stream(spark, d), RECORD, 60.0, transfer, overlap=0.25)
+    return found.select("channel", "place", r6(F.col("height"), "height"), "record", "blocked")
+
+
 @query("scatter_raster", """, p AS (SELECT CAST(round_even(tpa / 10 * 40, 0) AS BIGINT) AS px, CAST(round_even((1 - value / 200) * 50, 0) AS BIGINT) AS py FROM r)
 SELECT px, py, least(1.0, 0.3 * count(*))::DOUBLE AS shade FROM p WHERE px BETWEEN 1 AND 40 AND py BETWEEN 1 AND 50 GROUP BY px, py""")
 def scatter_raster(spark, d):

@@ -918,3 +918,51 @@ def test_missing_samples_split_a_stream(spark):
     assert sorted(r.place for r in triggering.filtered_record_triggers(chunks, 32, 3.0, tf).collect()) == [150, 450]
     bad = spark.createDataFrame([(1, 0, [None if i == 150 else float(v) for i, v in enumerate(x)])], chunks.schema)
     assert [r.place for r in triggering.filtered_record_triggers(bad, 32, 3.0, tf).collect()] == [450]
+
+
+def test_made_up_runs_are_imported(spark, tmp_path):
+    from pulselake.operators import imports
+    from pulselake.sources import sample_files
+    from pulselake.sources.streams import open_stream
+
+    run = sample_files.Run()
+    paths = sample_files.write_run(str(tmp_path), "r", run)
+    stream = open_stream(spark, "int16", {"0": paths["ch0"], "1": paths["ch1"]}, run.start * 1_000_000, 40, 8192)
+    pulses = [(round(t * run.rate), a) for t, a in sample_files.pulses(run)]
+    stamps = spark.createDataFrame([(p, a) for p, a in pulses if a > 0] + [(None, 3.0), (5, 1e-9)], "place long, tpa double")
+    mine = [p for p, a in pulses if a == 0] + [p + 3 for p, a in pulses if a > 0]
+    triggers = spark.createDataFrame(list(zip(mine, range(len(mine)))) + [(None, -1)], "place long, id long")
+    found = imports.sorted_triggers(triggers, stamps, 100, 0.001, 10.1).cache()
+    first, last = min(p for p, a in pulses if a > 0), max(p for p, a in pulses if a > 0)
+    kinds = {k: sorted(r.place for r in found.where(F.col("kind") == k).collect()) for k in ("events", "testpulses", "controlpulses")}
+    # The trigger after the last stamp is no event even where no stamp hides it.
+    assert kinds["events"] == [p for p, a in pulses if a == 0 and first <= p <= last]
+    assert kinds["testpulses"] == [p for p, a in pulses if 0 < a < 10.1] and kinds["controlpulses"] == [p for p, a in pulses if a >= 10.1]
+    events = imports.imported_events(stream.chunks, stream.size, found, run.length)
+    groups = Groups(spark, str(tmp_path / "groups"))
+    imports.write_imported(groups, events)
+    whole = lambda p: p - run.length // 4 >= 0 and p - run.length // 4 + run.length <= stream.time.length
+    for kind in ("events", "testpulses"):
+        got = groups.get(kind)
+        assert got.count() == 2 * sum(map(whole, kinds[kind])) and got.where(F.size("event") != run.length).count() == 0
+    assert groups.get("controlpulses").where("pulse_height > 1").count() > 0
+    none = imports.sorted_triggers(triggers, stamps.where("false"), 100, 0.001, 10.1)
+    assert none.count() == 0
+
+
+def test_aligned_amplitudes_take_the_nearest_of_each_channel(spark):
+    from pulselake.operators import imports
+
+    rng = np.random.default_rng(4)
+    rows = [(int(c), int(t), i, float(i % 7)) for i, (c, t) in enumerate(zip(rng.integers(0, 3, 400), rng.integers(0, 40000, 400)))]
+    want, free = [], -1
+    for t, i in sorted((t, i) for _, t, i, _ in rows):
+        if t > free:
+            near = [min((abs(u - t), u, j, a) for d, u, j, a in rows if d == c)[3] for c in range(3)]
+            want.append((t, i, near))
+            free = t + 150
+    triggers = spark.createDataFrame(rows, "channel long, t long, id long, tpa double")
+    for chunk in (700, 10**9):
+        got = sorted((r.t, r.id, r.tpas) for r in imports.aligned_amplitudes(triggers, 150, chunk).collect())
+        assert got == want
+    assert imports.aligned_amplitudes(triggers.where("false"), 150).count() == 0
