@@ -128,3 +128,57 @@ def fit_saturation(amplitude: np.ndarray, height: np.ndarray) -> np.ndarray:
         return value if np.isfinite(value) else 1e300
 
     return np.exp(simplex(loss, np.log([max(float(np.max(height)), 1e-6), 1.0, 1.0, 2.0 / scale, 1.0]), 0.3, 6000, 1e-14))
+
+
+def orthogonal_polynomials(x: np.ndarray, y: np.ndarray, x_sigma: np.ndarray, order: int, through_zero: bool = True, y_sigma: float = 1.0, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row of points: coefficients (of x^0 or x^1 on), their covariance in units of the residuals' variance, and that variance.
+
+    Points may move along x too, at the cost of their own uncertainty there: the sum of squares of both moves, each over its uncertainty, is
+    least. Moves are eliminated from each linear step, which leaves a weighted fit of the coefficients; steps are halved while they lead
+    uphill. Where x_sigma is zero points only move along y. With fewer points than coefficients the shortest solution is taken.
+    """
+    powers = np.arange(0 if not through_zero else 1, order + 1)
+    unit = np.maximum(np.abs(x).max(axis=1, keepdims=True), 1e-300)
+    x, s, y = x / unit, x_sigma / unit / y_sigma, y / y_sigma
+    free = s > 0
+    move, b = np.zeros_like(x), np.zeros((len(x), len(powers)))
+    b[:, list(powers).index(1)] = (x * y).sum(axis=1) / np.maximum((x**2).sum(axis=1), 1e-300)
+
+    def raised(t: np.ndarray) -> np.ndarray:
+        return t[..., None] ** powers
+
+    def cost(b: np.ndarray, move: np.ndarray) -> np.ndarray:
+        rest = (raised(x + move) * b[:, None, :]).sum(axis=2) - y
+        return (rest**2).sum(axis=1) + (np.where(free, move / np.where(free, s, 1), 0.0) ** 2).sum(axis=1)
+
+    def weighted() -> tuple[np.ndarray, ...]:
+        t = x + move
+        v = raised(t)
+        slope = (powers * t[..., None] ** np.maximum(powers - 1, 0) * b[:, None, :]).sum(axis=2)
+        w = 1 / (1 + slope**2 * s**2)
+        inverse = np.linalg.pinv(np.sqrt(w)[..., None] * v)
+        return v, slope, w, inverse
+
+    now = cost(b, move)
+    for _ in range(rounds):
+        v, slope, w, inverse = weighted()
+        offset = (v * b[:, None, :]).sum(axis=2) - y - slope * move
+        step = -(inverse @ (np.sqrt(w) * offset)[..., None])[..., 0]
+        to = -(offset + (v * step[:, None, :]).sum(axis=2)) * slope * s**2 * w - move
+        part = np.ones((len(x), 1))
+        for _ in range(30):
+            new = cost(b + part * step, move + part * to)
+            uphill = new > now
+            if not uphill.any():
+                break
+            part[uphill] /= 2
+        part[uphill] = 0.0
+        b, move = b + part * step, move + part * to
+        before, now = now, cost(b, move)
+        if (before - now <= 1e-15 * before).all():
+            break
+    inverse = weighted()[3]
+    back = unit ** -powers.astype(float)
+    covariance = inverse @ inverse.transpose(0, 2, 1) * back[:, :, None] * back[:, None, :]
+    spare = x.shape[1] - len(powers)
+    return b * back * y_sigma, covariance * y_sigma**2, now / spare if spare > 0 else np.zeros(len(x))

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pulselake.functions.fits import orthogonal_polynomials
 from pulselake.operators.ordered import gap_islands, last_known
 
 
@@ -74,34 +75,59 @@ def amplitudes(events: DataFrame, fits: DataFrame, unit: float) -> DataFrame:
     return met.select("id", tpa.alias("tpa"), sigma.alias("sigma"))
 
 
-def polynomial_amplitudes(events: DataFrame, fits: DataFrame, unit: float, order: int, through_zero: bool = True) -> DataFrame:
-    """id, tpa: as `amplitudes`, but on the polynomial of `order` in the height, fitted by least squares through the amplitudes of the run."""
+def polynomial_amplitudes(events: DataFrame, fits: DataFrame, unit: float, order: int, through_zero: bool = True, orthogonal: bool = False) -> DataFrame:
+    """id, tpa, sigma: as `amplitudes`, but on the polynomial of `order` in the height, fitted through the amplitudes of the run: by least
+    squares (sigma null), or by orthogonal distances with the reference heights' uncertainties.
+
+    The variance is then the fit's at the height and the height's own (between its two neighbours, whose line goes on beyond them), times
+    the polynomial's absolute slope. A run of one amplitude has that one's uncertainty everywhere.
+    """
     kind = events.schema["id"].dataType.simpleString()
+    powers = np.arange(1 if through_zero else 0, order + 1)
+
+    def of_size(value: np.ndarray, h: np.ndarray, tpa: np.ndarray, sigma: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values and sigmas of rows with as many knots each."""
+        raised, rows = value[:, None] ** powers, np.arange(len(value))
+        if not orthogonal:
+            b = (np.linalg.pinv(h[..., None] ** powers) @ tpa[..., None])[..., 0]
+            return (raised * b).sum(axis=1), np.full(len(value), np.nan)
+        b, covariance, variance = orthogonal_polynomials(h, tpa, sigma, order, through_zero)
+        slope = (powers * value[:, None] ** np.maximum(powers - 1, 0) * b).sum(axis=1)
+        own = sigma[:, 0]
+        if h.shape[1] > 1:
+            low = np.clip((h <= value[:, None]).sum(axis=1) - 1, 0, h.shape[1] - 2)
+            run = h[rows, low + 1] - h[rows, low]
+            part = np.where(run != 0, (value - h[rows, low]) / np.where(run != 0, run, 1), 0.0)
+            own = sigma[rows, low] + part * (sigma[rows, low + 1] - sigma[rows, low])
+        fitted = variance * np.einsum("ri,rij,rj->r", raised, covariance, raised)
+        return (raised * b).sum(axis=1), np.sqrt(np.abs(slope) * own**2 + fitted)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in parts:
-            out = []
-            for value, ks in zip(rows["value"], rows["ks"]):
-                h, tpa = np.array([k["h"] for k in ks]), np.array([k["tpa"] for k in ks])
-                powers = np.arange(1 if through_zero else 0, order + 1)
-                fit = np.linalg.lstsq(h[:, None] ** powers, tpa, rcond=None)[0]
-                out.append(float((value**powers) @ fit))
-            yield pd.DataFrame({"id": rows["id"], "tpa": out})
+            tpa, sigma = np.full(len(rows), np.nan), np.full(len(rows), np.nan)
+            sizes = np.array([len(ks) for ks in rows["ks"]], int)
+            for size in np.unique(sizes):
+                at = np.flatnonzero(sizes == size)
+                knots = np.array([[(k["h"], k["tpa"], k["sigma"]) for k in rows["ks"].iloc[i]] for i in at], float)
+                tpa[at], sigma[at] = of_size(rows["value"].to_numpy(float)[at], knots[..., 0], knots[..., 1], knots[..., 2])
+            null = lambda v: pd.array(np.where(np.isnan(v), None, v), "Float64")
+            yield pd.DataFrame({"id": rows["id"], "tpa": null(tpa), "sigma": null(sigma)})
 
-    return _with_knots(events, fits, unit, False).mapInPandas(run, f"id {kind}, tpa double")
+    return _with_knots(events, fits, unit, False).mapInPandas(run, f"id {kind}, tpa double, sigma double")
 
 
 class EnergyCalibration:
     """Heights to energies: fitted once to reference pulses, then called on events. cpe: energy of one unit of amplitude."""
 
-    def __init__(self, pulses: DataFrame, gap: int, unit: float, saturation: float | None = None, exclude: tuple[float, ...] = (), cpe: float = 1.0, order: int | None = None):
-        self.fits, self.unit, self.cpe, self.order = pulser_fits(pulses, gap, unit, saturation, exclude), unit, cpe, order
+    def __init__(self, pulses: DataFrame, gap: int, unit: float, saturation: float | None = None, exclude: tuple[float, ...] = (), cpe: float = 1.0, order: int | None = None, orthogonal: bool = False):
+        self.fits, self.unit, self.cpe, self.order, self.orthogonal = pulser_fits(pulses, gap, unit, saturation, exclude), unit, cpe, order, orthogonal
 
     def __call__(self, events: DataFrame) -> DataFrame:
-        """id, tpa, energy and, for straight pieces, sigma and energy_sigma."""
+        """id, tpa, sigma, energy and energy_sigma."""
         if self.order:
-            return polynomial_amplitudes(events, self.fits, self.unit, self.order).withColumn("energy", F.col("tpa") * self.cpe)
-        found = amplitudes(events, self.fits, self.unit)
+            found = polynomial_amplitudes(events, self.fits, self.unit, self.order, orthogonal=self.orthogonal)
+        else:
+            found = amplitudes(events, self.fits, self.unit)
         return found.withColumn("energy", F.col("tpa") * self.cpe).withColumn("energy_sigma", F.col("sigma") * self.cpe)
 
 

@@ -966,3 +966,45 @@ def test_aligned_amplitudes_take_the_nearest_of_each_channel(spark):
         got = sorted((r.t, r.id, r.tpas) for r in imports.aligned_amplitudes(triggers, 150, chunk).collect())
         assert got == want
     assert imports.aligned_amplitudes(triggers.where("false"), 150).count() == 0
+
+
+def test_orthogonal_polynomials_find_the_least_distances():
+    rng = np.random.default_rng(5)
+    x = np.sort(rng.uniform(0.5, 9, (6, 12)), axis=1)
+    y = 1.7 * x + rng.normal(0, 0.4, x.shape)
+    b, covariance, variance = fits.orthogonal_polynomials(x, y, np.full_like(x, 0.3), 1)
+    for row in range(6):
+        # A line through zero by total least squares, with x in units of its uncertainty.
+        least = np.linalg.svd(np.column_stack([x[row] / 0.3, y[row]]))[2][-1]
+        assert b[row, 0] == pytest.approx(-least[0] / least[1] / 0.3, rel=1e-9)
+        w = 1 / (1 + b[row, 0] ** 2 * 0.09)
+        assert variance[row] == pytest.approx(w * ((y[row] - b[row, 0] * x[row]) ** 2).sum() / 11, rel=1e-9) and covariance[row, 0, 0] > 0
+    s = rng.uniform(0.05, 0.4, x.shape)
+    y = 0.5 + 2 * x - 0.1 * x**2 + rng.normal(0, 0.3, x.shape)
+    b, _, variance = fits.orthogonal_polynomials(x, y, s, 2, through_zero=False)
+    moves = np.linspace(-3, 3, 4001)[:, None]
+
+    def cost(p, row):
+        t = x[row] + moves * s[row]
+        return ((np.polyval(p[::-1], t) - y[row]) ** 2 + moves**2).min(axis=0).sum()
+
+    for row in range(6):
+        best = cost(b[row], row)
+        assert variance[row] * 9 == pytest.approx(best, rel=1e-4)
+        for _ in range(40):
+            assert cost(b[row] * (1 + rng.normal(0, 0.02, 3)), row) >= best - 1e-4
+    flat, _, _ = fits.orthogonal_polynomials(x, y, np.zeros_like(x), 2, through_zero=False)
+    assert flat[0] == pytest.approx(np.polyfit(x[0], y[0], 2)[::-1])
+
+
+def test_orthogonal_calibration(spark):
+    from pulselake.operators import calibrate
+
+    rng = np.random.default_rng(6)
+    rows = [(1, 60 * i, i, float(1 + i % 4), float(1 + i % 4) * 1.5 - 0.05 * (1 + i % 4) ** 2 + rng.normal(0, 0.01)) for i in range(200)]
+    pulses = spark.createDataFrame(rows, "channel long, t long, id long, tpa double, value double")
+    events = spark.createDataFrame([(1, 100 * i, i, 0.5 + 0.4 * i) for i in range(12)] + [(1, 5, 99, None)], "channel long, t long, id long, value double")
+    plain = {r.id: r for r in calibrate.EnergyCalibration(pulses, 10**6, 3600.0, order=3)(events).collect()}
+    found = {r.id: r for r in calibrate.EnergyCalibration(pulses, 10**6, 3600.0, order=3, orthogonal=True)(events).collect()}
+    assert len(found) == 13 and found[99].tpa is None and plain[3].sigma is None
+    assert all(found[i].tpa == pytest.approx(plain[i].tpa, abs=0.02) and 0 < found[i].sigma < 0.1 for i in range(12))
