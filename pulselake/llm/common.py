@@ -21,6 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Hadoop's checksummed local file system starts a process for the permissions of each file, and one more for the file of its checksums.
+#: Files of the shared folder are written by the plain one, without that second file; Parquet's own checksums stay. Other file systems are
+#: not concerned.
+PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true", "parquet.page.write-checksum.enabled": "true"}
+#: What reads such files checks their pages.
+CHECKED_PAGES = {"parquet.page.verify-checksum.enabled": "true"}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all machines see, from spark.checkpoint.dir; on a single machine a local one where none is set."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
@@ -39,8 +47,8 @@ def shared_path(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read back: its lineage ends there."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.options(**PLAIN_FILES).parquet(path)
+    return df.sparkSession.read.options(**CHECKED_PAGES).schema(df.schema).parquet(path)
 
 
 def even_keys(spark: SparkSession, most: int) -> list[int]:

@@ -22,11 +22,13 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulselake.llm.common import ASCII_SPACE, ascii_lower, fresh, partitions, shared_path, stored
+from pulselake.llm.common import ASCII_SPACE, CHECKED_PAGES, PLAIN_FILES, ascii_lower, fresh, partitions, shared_path, stored
 
 MIN_CHARS = 10
 #: A hash is hot with more than this part of all rows.
 HOT = 2000
+#: Rows of a run that a task writes, at least: each task and file that is written starts processes on local files.
+TASK_ROWS = 1 << 18
 ADDED = ("kept_", "n_lines_", "n_dropped_")
 
 
@@ -52,21 +54,22 @@ def line_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
 
 
 class LineStore:
-    """Levelled runs of line hashes in the shared folder."""
+    """Levelled runs of line hashes in the shared folder. tasks: that write a run; as many as it has buckets, unless fewer are asked for."""
 
-    def __init__(self, spark: SparkSession, fanout: int = 2, buckets: int | None = None):
+    def __init__(self, spark: SparkSession, fanout: int = 2, buckets: int | None = None, tasks: int | None = None):
         self.spark, self.fanout = spark, fanout
         self.buckets = buckets or partitions(spark)
+        self.tasks = min(tasks or self.buckets, self.buckets)
         self.levels: list[list[DataFrame]] = []
         self.name = f"line_runs_{uuid.uuid4().hex}"
         self.written = 0
 
     def _run(self, rows: DataFrame) -> DataFrame:
-        """rows (h1, h2, first_id) as a table bucketed and sorted by hash."""
+        """rows (h1, h2, first_id) as a table bucketed and sorted by hash, one file a bucket; buckets share tasks."""
         self.written += 1
         name = f"{self.name}_{self.written}"
-        rows = rows.repartition(self.buckets, "h1", "h2")
-        rows.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").format("parquet").option("path", shared_path(self.spark, name)).saveAsTable(name)
+        rows = rows.repartition(self.buckets, "h1", "h2").coalesce(self.tasks)
+        rows.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").format("parquet").options(**PLAIN_FILES, **CHECKED_PAGES).option("path", shared_path(self.spark, name)).saveAsTable(name)
         return self.spark.table(name)
 
     def runs(self) -> list[DataFrame]:
@@ -127,9 +130,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     keys = stored(line_keys(docs, id_col, text_col, min_chars), "line-keys")
-    store = LineStore(spark, fanout)
-    cuts = keys.agg(F.percentile_approx("id", [i / batches for i in range(1, batches)], 1000)).first()[0] or []
-    cuts = sorted(set(cuts))
+    rows, cuts = keys.agg(F.count(F.lit(1)), F.percentile_approx("id", [i / batches for i in range(1, batches)], 1000)).first()
+    store = LineStore(spark, fanout, tasks=max(1, -(-rows // TASK_ROWS)))
+    cuts = sorted(set(cuts or []))
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
         part = keys
         if low is not None:

@@ -735,3 +735,34 @@ def test_operators_take_columns_of_any_name(spark, docs):
     labels = spark.createDataFrame([(i, i % 2, 5, 6) for i in range(40)], "doc_id long, toxic int, l_id int, y int")
     a, b = (sorted((r.id, r.score) for r in score(x, train_from(x, labels)).collect()) for x in (more, docs))
     assert a == b
+
+
+def test_shared_files_are_few_and_checked(spark):
+    """No file of checksums beside a stored one (each starts a process), a damaged page is refused, and a small run is written by one task."""
+    import glob
+    import os
+
+    from py4j.protocol import Py4JJavaError
+
+    from pulselake.llm.common import partitions, stored
+    from pulselake.llm.line_runs import LineStore, line_keys
+
+    rows = spark.range(2000, numPartitions=1).select("id", F.sha2(F.col("id").cast("string"), 256).alias("s"))
+    back = stored(rows, "checked")
+    assert sorted(back.collect()) == sorted(rows.collect())
+    (part,) = [f.removeprefix("file://") for f in back.inputFiles()]
+    assert not glob.glob(f"{os.path.dirname(part)}/.*.crc")
+    with open(part, "r+b") as file:
+        file.seek(os.path.getsize(part) // 3)
+        byte = file.read(1)
+        file.seek(-1, 1)
+        file.write(bytes([byte[0] ^ 1]))
+    with pytest.raises(Py4JJavaError, match="FAILED_READ_FILE"):
+        back.agg(F.sum(F.length("s")), F.sum("id")).collect()
+    store = LineStore(spark, tasks=1)
+    store.add(line_keys(spark.createDataFrame([(i, f"some line of number {i}") for i in range(200)], "doc_id long, text string")))
+    (run,) = store.runs()
+    assert run.count() == 200
+    files = [f.removeprefix("file://") for f in run.inputFiles()]
+    assert len(files) == partitions(spark) and {os.path.basename(f)[:10] for f in files} == {"part-00000"}
+    assert not glob.glob(f"{os.path.dirname(files[0])}/.*.crc")
