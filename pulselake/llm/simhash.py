@@ -97,7 +97,8 @@ def links(nodes: DataFrame, most: int = MOST_BITS, file_rows: int = FILE_ROWS) -
     filed = F.explode(F.array(*[F.struct(F.lit(i).cast("byte").alias("file"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)])).alias("f")
     filed = nodes.select("fp", filed).select("fp", "f.file", "f.key")
     shared = filed.groupBy("file", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = stored(filed.join(shared, ["file", "key"]), "simhash-files")
+    # Spark counts rows that are listed out (20 and 2081 of each) as if they were one, so it would broadcast them: these joins are merged.
+    members = stored(filed.hint("merge").join(shared, ["file", "key"]), "simhash-files")
     few = members.where(F.col("n") <= file_rows)
     a, b = few.alias("a"), few.alias("b")
     close = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= most
@@ -110,7 +111,7 @@ def links(nodes: DataFrame, most: int = MOST_BITS, file_rows: int = FILE_ROWS) -
     at = F.explode(F.concat(F.transform(F.lit(host), lambda m: F.struct(m.alias("m"), F.lit(True).alias("host"))), F.transform(F.lit(guest), lambda m: F.struct(m.alias("m"), F.lit(False).alias("host"))))).alias("v")
     listed = many.select("fp", at).select("fp", F.col("fp").bitwiseXOR(F.col("v.m")).alias("centre"), F.col("v.host").alias("host"))
     hosts = listed.where("host").groupBy("centre").agg(F.min("fp").alias("b"))
-    through = listed.join(hosts, "centre").where("fp <> b").select(F.least("fp", "b").alias("a"), F.greatest("fp", "b").alias("b"))
+    through = listed.hint("merge").join(hosts, "centre").where("fp <> b").select(F.least("fp", "b").alias("a"), F.greatest("fp", "b").alias("b"))
     return pairs.unionByName(through).distinct()
 
 

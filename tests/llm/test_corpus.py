@@ -228,6 +228,26 @@ def test_links_keep_components_whole(spark, file_rows):
     assert {frozenset(g) for g in groups.values()} == {frozenset(g) for g in want.values()}
 
 
+def test_links_broadcast_no_listed_rows(spark, monkeypatch):
+    from pulselake.llm import simhash
+
+    planned = []
+    monkeypatch.setattr(simhash, "stored", lambda df, name, keep=simhash.stored: planned.append(df) or keep(df, name))
+    nodes = spark.createDataFrame([(x,) for x in range(100)], "fp long")
+    nodes = simhash.stored(nodes, "nodes")
+    found = simhash.links(nodes)
+    for df in [*planned[1:], found]:
+        lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+        assert any("Generate" in line for line in lines)
+        for i, line in enumerate(lines):
+            if "BroadcastExchange" in line:
+                at = line.index("BroadcastExchange")
+                under = lines[i + 1 : next((j for j in range(i + 1, len(lines)) if len(lines[j]) - len(lines[j].lstrip(" :+-")) <= at), len(lines))]
+                assert not any("Generate" in x for x in under)
+    root = {r.node: r.root for r in simhash.components(found).collect()}
+    assert root == dict.fromkeys(range(1, 100), 0)
+
+
 def test_components_of_chains(spark):
     from pulselake.llm.simhash import components
 
