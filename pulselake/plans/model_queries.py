@@ -21,6 +21,14 @@ def r6(c, name):
     return F.round(c, 6).alias(name)
 
 
+def sql_round(c, digits):
+    """c rounded in doubles as SQL does: halves away from zero, and what is rounded to zero keeps its sign."""
+    scaled = c * F.lit(10.0**digits)
+    size = F.abs(scaled)
+    whole = F.signum(scaled) * (F.floor(size) + F.when(size - F.floor(size) >= 0.5, 1.0).otherwise(0.0))
+    return F.when(size < float("inf"), F.when(size < 2.0**52, whole).otherwise(scaled) / F.lit(10.0**digits)).otherwise(c)
+
+
 def query(name: str, sql: str | None = None):
     def keep(f):
         QUERIES[name] = f
@@ -44,7 +52,7 @@ _CUBIC = np.linalg.pinv(np.vander(np.arange(float(LENGTH)), 4, increasing=True))
 SELECT vec_id, list_transform(c, lambda v: round(v, 9)) AS coefficients, round(sqrt(list_sum(list_transform(range(64), lambda i: (x[i + 1] - c[1] - c[2] * i - c[3] * i ** 2 - c[4] * i ** 3) ** 2))), 6) AS rms FROM c""")
 def cubic_baseline(spark, d):
     out = signal.polynomial_baseline(traces(spark, d), "vec_id", "x", 3, LENGTH)
-    return out.select("vec_id", F.transform("coefficients", lambda c: F.round(c, 9)).alias("coefficients"), r6(F.col("rms"), "rms"))
+    return out.select("vec_id", F.transform("coefficients", lambda c: sql_round(c, 9)).alias("coefficients"), sql_round(F.col("rms"), 6).alias("rms"))
 
 
 @query("template_lags", f"""WITH {SQL_TRACES}, k AS (SELECT {[float(v) for v in TEMPLATE]}::DOUBLE[] AS s), c AS (SELECT vec_id, lag_, list_sum(list_transform(range(greatest(0, lag_), least(64, 64 + lag_)), lambda i: x[i + 1] * s[i - lag_ + 1])) AS c FROM tr, k, (SELECT unnest(range(-63, 64)) AS lag_))

@@ -1008,3 +1008,15 @@ def test_orthogonal_calibration(spark):
     found = {r.id: r for r in calibrate.EnergyCalibration(pulses, 10**6, 3600.0, order=3, orthogonal=True)(events).collect()}
     assert len(found) == 13 and found[99].tpa is None and plain[3].sigma is None
     assert all(found[i].tpa == pytest.approx(plain[i].tpa, abs=0.02) and 0 < found[i].sigma < 0.1 for i in range(12))
+
+
+def test_cubic_baseline_equals_its_sql_to_the_sign_of_zero(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    rows = [(i, "a", (rng.normal(size=64) * 10.0 ** -(i % 6)).tolist()) for i in range(120)]
+    spark.createDataFrame(rows, "vec_id long, label string, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = {r.vec_id: repr((r.coefficients, r.rms)) for r in catalog.QUERIES["cubic_baseline"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = {r[0]: repr((r[1], r[2])) for r in con.execute(catalog.ORACLES["cubic_baseline"]).fetchall()}
+    assert any("-0.0," in w or "-0.0]" in w for w in want.values())
+    assert found == want
